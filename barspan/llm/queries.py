@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import bpe, exact, packing
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
