@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ChunkCache, read_table
 
 # White space as the vocabulary's pre-tokenizer knows it, and its pattern.
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")

@@ -82,3 +82,40 @@ class ChunkCache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class ChunkRows:
+    """Bounded map from chunk to a row of numbers, for sums over the chunks of a text.
+
+    `make(chunk)` gives the row.  A text of any length is summed in slices, so the table holds
+    at most `limit` rows and one slice's.
+    """
+
+    SLICE = 50_000
+
+    def __init__(self, make, width: int, limit: int = 150_000):
+        self.limit = limit
+        self.table = np.zeros((limit + self.SLICE, width), np.float32)
+        rows = self
+
+        class Index(dict):
+            def __missing__(self, chunk):
+                at = self[chunk] = len(self)
+                rows.table[at] = make(chunk)
+                return at
+
+        self.index = Index()
+
+    def slices(self, chunks: list[str]):
+        """For each slice of the text: the places of its chunks in the table."""
+        for s in range(0, len(chunks), self.SLICE):
+            if len(self.index) > self.limit:
+                self.index.clear()
+            part = chunks[s : s + self.SLICE]
+            yield np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
+
+    def total(self, chunks: list[str]) -> np.ndarray:
+        out = np.zeros(self.table.shape[1])
+        for at in self.slices(chunks):
+            out += self.table[at].sum(axis=0, dtype=np.float64)
+        return out

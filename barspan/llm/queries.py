@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing
+from . import bpe, exact, packing, sharding, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_shuffle_shards": sharding.op4_shuffle_shards,
+    "op7_warc": warc.op7_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_warc": warc.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
 }
