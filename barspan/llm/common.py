@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +120,61 @@ class ChunkRows:
         for at in self.slices(chunks):
             out += self.table[at].sum(axis=0, dtype=np.float64)
         return out
+
+
+def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """fn over the rows of each key, streamed from partitions sorted by key.
+
+    fn gets one group at a time as lists by column name and returns rows of `schema`; a task
+    holds one group and one batch, whatever the number of groups.
+    """
+    names = df.columns
+    out_names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, out = None, {n: [] for n in names}, []
+
+        def flush():
+            if group[key]:
+                out.extend(fn(group))
+                for n in names:
+                    group[n] = []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], out_names)
+
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in names}
+            keys = columns[key]
+            start = 0
+            for i, k in enumerate(keys):
+                if k != at or (i == 0 and not group[key]):
+                    if i > start:
+                        for n in names:
+                            group[n] += columns[n][start:i]
+                    start = i
+                    flush()
+                    at = k
+            for n in names:
+                group[n] += columns[n][start:]
+            if len(out) >= 5000:
+                yield batch_of(out)
+                out = []
+        flush()
+        yield batch_of(out)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def only_near(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose id may be among ids: a filter of `bits` bits, never more than bits / 64 rows to broadcast.
+
+    It lets too many rows pass where ids are many, never too few; a join must follow.
+    """
+    place = F.pmod(F.xxhash64(F.lit(41), F.col(column).cast("bigint")), F.lit(bits))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("_bits"))
+    marked = df.withColumns({"_word": F.shiftright(place, 6), "_bit": place.bitwiseAND(F.lit(63)).cast("int")})
+    hit = marked.join(F.broadcast(words), "_word").filter(F.expr("(shiftright(_bits, _bit) & 1) = 1"))
+    return hit.drop("_word", "_bit", "_bits")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, sharding, warc
+from . import bpe, exact, langid, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
+    "op5_language_id": langid.op5_language_id,
+    "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
+    "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
