@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, langid, neardup, packing, quality, sharding, warc
+from . import ann, bpe, exact, langid, neardup, packing, quality, sharding, warc
 
 QUERIES = {
+    "op1_multiprobe_ann": ann.op1_multiprobe_ann,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
     "op5_language_id": langid.op5_language_id,
