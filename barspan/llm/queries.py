@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact, langid, neardup, packing, quality, sharding, warc
+from . import ann, bpe, exact, langid, licenses, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_multiprobe_ann": ann.op1_multiprobe_ann,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
     "op5_language_id": langid.op5_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": licenses.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
 }
