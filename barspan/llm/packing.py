@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, area_bins: int = 2000, exch
     done: list[DataFrame] = []
     area = F.pmod("spread", F.lit(areas))
     for turn in range(rounds + 1):
-        packed = cut(pieces.withColumn("area", area).groupBy("area").applyInPandas(packer, PACKED), f"packed-{turn}")
+        packed = cut(pieces.withColumn("area", area).drop("from_area").groupBy("area").applyInPandas(packer, PACKED), f"packed-{turn}")
         last = areas == 1 or turn == rounds
         stays = packed if last else packed.filter(~F.col("leaves"))
         done.append(stays.withColumn("turn", F.lit(turn)))
