@@ -1 +1,71 @@
+"""Column functions.  Undefined results are null, never NaN; masks are false where undefined."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return a / F.when(b != 0, b)
+
+
+def mask(condition: Column) -> Column:
+    """A condition that is false, not null, where it cannot be told."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def true_range(previous_close: Column) -> Column:
+    """greatest() skips nulls, so the first bar's range is high - low."""
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous_close), F.abs(F.col("low") - previous_close))
+
+
+def adjusted_skew(x: Column) -> Column:
+    n = F.count(x)
+    return F.when(n >= 3, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def adjusted_kurtosis(x: Column) -> Column:
+    """Excess kurtosis, corrected for sample size."""
+    n = F.count(x)
+    return F.when(n >= 4, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3)))
+
+
+def t_stat(x: Column) -> Column:
+    sd = F.stddev_samp(x)
+    return F.when((F.count(x) >= 2) & (sd > 0), F.avg(x) / (sd / F.sqrt(F.count(x))))
+
+
+def share(condition: Column) -> Column:
+    return F.avg(mask(condition).cast("double"))
+
+
+def profit_factor(x: Column, variant: str = "a") -> Column:
+    """Wins over losses.  Without losses: a +Inf if there are wins, else null; b null; c +Inf; d as c, where zeros count as losses."""
+    wins = F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0))
+    losses = -F.coalesce(F.sum(F.when(x < 0, x)), F.lit(0.0))
+    no_loss = (F.count_if(x <= 0) == 0) if variant == "d" else (losses == 0)
+    inf, null = F.lit(float("inf")), F.lit(None).cast("double")
+    empty = {"a": F.when(wins > 0, inf), "b": null, "c": inf, "d": inf}[variant]
+    return F.when(no_loss | (losses == 0), empty).otherwise(wins / losses)
+
+
+def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Bounds of the Wilson interval of a rate; null for n = 0."""
+    p, n = ratio(hits, n), F.when(n != 0, n)
+    centre, half, scale = p + z * z / (2 * n), z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n), 1 + z * z / n
+    return (centre - half) / scale, (centre + half) / scale
+
+
+def right_closed(x: Column, edges: list[float], labels: list[str]) -> Column:
+    """Label of the bin (edge, next edge] that holds x; the lowest edge belongs to the first bin."""
+    out = F.when((x >= edges[0]) & (x <= edges[1]), labels[0])
+    for k in range(1, len(labels)):
+        out = out.when((x > edges[k]) & (x <= edges[k + 1]), labels[k])
+    return out
+
+
+def max_drawdown(kind: str, equity: Column, peak: Column) -> Column:
+    """Drawdown of one row from its peak: additive (money, pips, logs) or as a share."""
+    return equity - peak if kind == "additive" else equity / peak - 1

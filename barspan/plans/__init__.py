@@ -1 +1 @@
-
+"""Registered plans over the given tables."""
