@@ -1,5 +1,7 @@
 """Sequential operators against plain loops, chunked scans against whole ones, readers and writers."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,7 +19,7 @@ def bars(spark):
         close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
         for k in range(n):
             o = close[k - 1] if k else 100.0
-            rows.append((symbol, pd.Timestamp("2020-01-01") + pd.Timedelta(hours=k), float(o), float(max(o, close[k]) * 1.004), float(min(o, close[k]) * 0.996), float(close[k]), float(rng.integers(1, 9)), k))
+            rows.append((symbol, dt.datetime(2020, 1, 1) + dt.timedelta(hours=k), float(o), float(max(o, close[k]) * 1.004), float(min(o, close[k]) * 0.996), float(close[k]), float(rng.integers(1, 9)), k))
     return spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double, row_pos bigint").cache()
 
 
@@ -157,7 +159,7 @@ def test_readers_and_writers_round_trip(spark, tmp_path):
     assert [(r.tenor, r.yield_percent) for r in sources.read_yields(spark, f"{tmp_path}/y.csv", currency="JPY", tenors=["2Y", "10Y"]).orderBy("observation_date").collect()] == [("2Y", 0.1), ("10Y", 0.3)]
     ms = spark.createDataFrame([("1577836800999", "0.1"), ("1577836800999", "0.1")], "t string, rate string")
     assert sources.epoch_rows(ms, ms="t", out="ts", numbers=["rate"], keys=[]).count() == 1
-    side = spark.createDataFrame([("A", pd.Timestamp("2020-01-01")), ("A", pd.Timestamp("2020-02-01"))], "symbol string, ts timestamp")
+    side = spark.createDataFrame([("A", dt.datetime(2020, 1, 1)), ("A", dt.datetime(2020, 2, 1))], "symbol string, ts timestamp")
     assert sources.coverage(side, ts="ts", symbols=["A"], start="2020-01-05", end="2020-01-06").first().covered
     assert not sources.coverage(side, ts="ts", symbols=["A", "B"], start="2020-01-05", end="2020-01-06").first().covered
     sources.write_results(side, f"{tmp_path}/out", partition_by=["symbol"])
