@@ -112,7 +112,7 @@ def w14(spark, sf):
 
 @query("a18_pairwise_correlation", f"""WITH {H}, {RET}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.ts, a.ret AS rx, b.ret AS ry FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL),
 m AS (SELECT ts, avg(ret) AS mkt FROM rets WHERE ret IS NOT NULL GROUP BY ts), q AS (SELECT quantile_cont(mkt, 0.1) AS lo, quantile_cont(mkt, 0.9) AS hi FROM m),
-g AS (SELECT p.*, unnest(['all', CASE WHEN mkt <= lo THEN 'bottom' WHEN mkt >= hi THEN 'top' ELSE 'central' END]) AS regime FROM p JOIN m USING (ts), q), c AS (SELECT regime, x, y, corr(rx, ry) AS r FROM g GROUP BY ALL)
+g AS (SELECT p.*, unnest(['all', CASE WHEN mkt <= lo THEN 'bottom' WHEN mkt >= hi THEN 'top' ELSE 'central' END]) AS regime FROM p JOIN m USING (ts), q), c AS (SELECT regime, x, y, corr(rx, ry) AS r FROM g GROUP BY ALL HAVING count(*) >= 3)
 SELECT regime, count(*) AS pairs, round(avg(r), 6) AS mean_corr, round(min(r), 6) AS min_corr, round(max(r), 6) AS max_corr FROM c GROUP BY regime""")
 def a18(spark, sf):
     r = returns(hourly(spark, sf)).filter("ret is not null").select("symbol", "ts", "ret")
@@ -121,7 +121,7 @@ def a18(spark, sf):
     q = m.agg(F.percentile("mkt", 0.1).alias("lo"), F.percentile("mkt", 0.9).alias("hi"))
     own = F.when(F.col("mkt") <= F.col("lo"), "bottom").when(F.col("mkt") >= F.col("hi"), "top").otherwise("central")
     g = p.join(m, "ts").join(F.broadcast(q), F.lit(True)).withColumn("regime", F.explode(F.array(F.lit("all"), own)))
-    c = g.groupBy("regime", "x", "y").agg(F.corr("rx", "ry").alias("r"))
+    c = g.groupBy("regime", "x", "y").agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("k")).filter("k >= 3")
     return c.groupBy("regime").agg(F.count("*").alias("pairs"), F.round(F.avg("r"), 6).alias("mean_corr"), F.round(F.min("r"), 6).alias("min_corr"), F.round(F.max("r"), 6).alias("max_corr"))
 
 

@@ -18,7 +18,7 @@ def db(sf_dir):
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if str(v) in ("None", "<NA>", "nan", "NaT"):
         return "None"
     if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)):
         return repr(round(float(v), 6) + 0.0)
