@@ -7,10 +7,14 @@ Nodes of one member end; small nodes are compared exhaustively, first by sketche
 full sets; large nodes branch again.  With two branches a pair of similarity 0.85 stays together
 in a tree with probability over 0.96 at any depth, so four trees miss less than one in 100,000.
 
-Only connection matters for groups, so no pair is compared that is known to be connected: large
-nodes of one group of near copies are linked through a few pivots, nodes whose members are all
-connected end, and what still stands after the last level is compared in blocks, every member
-outside the node's largest group with every member of the node.
+Large nodes that hold a family of near copies would never fall apart, so families are settled
+first.  A family's most central member, the one in the largest nodes, is its pivot.  Exact
+similarities to the pivot p give an inner ring (a: J >= 2t - 1, for the threshold t) and an
+outer ring (b: J >= 3t - 2).  1 - J is a metric, so a partner of an inner member lies in the
+outer ring: members that link to p are connected, inner ones that do not are compared with the
+whole outer ring in blocks, and after that no link of an inner member is unknown.  Only documents
+that are inner to no pivot branch on.  What is still large after the last level is compared in
+blocks, every member outside the node's largest group with every member of the node.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +35,8 @@ from .components import components
 
 TREES, BRANCHES, LEVELS = 4, 2, 4
 HASHES = TREES * BRANCHES * LEVELS
+#: So many times the most central members of large nodes are taken as pivots of families.
+FAMILY_TURNS = 2
 #: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: at similarity
 #: 0.85 fewer agree in about one pair of ten million.
 AGREE = 16
@@ -133,40 +140,74 @@ def _sketch_parts(agree: int):
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """percent/100 of the union is shared; sizes alone rule most pairs out."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _intersections(sets: list[np.ndarray]):
+    """A function giving the sizes of the intersections of set i with all sets at once."""
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - np.array([len(x) for x in sets])
+    present = np.zeros(len(vocabulary), bool)
+
+    def of(i: int) -> np.ndarray:
+        own = flat[starts[i] : ends[i]]
+        present[own] = True
+        out = np.add.reduceat(present[flat], starts, dtype=np.int64)
+        present[own] = False
+        return out
+
+    return of
+
+
+def _sets(g: dict[str, list], width: int, held: dict) -> tuple[list[np.ndarray], list[int]]:
+    """Sets of a group and the rows they belong to, without empty ones."""
+    cache = held.setdefault("words", word_cache())
+    sets = [shingle_set(t or b"", width, cache) for t in g["text"]]
+    rows = [i for i, x in enumerate(sets) if len(x)]
+    return [sets[i] for i in rows], rows
 
 
 def _exact(width: int, percent: int):
     """Links within a group on full sets, as (u, v): each member's smallest connected member.
 
     Members with side 0 are compared with all, those with side 1 with side 0 only; members that
-    share a label are connected already.
+    share a label are connected already, and a member is not looked at once all are.
     """
-    held: dict[str, ChunkCache] = {}
+    held: dict = {}
 
     def run(g: dict[str, list]) -> list[tuple]:
-        cache = held.setdefault("words", word_cache())
-        sets = [shingle_set(t or b"", width, cache) for t in g["text"]]
-        n, first, union = len(sets), {}, Union(len(sets))
-        for i, label in enumerate(g["label"]):
+        sets, rows = _sets(g, width, held)
+        if len(sets) < 2:
+            return []
+        reps, labels, sides = ([g[c][i] for i in rows] for c in ("rep", "label", "side"))
+        n, first, union, size = len(sets), {}, Union(len(sets)), np.array([len(x) for x in sets])
+        for i, label in enumerate(labels):
             union.join(i, first.setdefault(label, i))
-        at = sorted(range(n), key=lambda i: (g["side"][i], -len(sets[i]), g["rep"][i]))
-        for x, i in enumerate(at):
-            if g["side"][i]:
-                break
-            for j in at[x + 1 :]:
-                if union.find(i) != union.find(j) and _linked(sets[i], sets[j], percent):
-                    union.join(i, j)
+        of = _intersections(sets)
+        for i in sorted(range(n), key=lambda i: (-size[i], reps[i])):
+            if sides[i] == 0:
+                both = of(i)
+                for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)):
+                    union.join(i, int(j))
         low: dict[int, int] = {}
         for i in range(n):
             root = union.find(i)
-            low[root] = min(low.get(root, g["rep"][i]), g["rep"][i])
-        return list({(g["rep"][i], low[union.find(i)]) for i in range(n) if g["rep"][i] != low[union.find(i)]})
+            low[root] = min(low.get(root, reps[i]), reps[i])
+        return list({(reps[i], low[union.find(i)]) for i in range(n) if reps[i] != low[union.find(i)]})
+
+    return run
+
+
+def _similar(width: int):
+    """(pivot, rep, both, either): sizes of the intersection and union with the group's pivot."""
+    held: dict = {}
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        sets, rows = _sets(g, width, held)
+        reps, sides = [g["rep"][i] for i in rows], [g["side"][i] for i in rows]
+        if not sets or 0 not in sides:
+            return []
+        i, size = sides.index(0), np.array([len(x) for x in sets])
+        both = _intersections(sets)(i)
+        return [(reps[i], reps[j], int(both[j]), int(size[i] + size[j] - both[j])) for j in range(len(sets)) if sides[j]]
 
     return run
 
@@ -176,7 +217,7 @@ def _compare(groups: DataFrame, docs: DataFrame, *, width: int, percent: int, na
     members = groups.select("rep").distinct()
     texts = only_near(docs, "rep", members)
     rows = groups.join(texts, "rep").select("grp", "rep", "label", "side", "text")
-    return cut(map_groups(rows, "grp", _exact(width, percent), "u bigint, v bigint"), name)
+    return cut(map_groups(rows, "grp", _exact(width, percent), "u bigint, v bigint").distinct(), name)
 
 
 def _node_rows(members: DataFrame, level: int) -> DataFrame:
@@ -216,7 +257,6 @@ def near_duplicates(
     percent: int = 80,
     agree: int | None = None,
     leaf: int = 64,
-    pivots: int = 3,
     block: int = 256,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept.
@@ -246,28 +286,30 @@ def near_duplicates(
 
     big = rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
     big = cut(big, "big-0")
-    if not big.isEmpty():
-        links.append(_pivot_links(big, sigs, texts, width=width, percent=percent, agree=agree, pivots=pivots, block=block))
-        labels = _labels(links)
-        for level in range(1, LEVELS + 1):
-            named = big.join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed = named.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b").select("node", "n")
-            if level == LEVELS:
-                last = named.drop("n").join(mixed, "node")
-                links.append(_rest_links(last, texts, width=width, percent=percent, block=block))
-                break
-            parents = big.select("node", "tree", "rep").join(mixed.select("node"), "node", "semi").join(reps.select("rep", "mins"), "rep")
-            rows = cut(_node_rows(parents, level).distinct(), f"nodes-{level}")
-            lettered = rows.join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            alive = lettered.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("node")
-            sizes = cut(_sizes(rows.join(alive, "node", "semi")), f"sizes-{level}")
-            groups = _leaf_groups(rows, sizes.filter(F.col("n") <= leaf), sigs, agree, f"leaves-{level}")
-            known = groups.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("grp", "rep", F.coalesce("label", "rep").alias("label"), F.lit(0).alias("side"))
-            links.append(_compare(known, texts, width=width, percent=percent, name=f"links-{level}"))
-            big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-{level}")
-            if big.isEmpty():
-                break
-            labels = _labels(links)
+    for turn in range(FAMILY_TURNS):
+        found = None if big.isEmpty() else _families(big, sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
+        if found is None:
+            break
+        links += found[1]
+        rest = rows.join(found[0], "rep", "anti")
+        sizes = _sizes(rest)
+        # Nodes that have become small are leaves like any other.
+        was_big = big.select("node").distinct()
+        groups = _leaf_groups(rest, sizes.filter(F.col("n") <= leaf).join(was_big, "node", "semi"), sigs, agree, f"leaves-family-{turn}")
+        links.append(_compare(groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side")), texts, width=width, percent=percent, name=f"links-family-{turn}"))
+        rows = cut(rest.join(was_big, "node", "semi"), f"rest-{turn}")
+        big = cut(rows.join(_sizes(rows).filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-family-{turn}")
+    for level in range(1, LEVELS + 1):
+        if big.isEmpty():
+            break
+        if level == LEVELS:
+            links.append(_rest_links(big, _labels(links), texts, width=width, percent=percent, block=block))
+            break
+        rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
+        sizes = cut(_sizes(rows), f"sizes-{level}")
+        groups = _leaf_groups(rows, sizes.filter(F.col("n") <= leaf), sigs, agree, f"leaves-{level}")
+        links.append(_compare(groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side")), texts, width=width, percent=percent, name=f"links-{level}"))
+        big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-{level}")
     labels = _labels(links)
     named = classes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
@@ -276,33 +318,68 @@ def near_duplicates(
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _pivot_links(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, agree: int, pivots: int, block: int) -> DataFrame:
-    """Compare the members of large nodes, each in one of its nodes, with a few pivots of that node."""
-    home = big.groupBy("rep").agg(F.min("node").alias("node"))
-    chosen = [F.min_by("rep", F.xxhash64(F.lit(k), F.col("rep"), F.col("node"))).alias(f"p{k}") for k in range(pivots)]
-    heads = home.groupBy("node").agg(*chosen).select("node", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("pivot"))
-    pairs = home.join(heads, "node").filter("rep <> pivot").join(sigs, "rep")
-    pairs = pairs.join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("other")), "pivot")
+def _agreement(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """rows(pivot, rep) with k, the number of smallest hashes that agree."""
 
     @F.pandas_udf("int")
-    def agreeing(a, b):
-        import pandas as pd
-
+    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), HASHES)
         y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), HASHES)
         return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
-    near = cut(pairs.select("pivot", "rep", agreeing("sig", "other").alias("k")).filter(F.col("k") >= agree).select("pivot", "rep").distinct(), "pivot-pairs")
-    counts = near.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = near.join(counts, "pivot").select("rep", F.lit(1).alias("side"), F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("grp"))
-    leads = counts.select(F.col("pivot").alias("rep"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    leads = leads.select("rep", F.lit(0).alias("side"), F.xxhash64("rep", "b").alias("grp"))
-    groups = placed.unionByName(leads).select("grp", "rep", F.col("rep").alias("label"), "side")
-    return _compare(groups, texts, width=width, percent=percent, name="links-pivots")
-
-
-def _rest_links(last: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
+    both = rows.join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("other")), "pivot")
+    return both.select("pivot", "rep", agreeing("sig", "other").alias("k"))
+
+
+def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows(key, rep) with b, one of as many blocks as keep each near `block` rows."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return rows.join(counts, key).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+
+
+def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, leaf: int, block: int, turn: int):
+    """(settled members, links) of the families in large nodes, or None if there is no family."""
+    central = big.groupBy("rep").agg(F.sum("n").alias("c"))
+    heads = big.join(central, "rep").groupBy("node").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("pivot"))
+    near = _agreement(big.join(heads, "node").select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= AGREE)
+    pivots = near.groupBy("pivot").agg(F.count("*").alias("n")).filter(F.col("n") > leaf // 2).select("pivot")
+    pivots = cut(pivots.join(central.withColumnRenamed("rep", "pivot"), "pivot"), f"pivots-{turn}")
+    if pivots.isEmpty():
+        return None
+    nodes = big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot")
+    # One pivot for a family: it goes where a more central one is much like it.
+    rivals = nodes.join(nodes.select("node", F.col("pivot").alias("rep"), F.col("c").alias("d")), "node").filter("struct(c, -pivot) > struct(d, -rep)").select("pivot", "rep").distinct()
+    beaten = _agreement(rivals, sigs).filter(F.col("k") >= AGREE + 4).select(F.col("rep").alias("pivot")).distinct()
+    pivots = cut(pivots.join(beaten, "pivot", "anti").select("pivot"), f"pivots-kept-{turn}")
+    nodes = big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot")
+    pairs = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot").select("pivot", "rep").distinct()
+    pairs = cut(_agreement(pairs, sigs).filter(F.col("k") >= AGREE - 6).select("pivot", "rep"), f"pivot-pairs-{turn}")
+    placed = _blocks(pairs, "pivot", block)
+    members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
+    leads = placed.select(F.col("pivot").alias("rep"), F.xxhash64("pivot", "b").alias("grp"), F.lit(0).alias("side")).distinct()
+    groups = cut(members.unionByName(leads), f"pivot-groups-{turn}")
+    with_text = groups.join(only_near(texts, "rep", groups.select("rep").distinct()), "rep").select("grp", "rep", "side", "text")
+    ring = cut(map_groups(with_text, "grp", _similar(width), "pivot bigint, rep bigint, both bigint, either bigint"), f"rings-{turn}")
+    least = lambda p: 100 * F.col("both") >= p * F.col("either")
+    linked = ring.filter(least(percent)).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    inner = ring.filter(least(2 * percent - 100))
+    asking = ring.filter(least(2 * percent - 100) & ~least(percent)).select("pivot", "rep")
+    asking = cut(_blocks(asking, "pivot", block).select("pivot", "rep", F.col("b").alias("o")), f"asking-{turn}")
+    outer = ring.filter(least(3 * percent - 200)).select("pivot", "rep", least(percent).alias("linked"))
+    outer = cut(_blocks(outer.join(asking.select("pivot").distinct(), "pivot", "semi"), "pivot", block).select("pivot", "rep", "linked", "b", "blocks"), f"outer-{turn}")
+    spans = outer.select("pivot", "blocks").distinct().select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    left = asking.join(spans, "pivot").select("pivot", "o", "b", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
+    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("rep")).alias("label")
+    right = outer.join(asking.select("pivot", "o").distinct(), "pivot").select("pivot", "o", "b", "rep", label, F.lit(1).alias("side"))
+    both = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side").dropDuplicates(["grp", "rep", "side"])
+    asked = _compare(cut(both, f"asking-groups-{turn}"), texts, width=width, percent=percent, name=f"links-outer-{turn}")
+    settled = cut(inner.select("rep").unionByName(pivots.select(F.col("pivot").alias("rep"))).distinct(), f"settled-{turn}")
+    return settled, [linked, asked]
+
+
+def _rest_links(big: DataFrame, labels: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
     """In nodes that are still large and mixed: members outside the largest group against all, in blocks."""
+    last = big.select("node", "n", "rep").distinct().join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     by_label = last.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = by_label.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     blocks = last.join(main, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -314,7 +391,7 @@ def _rest_links(last: DataFrame, texts: DataFrame, *, width: int, percent: int,
     right = own.select("node", "rep", "label", F.col("b").alias("a")).join(out_blocks, "node").withColumn("side", F.lit(1))
     both = left.select("node", "o", "a", "rep", "label", "side").unionByName(right.select("node", "o", "a", "rep", "label", "side"))
     groups = both.select(F.xxhash64("node", "o", "a").alias("grp"), "rep", "label", "side")
-    return _compare(groups, texts, width=width, percent=percent, name="links-rest")
+    return _compare(cut(groups, "rest-groups"), texts, width=width, percent=percent, name="links-rest")
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
