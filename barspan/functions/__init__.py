@@ -64,8 +64,3 @@ def right_closed(x: Column, edges: list[float], labels: list[str]) -> Column:
     for k in range(1, len(labels)):
         out = out.when((x > edges[k]) & (x <= edges[k + 1]), labels[k])
     return out
-
-
-def max_drawdown(kind: str, equity: Column, peak: Column) -> Column:
-    """Drawdown of one row from its peak: additive (money, pips, logs) or as a share."""
-    return equity - peak if kind == "additive" else equity / peak - 1

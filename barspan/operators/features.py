@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +179,3 @@ def valid_forward(bars: DataFrame, h: int, step_seconds: int, out: str = "valid_
     frame = lambda w: w.rowsBetween(0, h - 1)
     ok = lambda w: (F.count("_step").over(frame(w)) == h) & (F.min("_step").over(frame(w)) == step_seconds) & (F.max("_step").over(frame(w)) == step_seconds)
     return rolling(b, {out: ok}, ahead=h).drop("_step")
-
-
-def log2_levels(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, n))))

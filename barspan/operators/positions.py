@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspan.functions import ratio
-
 from .scan import framed, rolling, running
 
 
@@ -134,7 +132,3 @@ def streaks(trades: DataFrame, pnl: str, *, keys: list[str], order: str) -> Data
     under = t.groupBy(*keys, "_uw").agg(F.sum("_under").alias("k")).groupBy(*keys).agg(F.max("k").alias("underwater_trades"))
     rest = t.groupBy(*keys).agg(F.sum("_back").alias("recoveries"), (F.max_by("_under", order) == 1).alias("open_underwater"), F.round(F.min(F.col("_eq") - F.col("_peak")), 6).alias("max_drawdown"))
     return losing.join(under, keys).join(rest, keys)
-
-
-def efficiency(a: Column, b: Column) -> Column:
-    return ratio(F.abs(a), b)

@@ -41,10 +41,6 @@ def rolling(df: DataFrame, exprs: dict[str, Callable[[WindowSpec], Column]], *,
     return spread.withColumns({name: make(w) for name, make in exprs.items()}).filter(F.col("_chunk") == at).drop("_chunk")
 
 
-def last_n(n: int) -> Callable[[WindowSpec], WindowSpec]:
-    return lambda w: w.rowsBetween(-(n - 1), 0)
-
-
 def framed(agg: Callable[[Column], Column], x: Column, first: int, last: int, least: int | None = None) -> Callable[[WindowSpec], Column]:
     """agg(x) over rows first..last, null unless `least` values of x are in the frame."""
 

@@ -96,9 +96,6 @@ def w09(spark, sf):
     return keep(rolling(b, {"er": lambda w: F.abs(F.col("close") - F.lag("close", 20).over(w)) / F.nullif(F.sum("step").over(w.rowsBetween(-19, 0)), F.lit(0))}, back=20), "er")
 
 
-EMA = """RECURSIVE e AS (SELECT symbol, row_pos, "close" AS y FROM bars WHERE row_pos = 0 UNION ALL SELECT b.symbol, b.row_pos, e.y * (1 - {a}) + {a} * b."close" FROM e JOIN bars b ON b.symbol = e.symbol AND b.row_pos = e.row_pos + 1)"""
-
-
 @query("w10_exponential_mean", f"""WITH RECURSIVE {H}, e AS (SELECT symbol, row_pos, "close" AS y FROM bars WHERE row_pos = 0 UNION ALL SELECT b.symbol, b.row_pos, e.y * (1 - 2.0::DOUBLE / 21) + 2.0::DOUBLE / 21 * b."close" FROM e JOIN bars b ON b.symbol = e.symbol AND b.row_pos = e.row_pos + 1)
 SELECT symbol, row_pos, CASE WHEN row_pos >= 19 THEN round(y, 6) END AS ema FROM e""")
 def w10(spark, sf):

@@ -25,18 +25,6 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(ticks, symbol="l_returnflag", ts="l_shipdate", price="price", volume=F.col("l_quantity"), tie=["l_orderkey", "l_linenumber"], step_seconds=86400)
 
 
-def side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A side series for each event type: daily mean order price (in thousands) of one order priority, moved into the bars' span."""
-    orders = table(spark, sf_dir, "orders")
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    names = F.array(*[F.lit(x) for x in PRIORITIES])
-    rows = orders.groupBy((F.array_position(names, F.col("o_orderpriority")) - 1).alias("k"), F.pmod(day, F.lit(240)).alias("slot")).agg((F.avg("o_totalprice") / 1000).alias("rate"))
-    return rows
-
-
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 def _bars_sql(symbol: str, ts: str, price: str, volume: str, tie: str, source: str, step: int, name: str) -> str:
     return f"""{name}0 AS (SELECT {symbol} AS symbol, to_timestamp(floor(epoch({ts}) / {step}) * {step}) AT TIME ZONE 'UTC' AS ts, {price} AS price, {volume} AS vol,
   row({ts}, {tie}) AS ord FROM {source} WHERE {price} > 0),
