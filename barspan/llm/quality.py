@@ -86,6 +86,26 @@ class QualityModel:
         return self.vectors.shape[1]
 
     def chunk_row(self, chunk: str) -> np.ndarray:
+        """Sum of the chunk's word vectors, then its counts; words with one stop at most take a short way."""
+        other = self.vocabulary[OTHER]
+        stop = chunk[-1] if chunk[-1] in ",.;:!?" else ""
+        word = chunk[:-1] if stop else chunk
+        if word.isalpha() and not (stop and len(word) == 0):
+            title = word[0].isupper()
+            capital = title and len(word) > 1 and word.isupper()
+            if not title and not word.islower() or title and not capital and not (word[1:].islower() or len(word) == 1):
+                return self._any_row(chunk)
+            shape = "<shape>" + (("A" if capital else "Aa" if title else "a") + stop)
+            row = np.empty(self.width + FIELDS, np.float32)
+            row[:-FIELDS] = self.vectors[self.vocabulary.get(word.lower(), other)]
+            row[:-FIELDS] += self.vectors[self.vocabulary.get(shape, other)]
+            if stop:
+                row[:-FIELDS] += self.vectors[self.vocabulary.get("<s>" + stop, other)]
+            row[-FIELDS:] = (1, 3 if stop else 2, len(word) if capital else int(title), len(word), len(stop), len(chunk))
+            return row
+        return self._any_row(chunk)
+
+    def _any_row(self, chunk: str) -> np.ndarray:
         found = tokens(chunk)
         other = self.vocabulary[OTHER]
         row = np.zeros(self.width + FIELDS, np.float32)
@@ -207,7 +227,7 @@ def _context(sample: DataFrame, vocabulary: dict[str, int], index: np.ndarray, w
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000, vocabulary_size: int = 6000, width: int = 96) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6_000, vocabulary_size: int = 6000, width: int = 64) -> QualityModel:
     """Fit on a bounded sample: about max_rows labelled rows, chosen by a hash of the id.
 
     Rows without id or label teach nothing; of several labels for an id the largest counts.
@@ -252,7 +272,7 @@ def predict(spark, model: QualityModel, text: Column) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        rows = ChunkRows(model.chunk_row, model.width + FIELDS, 100_000)
+        rows = ChunkRows(model.chunk_row, model.width + FIELDS, 250_000)
         for texts in parts:
             yield pd.Series(model.scores(model.features(list(texts), rows)))
 
