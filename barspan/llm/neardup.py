@@ -36,7 +36,7 @@ from .components import components
 TREES, BRANCHES, LEVELS = 4, 2, 4
 HASHES = TREES * BRANCHES * LEVELS
 #: So many times the most central members of large nodes are taken as pivots of families.
-FAMILY_TURNS = 2
+FAMILY_TURNS = 1
 #: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: at similarity
 #: 0.85 fewer agree in about one pair of ten million.
 AGREE = 16
@@ -232,12 +232,17 @@ def _node_rows(members: DataFrame, level: int) -> DataFrame:
     return members.select("rep", F.explode(F.array(*made)).alias("x")).select("x.node", "x.tree", "rep")
 
 
-def _leaf_groups(rows: DataFrame, small: DataFrame, sigs: DataFrame, agree: int, name: str) -> DataFrame:
-    """Distinct sketch-connected parts of the small nodes, as (grp, rep)."""
+def _small(rows: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+    """Members of the small nodes, with what tells nodes of equal members: (node, rep, n, low, mark)."""
+    return rows.select("node", "rep").join(sizes.filter(F.col("n") <= leaf), "node")
+
+
+def _leaf_groups(small: DataFrame, sigs: DataFrame, agree: int) -> DataFrame:
+    """Distinct sketch-connected parts of the small nodes, as (grp, rep); equal nodes are looked at once."""
     once = small.groupBy("n", "low", "mark").agg(F.min("node").alias("node"))
-    members = rows.join(once.select("node"), "node").select("node", "rep").distinct()
+    members = small.select("node", "rep").join(once.select("node"), "node", "semi").distinct()
     sketched = members.join(sigs, "rep").select("node", "rep", "sig")
-    return cut(map_groups(sketched, "node", _sketch_parts(agree), "grp bigint, rep bigint").distinct(), name)
+    return cut(map_groups(sketched, "node", _sketch_parts(agree), "grp bigint, rep bigint").distinct(), "leaves")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -277,12 +282,11 @@ def near_duplicates(
 
     rows = cut(_node_rows(reps, 0), "nodes-0")
     sizes = cut(_sizes(rows), "sizes-0")
-    groups = _leaf_groups(rows, sizes.filter(F.col("n") <= leaf), sigs, agree, "leaves-0")
-    plain = groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
+    small = [_small(rows, sizes, leaf)]
     # Rows that repeat an id with several texts tie their sets together.
     same = usable.join(classes, "set_hash").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("u"))
-    links = [_compare(plain, texts, width=width, percent=percent, name="links-0"), same.join(repeated, "u", "semi").select("u", "v")]
+    links = [same.join(repeated, "u", "semi").select("u", "v")]
 
     big = rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
     big = cut(big, "big-0")
@@ -291,14 +295,10 @@ def near_duplicates(
         if found is None:
             break
         links += found[1]
-        rest = rows.join(found[0], "rep", "anti")
-        sizes = _sizes(rest)
-        # Nodes that have become small are leaves like any other.
-        was_big = big.select("node").distinct()
-        groups = _leaf_groups(rest, sizes.filter(F.col("n") <= leaf).join(was_big, "node", "semi"), sigs, agree, f"leaves-family-{turn}")
-        links.append(_compare(groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side")), texts, width=width, percent=percent, name=f"links-family-{turn}"))
-        rows = cut(rest.join(was_big, "node", "semi"), f"rest-{turn}")
-        big = cut(rows.join(_sizes(rows).filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-family-{turn}")
+        rows = cut(big.select("node", "tree", "rep").join(found[0], "rep", "anti"), f"rest-{turn}")
+        sizes = cut(_sizes(rows), f"sizes-family-{turn}")
+        small.append(_small(rows, sizes, leaf))  # nodes that have become small are leaves like any other
+        big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-family-{turn}")
     for level in range(1, LEVELS + 1):
         if big.isEmpty():
             break
@@ -307,9 +307,11 @@ def near_duplicates(
             break
         rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
         sizes = cut(_sizes(rows), f"sizes-{level}")
-        groups = _leaf_groups(rows, sizes.filter(F.col("n") <= leaf), sigs, agree, f"leaves-{level}")
-        links.append(_compare(groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side")), texts, width=width, percent=percent, name=f"links-{level}"))
+        small.append(_small(rows, sizes, leaf))
         big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-{level}")
+    groups = _leaf_groups(reduce(DataFrame.unionByName, small), sigs, agree)
+    leaves = groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
+    links.append(_compare(leaves, texts, width=width, percent=percent, name="links-leaves"))
     labels = _labels(links)
     named = classes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
