@@ -110,15 +110,18 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, roll_
 
     key = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     best = roles(pages, min_revisit_bytes=min_revisit_bytes)
-    marked = pages.withColumn("key", key).join(best, "key", "left").withColumn("part", part_of("page_id"))
-    ranged = marked.repartition(parts, "part").sortWithinPartitions("part", "page_id", "key", "url")
+    # What a record refers to travels as a row of its own that sorts just before it, so payloads are shuffled once.
+    keyed = pages.withColumn("key", key)
+    marks = keyed.select("page_id", "key").join(best, "key").distinct().withColumn("payload", F.lit(0))
+    both = keyed.withColumn("payload", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("part", part_of("page_id"))
+    ranged = both.repartition(parts, "part").sortWithinPartitions("part", "page_id", "key", "payload", "url")
     base = path.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base)
-        part, seq, done, temp, out = None, 0, [], None, None
+        part, seq, done, temp, out, mark = None, 0, [], None, None, None
 
         def close():
             nonlocal out, seq
@@ -130,7 +133,11 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, roll_
 
         for batch in batches:
             payloads = texts_of(batch.column("html"))
-            for p, i, url, refers, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "url", "best")), payloads, strict=True):
+            for p, i, url, best_id, digest, whole, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "url", "best", "key", "payload")), payloads, strict=True):
+                if not whole:
+                    mark = (i, digest, best_id)
+                    continue
+                refers = mark[2] if mark and mark[:2] == (i, digest) else None
                 if out and (p != part or out["bytes"] >= roll_bytes):
                     close()
                 if p != part:
@@ -153,7 +160,7 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, roll_
             ["file", "part", "records", "bytes", "sha256"],
         )
 
-    ranged.select("part", "page_id", "url", "best", "html").mapInArrow(write, MANIFEST).write.parquet(f"{base}/_manifest")
+    ranged.select("part", "page_id", "url", "best", "key", "payload", "html").mapInArrow(write, MANIFEST).write.parquet(f"{base}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{base}/_manifest")
 
 
