@@ -11,42 +11,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, new_path, read_table
 
 
 def scatter_key(id_col: str, seed: int) -> Column:
-    """Seeded hash of a record's id; rows without an id are told apart by their place in the input."""
-    own = F.xxhash64(F.lit(seed), F.col(id_col))
-    return F.when(F.col(id_col).isNotNull(), own).otherwise(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    """Seeded hash of a record's id and, where its id tells it from too few others, of its own number."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col("_salt"))
 
 
-def shard(records: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "doc_id", row_bytes: Column | None = None, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Add shard (0..shards-1) and slot (gapless from 0 in each shard) to every record.
+def _salted(records: DataFrame, id_col: str, size: Column, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Records with _salt, and their bytes in all.
+
+    Rows without an id, and rows of an id that fills more than a bucket, get numbers as _salt; they
+    are written first, so that every later pass sees the same ones.  The others have null.
+    """
+    weights = cut(records.groupBy(F.col(id_col).alias("_id")).agg(F.sum(size).alias("bytes")).select("_id", "bytes", (F.col("_id").isNull() | (F.col("bytes") > bucket_bytes)).alias("odd")), "weights")
+    total = weights.agg(F.sum("bytes")).first()[0] or 0
+    odd = weights.filter("odd").select("_id")
+    plain = records.withColumn("_salt", F.lit(None).cast("bigint"))
+    if odd.isEmpty():
+        return plain, total
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    numbered = cut(records.join(odd, same, "semi").withColumn("_salt", F.monotonically_increasing_id()), "numbered")
+    return plain.join(odd, same, "anti").unionByName(numbered), total
+
+
+def shard(records: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str = "doc_id", row_bytes: Column | None = None, bucket_bytes: int = 8 << 20, path: str | None = None) -> DataFrame:
+    """Write every record into its shard, under path/shard=K, and read all back with shard (0..shards-1) and slot (gapless from 0 in each shard).
 
     Law `rows`: shard sizes differ by one row at most.  All columns are kept; row_bytes is an
     estimate of a record's size (64 where not given) that sets the number of buckets.  Null ids,
     repeated rows and ties are records like any other; an empty table gives an empty result.
-    Columns named shard or slot are replaced.
+    Columns named shard or slot are replaced.  Without a path the shards lie in the shared folder;
+    each file is ordered by slot and holds the rows of one or a few buckets.
     """
+    spark = records.sparkSession
     records = records.drop("shard", "slot")
     size = F.coalesce(row_bytes.cast("bigint"), F.lit(0)) + 64 if row_bytes is not None else F.lit(64)
-    total = records.agg(F.sum(size)).first()[0] or 0
+    salted, total = _salted(records, id_col, size, bucket_bytes)
     buckets = max(1, -(-total // bucket_bytes))
     key = scatter_key(id_col, seed)
-    scattered = records.select(F.struct(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record")).alias("row"))
+    # Buckets follow from ids and written numbers alone, so sizes may be counted before the records move.
+    sizes = salted.groupBy(F.pmod(key, F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    places = cut(sizes.select("bucket", before.alias("before")), "places")
+    scattered = salted.select(F.struct(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record")).alias("row"))
     gathered = scattered.groupBy(F.pmod(F.col("row.key"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("row").alias("rows"))
     in_order = F.array_sort("rows", lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
     shuffled = gathered.select("bucket", F.posexplode(F.shuffle(in_order, seed)).alias("rank", "row"))
-    # The written table fixes the permutation: what follows reads one attempt's output only.
-    written = cut(shuffled.select("bucket", "rank", "row.record"), "shuffled")
-    sizes = written.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     place = F.col("before") + F.col("rank")
-    return (
-        written.join(sizes.select("bucket", before.alias("before")), "bucket")
-        .withColumns({"_place": place})
-        .select("record.*", F.pmod("_place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("_place") / shards).cast("bigint").alias("slot"))
-    )
+    placed = shuffled.join(places, "bucket").withColumn("_place", place).select("row.record.*", F.floor(F.col("_place") / shards).cast("bigint").alias("slot"), F.pmod("_place", F.lit(shards)).cast("int").alias("shard"))
+    # One pass writes the shards; what follows reads one attempt's output only.
+    path = path or new_path(spark, "shards")
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in records.columns], "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str, *, rows_per_file: int = 1 << 20) -> None:
@@ -57,8 +75,8 @@ def write_shards(sharded: DataFrame, path: str, *, rows_per_file: int = 1 << 20)
 
 
 def op4_shuffle_shards(spark, sf_dir: str) -> DataFrame:
+    """Whole documents go into the shards; sizes and digests are taken from what the shards hold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    records = read_table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return shard(records).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    sharded = shard(docs, row_bytes=F.octet_length(text))
+    return sharded.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
