@@ -12,8 +12,8 @@ first.  A family's most central member, the one in the largest nodes, is its piv
 similarities to the pivot p give an inner ring (a: J >= 2t - 1, for the threshold t) and an
 outer ring (b: J >= 3t - 2).  1 - J is a metric, so a partner of an inner member lies in the
 outer ring: members that link to p are connected, inner ones that do not are compared with the
-whole outer ring in blocks, and after that no link of an inner member is unknown.  Only documents
-that are inner to no pivot branch on.  What is still large after the last level is compared in
+whole outer ring in blocks, and after that no link of an inner member within a node of the pivot is
+unknown.  Only documents that are inner to no pivot of their node branch on.  What is still large after the last level is compared in
 blocks, every member outside the node's largest group with every member of the node.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ FAMILY_TURNS = 1
 #: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: at similarity
 #: 0.85 fewer agree in about one pair of ten million.
 AGREE = 16
+#: Members of the outer ring of which fewer smallest hashes agree with the pivot's: so few at most.
+RING_TAIL = 2.5e-5
 
 _RNG = np.random.default_rng(20_240_601)
 _MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -295,7 +298,7 @@ def near_duplicates(
         if found is None:
             break
         links += found[1]
-        rows = cut(big.select("node", "tree", "rep").join(found[0], "rep", "anti"), f"rest-{turn}")
+        rows = cut(big.select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
         sizes = cut(_sizes(rows), f"sizes-family-{turn}")
         small.append(_small(rows, sizes, leaf))  # nodes that have become small are leaves like any other
         big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-family-{turn}")
@@ -320,6 +323,18 @@ def near_duplicates(
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def ring_bar(percent: int) -> int:
+    """Smallest hashes that agree at least: at the outer ring's least similarity, 3t - 2, fewer do in a share of RING_TAIL at most."""
+    least = max(0.0, (3 * percent - 200) / 100)
+    bar, below = 0, 0.0
+    while bar < HASHES:
+        below += comb(HASHES, bar) * least**bar * (1 - least) ** (HASHES - bar)
+        if below > RING_TAIL:
+            break
+        bar += 1
+    return bar
+
+
 def _agreement(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     """rows(pivot, rep) with k, the number of smallest hashes that agree."""
 
@@ -340,7 +355,11 @@ def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
 
 
 def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, leaf: int, block: int, turn: int):
-    """(settled members, links) of the families in large nodes, or None if there is no family."""
+    """(settled places of members, links) of the families in large nodes, or None if there is no family.
+
+    An inner member is settled in the nodes that hold its pivot too: all others there were compared
+    with the pivot.  In its other nodes it branches on.
+    """
     central = big.groupBy("rep").agg(F.sum("n").alias("c"))
     heads = big.join(central, "rep").groupBy("node").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("pivot"))
     near = _agreement(big.join(heads, "node").select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= AGREE)
@@ -354,8 +373,9 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     beaten = _agreement(rivals, sigs).filter(F.col("k") >= AGREE + 4).select(F.col("rep").alias("pivot")).distinct()
     pivots = cut(pivots.join(beaten, "pivot", "anti").select("pivot"), f"pivots-kept-{turn}")
     nodes = big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot")
-    pairs = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot").select("pivot", "rep").distinct()
-    pairs = cut(_agreement(pairs, sigs).filter(F.col("k") >= AGREE - 6).select("pivot", "rep"), f"pivot-pairs-{turn}")
+    around = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot")
+    pairs = around.select("pivot", "rep").distinct()
+    pairs = cut(_agreement(pairs, sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep"), f"pivot-pairs-{turn}")
     placed = _blocks(pairs, "pivot", block)
     members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
     leads = placed.select(F.col("pivot").alias("rep"), F.xxhash64("pivot", "b").alias("grp"), F.lit(0).alias("side")).distinct()
@@ -375,7 +395,8 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     right = outer.join(asking.select("pivot", "o").distinct(), "pivot").select("pivot", "o", "b", "rep", label, F.lit(1).alias("side"))
     both = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side").dropDuplicates(["grp", "rep", "side"])
     asked = _compare(cut(both, f"asking-groups-{turn}"), texts, width=width, percent=percent, name=f"links-outer-{turn}")
-    settled = cut(inner.select("rep").unionByName(pivots.select(F.col("pivot").alias("rep"))).distinct(), f"settled-{turn}")
+    places = around.join(inner, ["pivot", "rep"], "semi").select("node", "rep").unionByName(nodes.select("node", F.col("pivot").alias("rep")))
+    settled = cut(places.distinct(), f"settled-{turn}")
     return settled, [linked, asked]
 
 
