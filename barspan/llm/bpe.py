@@ -16,6 +16,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -156,9 +157,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, ids_col: str = "ids", out
     """Add the decoded text of an array of ids; null stays null, an empty array gives ''."""
 
     @F.pandas_udf("string")
-    def run(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = WordBpe(tokenizer_path)
         for ids in parts:
             yield pd.Series([None if x is None else bpe.decode(x) for x in ids], dtype="object")

@@ -134,11 +134,14 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, list]], list[tup
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, {n: [] for n in names}, []
+        at, group, out, held = None, {n: [] for n in names}, [], 0
 
         def flush():
+            nonlocal held
             if group[key]:
-                out.extend(fn(group))
+                found = fn(group)
+                held += sum(len(v) for r in found for v in r if isinstance(v, bytes))
+                out.extend(found)
                 for n in names:
                     group[n] = []
 
@@ -159,9 +162,9 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[dict[str, list]], list[tup
                     at = k
             for n in names:
                 group[n] += columns[n][start:]
-            if len(out) >= 5000:
+            if len(out) >= 5000 or held >= 16 << 20:
                 yield batch_of(out)
-                out = []
+                out, held = [], 0
         flush()
         yield batch_of(out)
 

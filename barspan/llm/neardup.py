@@ -5,16 +5,26 @@ Independent trees branch the classes: at every level a node's members go to two
 named by the smallest hash of their set under one of two hash functions of that tree and level.
 Nodes of one member end; small nodes are compared exhaustively, first by sketches and then on
 full sets; large nodes branch again.  With two branches a pair of similarity 0.85 stays together
-in a tree with probability over 0.96 at any depth, so four trees miss less than one in 100,000.
+in a tree with probability over 0.96 at any depth (0.93 at 0.8), so four trees miss less than
+one pair in 100,000 (50,000).
 
 Large nodes that hold a family of near copies would never fall apart, so families are settled
 first.  A family's most central member, the one in the largest nodes, is its pivot.  Exact
 similarities to the pivot p give an inner ring (a: J >= 2t - 1, for the threshold t) and an
 outer ring (b: J >= 3t - 2).  1 - J is a metric, so a partner of an inner member lies in the
-outer ring: members that link to p are connected, inner ones that do not are compared with the
-whole outer ring in blocks, and after that no link of an inner member within a node of the pivot is
-unknown.  Only documents that are inner to no pivot of their node branch on.  What is still large after the last level is compared in
-blocks, every member outside the node's largest group with every member of the node.
+outer ring: members that link to p are connected, the others of both rings are compared with the
+whole outer ring in blocks of many thousands, and after that the links of an inner member within a
+node of the pivot are known but for those that the sketches miss (RING_TAIL).  Where a node holds
+but few documents outside the rings, these are compared with each other and the outer ring's rim,
+and the node is done.  Else the documents that are inner to no pivot of their node branch on.  What
+is still large after the last level is compared in blocks, every member outside the node's largest
+group with every member of the node.
+
+Within a block most pairs need no look.  Let c be the shingles that most members hold; a member
+lacks some of them (M) and adds others (B).  If f and y link and f does not link to c, then
+100 |M_y| + P |B_y| < (100 + P) (|M_f & M_y| + |B_f & B_y|): where y adds as much as it lacks, the
+two share an addition.  So members that link to c, or lack more than they add, are compared with
+all, and every other one with those that share an addition with it or are both near c and shorter.
 """
 
 from __future__ import annotations
@@ -36,11 +46,13 @@ from .components import components
 
 TREES, BRANCHES, LEVELS = 4, 2, 4
 HASHES = TREES * BRANCHES * LEVELS
-#: So many times the most central members of large nodes are taken as pivots of families.
-FAMILY_TURNS = 1
-#: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: at similarity
-#: 0.85 fewer agree in about one pair of ten million.
+#: So many times at most members of large nodes are taken as pivots of families.
+FAMILY_TURNS = 4
+#: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: fewer agree in
+#: about 6 of ten million pairs at similarity 0.85 and, scaled to 15, in 7 of a million at 0.8.
 AGREE = 16
+#: Shingles that a block of compared members holds on average at most, however long its texts are.
+BLOCK_SHINGLES = 1 << 20
 #: Members of the outer ring of which fewer smallest hashes agree with the pivot's: so few at most.
 RING_TAIL = 2.5e-5
 
@@ -144,16 +156,19 @@ def _sketch_parts(agree: int):
 
 
 def _intersections(sets: list[np.ndarray]):
-    """A function giving the sizes of the intersections of set i with all sets at once."""
+    """A function giving the sizes of the intersections of set i with all sets, or those at some places, at once."""
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([len(x) for x in sets])
     starts = ends - np.array([len(x) for x in sets])
     present = np.zeros(len(vocabulary), bool)
 
-    def of(i: int) -> np.ndarray:
+    def of(i: int, some: np.ndarray | None = None) -> np.ndarray:
         own = flat[starts[i] : ends[i]]
         present[own] = True
-        out = np.add.reduceat(present[flat], starts, dtype=np.int64)
+        if some is None:
+            out = np.add.reduceat(present[flat], starts, dtype=np.int64)
+        else:
+            out = np.array([np.count_nonzero(present[flat[starts[j] : ends[j]]]) for j in some], np.int64)
         present[own] = False
         return out
 
@@ -168,6 +183,30 @@ def _sets(g: dict[str, list], width: int, held: dict) -> tuple[list[np.ndarray],
     return [sets[i] for i in rows], rows
 
 
+def _worth_a_look(sets: list[np.ndarray], percent: int):
+    """For each member the places of those it can link to, or None for all of them."""
+    vocabulary, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    starts = ends - size
+    common = counts > len(sets) / 2
+    held = np.add.reduceat(common[flat], starts, dtype=np.int64)
+    near = 100 * held >= percent * (size + common.sum() - held)
+    shorter = size - held < common.sum() - held
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    both = np.flatnonzero(near & shorter)
+
+    def of(i: int) -> np.ndarray | None:
+        if near[i] or shorter[i]:
+            return None
+        own = flat[starts[i] : ends[i]]
+        return np.unique(np.concatenate([both, *[owner[firsts[e] : firsts[e + 1]] for e in own[~common[own]]]]))
+
+    return of
+
+
 def _exact(width: int, percent: int):
     """Links within a group on full sets, as (u, v): each member's smallest connected member.
 
@@ -184,12 +223,13 @@ def _exact(width: int, percent: int):
         n, first, union, size = len(sets), {}, Union(len(sets)), np.array([len(x) for x in sets])
         for i, label in enumerate(labels):
             union.join(i, first.setdefault(label, i))
-        of = _intersections(sets)
+        of, worth = _intersections(sets), _worth_a_look(sets, percent) if n > 64 else lambda i: None
         for i in sorted(range(n), key=lambda i: (-size[i], reps[i])):
             if sides[i] == 0:
-                both = of(i)
-                for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)):
-                    union.join(i, int(j))
+                some = worth(i)
+                both, other = (of(i), size) if some is None else (of(i, some), size[some])
+                for j in np.flatnonzero(100 * both >= percent * (size[i] + other - both)):
+                    union.join(i, int(j if some is None else some[j]))
         low: dict[int, int] = {}
         for i in range(n):
             root = union.find(i)
@@ -265,7 +305,7 @@ def near_duplicates(
     percent: int = 80,
     agree: int | None = None,
     leaf: int = 64,
-    block: int = 256,
+    block: int = 8192,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept.
 
@@ -280,8 +320,8 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(usable.join(classes, [usable["set_hash"] == classes["set_hash"], usable["doc_id"] == classes["rep"]]).select("rep", "mins", "sig"), "reps")
-    sigs = reps.select("rep", "sig")
+    reps = cut(usable.join(classes, [usable["set_hash"] == classes["set_hash"], usable["doc_id"] == classes["rep"]]).select("rep", "mins", "sig", "n_shingles"), "reps")
+    sigs = reps.select("rep", "sig", "n_shingles")
 
     rows = cut(_node_rows(reps, 0), "nodes-0")
     sizes = cut(_sizes(rows), "sizes-0")
@@ -306,7 +346,7 @@ def near_duplicates(
         if big.isEmpty():
             break
         if level == LEVELS:
-            links.append(_rest_links(big, _labels(links), texts, width=width, percent=percent, block=block))
+            links.append(_rest_links(big, _labels(links), sigs, texts, width=width, percent=percent, block=block))
             break
         rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
         sizes = cut(_sizes(rows), f"sizes-{level}")
@@ -348,9 +388,10 @@ def _agreement(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("pivot", "rep", agreeing("sig", "other").alias("k"))
 
 
-def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows(key, rep) with b, one of as many blocks as keep each near `block` rows."""
-    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _blocks(rows: DataFrame, key: str, sigs: DataFrame, block: int) -> DataFrame:
+    """rows(key, rep) with b, one of as many blocks as keep each near `block` rows and BLOCK_SHINGLES."""
+    weight = F.greatest(F.lit(1 / block), F.col("n_shingles") / BLOCK_SHINGLES)
+    counts = rows.join(sigs.select("rep", "n_shingles"), "rep").groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"))
     return rows.join(counts, key).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
 
 
@@ -358,11 +399,15 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     """(settled places of members, links) of the families in large nodes, or None if there is no family.
 
     An inner member is settled in the nodes that hold its pivot too: all others there were compared
-    with the pivot.  In its other nodes it branches on.
+    with the pivot.  In its other nodes it branches on.  Every member of a node that is done is settled.
+    Rows of the groups grow in proportion to a family until it fills several blocks.
     """
     central = big.groupBy("rep").agg(F.sum("n").alias("c"))
-    heads = big.join(central, "rep").groupBy("node").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("pivot"))
-    near = _agreement(big.join(heads, "node").select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= AGREE)
+    # Beside the most central member two others by hash, so that a node with several families loses more than one.
+    others = [F.max_by("rep", F.xxhash64(F.lit(turn), F.lit(k), "rep")) for k in range(2)]
+    heads = big.join(central, "rep").groupBy("node").agg(F.array_distinct(F.array(F.max_by("rep", F.struct("c", -F.col("rep"))), *others)).alias("pivots"))
+    heads = heads.select("node", F.explode("pivots").alias("pivot"))
+    near = _agreement(big.join(heads, "node").select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= HASHES * percent // 100)
     pivots = near.groupBy("pivot").agg(F.count("*").alias("n")).filter(F.col("n") > leaf // 2).select("pivot")
     pivots = cut(pivots.join(central.withColumnRenamed("rep", "pivot"), "pivot"), f"pivots-{turn}")
     if pivots.isEmpty():
@@ -376,7 +421,7 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     around = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot")
     pairs = around.select("pivot", "rep").distinct()
     pairs = cut(_agreement(pairs, sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep"), f"pivot-pairs-{turn}")
-    placed = _blocks(pairs, "pivot", block)
+    placed = _blocks(pairs, "pivot", sigs, block)
     members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
     leads = placed.select(F.col("pivot").alias("rep"), F.xxhash64("pivot", "b").alias("grp"), F.lit(0).alias("side")).distinct()
     groups = cut(members.unionByName(leads), f"pivot-groups-{turn}")
@@ -385,28 +430,40 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     least = lambda p: 100 * F.col("both") >= p * F.col("either")
     linked = ring.filter(least(percent)).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     inner = ring.filter(least(2 * percent - 100))
-    asking = ring.filter(least(2 * percent - 100) & ~least(percent)).select("pivot", "rep")
-    asking = cut(_blocks(asking, "pivot", block).select("pivot", "rep", F.col("b").alias("o")), f"asking-{turn}")
+    asking = ring.filter(least(3 * percent - 200) & ~least(percent)).select("pivot", "rep")
+    asking = cut(_blocks(asking, "pivot", sigs, block).select("pivot", "rep", F.col("b").alias("o")), f"asking-{turn}")
     outer = ring.filter(least(3 * percent - 200)).select("pivot", "rep", least(percent).alias("linked"))
-    outer = cut(_blocks(outer.join(asking.select("pivot").distinct(), "pivot", "semi"), "pivot", block).select("pivot", "rep", "linked", "b", "blocks"), f"outer-{turn}")
+    outer = cut(_blocks(outer.join(asking.select("pivot").distinct(), "pivot", "semi"), "pivot", sigs, block).select("pivot", "rep", "linked", "b", "blocks"), f"outer-{turn}")
     spans = outer.select("pivot", "blocks").distinct().select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     left = asking.join(spans, "pivot").select("pivot", "o", "b", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
     label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("rep")).alias("label")
     right = outer.join(asking.select("pivot", "o").distinct(), "pivot").select("pivot", "o", "b", "rep", label, F.lit(1).alias("side"))
     both = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side").dropDuplicates(["grp", "rep", "side"])
     asked = _compare(cut(both, f"asking-groups-{turn}"), texts, width=width, percent=percent, name=f"links-outer-{turn}")
+    # Nodes that hold few others beside a family are done with once these meet the rim: no inner member links to them.
+    strangers = around.join(ring.filter(least(3 * percent - 200)), ["pivot", "rep"], "anti").select("node", "pivot", "rep")
+    few = strangers.groupBy("node", "pivot").agg(F.count("*").alias("k"))
+    done = nodes.select("node", "pivot").join(few, ["node", "pivot"], "left").filter(F.coalesce("k", F.lit(0)) <= leaf).groupBy("node").agg(F.min("pivot").alias("pivot"))
+    done = cut(done, f"done-{turn}")
+    rim = around.join(done, ["node", "pivot"], "semi").join(ring.filter(least(3 * percent - 200) & ~least(2 * percent - 100)).select("pivot", "rep"), ["pivot", "rep"], "semi")
+    rim = cut(_blocks(rim.select("node", "rep"), "node", sigs, block).select("node", "rep", "b", "blocks"), f"rim-{turn}")
+    in_blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b")
+    meets = strangers.join(done, ["node", "pivot"], "semi").join(rim.select("node", "blocks").distinct(), "node", "left").select("node", "rep", in_blocks).withColumn("side", F.lit(0))
+    meets = meets.unionByName(rim.select("node", "rep", "b").withColumn("side", F.lit(1)))
+    meets = cut(meets.select(F.xxhash64(F.lit("rim"), "node", "b").alias("grp"), "rep", F.col("rep").alias("label"), "side"), f"rim-groups-{turn}")
+    met = _compare(meets, texts, width=width, percent=percent, name=f"links-rim-{turn}")
     places = around.join(inner, ["pivot", "rep"], "semi").select("node", "rep").unionByName(nodes.select("node", F.col("pivot").alias("rep")))
+    places = places.unionByName(big.join(done, "node", "semi").select("node", "rep"))
     settled = cut(places.distinct(), f"settled-{turn}")
-    return settled, [linked, asked]
+    return settled, [linked, asked, met]
 
 
-def _rest_links(big: DataFrame, labels: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
+def _rest_links(big: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
     """In nodes that are still large and mixed: members outside the largest group against all, in blocks."""
     last = big.select("node", "n", "rep").distinct().join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     by_label = last.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = by_label.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    blocks = last.join(main, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = blocks.withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    own = _blocks(last.join(main, "node"), "node", sigs, block)
     outside = own.filter("label <> main")
     out_blocks = outside.select("node", F.col("b").alias("o")).distinct()
     span = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a")
