@@ -8,24 +8,24 @@ frequency.  The language with the largest sum wins; the score is its share of th
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ChunkRows, held_out, read_table
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
 class LanguageModel:
-    """Tables of log frequencies; `grams` holds n-grams of words set between ^ and $."""
+    """Tables of log frequencies (words are runs of letters, Unicode category L); `grams` holds n-grams of words set between ^ and $."""
 
     languages: list[str]
     words: dict[str, np.ndarray]
@@ -74,15 +74,17 @@ def train(
     words_per_language: int = 15_000,
     grams_per_language: int = 15_000,
     longest: int = 5,
+    most_languages: int = 500,
 ) -> LanguageModel:
     """Fit on a bounded sample: about docs_per_language rows of each language, chosen by a hash of the id.
 
-    Rows with a null language, text or id teach nothing.  Without usable rows the model has no
-    languages and predicts `und`.
+    Rows with a null language, text or id teach nothing.  The model holds the words_per_language and
+    grams_per_language most frequent items of a language (ties by the item) and the most_languages
+    languages with most rows.  Without usable rows it has no languages and predicts `und`.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("id is not null and text is not null and lang is not null")
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not known:
         return LanguageModel([], {}, {}, longest)
     languages = sorted(known)
@@ -94,7 +96,7 @@ def train(
 
     def top(counts: DataFrame, k: int) -> pd.DataFrame:
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
-        return counts.filter("n > 1").withColumn("place", place).filter(F.col("place") <= k).select("lang", "item", "n").toPandas()
+        return counts.withColumn("place", place).filter(F.col("place") <= k).select("lang", "item", "n").toPandas()
 
     marked = F.concat(F.lit("^"), "item", F.lit("$"))
     each = words.filter(F.length("item") <= 64).select("lang", "n", marked.alias("w")).select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("k"))
@@ -138,8 +140,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", F.coalesce(held_out(id_col), F.lit(True)))
     model = train(docs.filter(~F.col("held_out")), id_col=id_col, text_col=text_col, lang_col=lang_col, **sizes)
-    found = docs.withColumn("_lang", predict(docs.sparkSession, model, F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    return docs.select("*", predict(docs.sparkSession, model, F.col(text_col)).alias("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns], "lang_pred.lang_pred", "lang_pred.score")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

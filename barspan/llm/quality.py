@@ -230,7 +230,8 @@ def _context(sample: DataFrame, vocabulary: dict[str, int], index: np.ndarray, w
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6_000, vocabulary_size: int = 6000, width: int = 64) -> QualityModel:
     """Fit on a bounded sample: about max_rows labelled rows, chosen by a hash of the id.
 
-    Rows without id or label teach nothing; of several labels for an id the largest counts.
+    Rows without id or label teach nothing; of several labels for an id the largest counts, of
+    several texts the least.
     With no rows, or labels of one kind only, every score is the share of label 1 (or 0.5).
     """
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null and y in (0, 1)")
@@ -240,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = labels.filter(F.pmod(F.xxhash64(F.lit(31), "id"), F.lit(scale)) < min(scale, scale * max_rows // max(known, 1)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # The sample is bounded by max_rows whatever the input, so its ids may be broadcast.
-    sample = cut(rows.join(F.broadcast(chosen), "id"), "quality-sample").repartition(8, "id")
+    sample = cut(rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")), "quality-sample").repartition(8, "id")
     vocabulary = _vocabulary(sample, vocabulary_size)
     index = np.stack([index_vector(t, width) for t in vocabulary])
     context = _context(sample, vocabulary, index)

@@ -82,3 +82,9 @@ def test_search_ties_hot_vectors_and_odd_rows(spark):
     by = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in got}}
     assert by[0] == [1, 2, 3, 4, 5] and by[20] == [0, 1, 2, 3, 4] and not {100, 120, 140, 160, 180} & set(by)
     assert ann.search(base.limit(0), base.limit(0)).count() == 0
+
+
+def test_only_letters_are_words(spark):
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("½ ² Ⅷ ① 7", None), ("und das ist ein haus", "de"), ("the house is a home", "en"), ("½ house", None)] * 5)], "doc_id bigint, text string, lang string")
+    got = {r.text: r.lang_pred for r in langid.identify(docs).collect()}
+    assert got["½ ² Ⅷ ① 7"] == "und" and got["½ house"] == "en"
