@@ -47,7 +47,7 @@ from .components import components
 TREES, BRANCHES, LEVELS = 4, 2, 4
 HASHES = TREES * BRANCHES * LEVELS
 #: So many times at most members of large nodes are taken as pivots of families.
-FAMILY_TURNS = 4
+FAMILY_TURNS = 2
 #: Of the 32 smallest hashes so many agree at least, or a pair is not looked at: fewer agree in
 #: about 6 of ten million pairs at similarity 0.85 and, scaled to 15, in 7 of a million at 0.8.
 AGREE = 16
@@ -416,46 +416,41 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     # One pivot for a family: it goes where a more central one is much like it.
     rivals = nodes.join(nodes.select("node", F.col("pivot").alias("rep"), F.col("c").alias("d")), "node").filter("struct(c, -pivot) > struct(d, -rep)").select("pivot", "rep").distinct()
     beaten = _agreement(rivals, sigs).filter(F.col("k") >= AGREE + 4).select(F.col("rep").alias("pivot")).distinct()
-    pivots = cut(pivots.join(beaten, "pivot", "anti").select("pivot"), f"pivots-kept-{turn}")
-    nodes = big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot")
+    nodes = cut(nodes.join(beaten, "pivot", "anti").select("node", "pivot"), f"pivot-nodes-{turn}")
     around = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot")
-    pairs = around.select("pivot", "rep").distinct()
-    pairs = cut(_agreement(pairs, sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep"), f"pivot-pairs-{turn}")
-    placed = _blocks(pairs, "pivot", sigs, block)
+    pairs = _agreement(around.select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep")
+    placed = _blocks(cut(pairs, f"pivot-pairs-{turn}"), "pivot", sigs, block)
     members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
     leads = placed.select(F.col("pivot").alias("rep"), F.xxhash64("pivot", "b").alias("grp"), F.lit(0).alias("side")).distinct()
     groups = cut(members.unionByName(leads), f"pivot-groups-{turn}")
     with_text = groups.join(only_near(texts, "rep", groups.select("rep").distinct()), "rep").select("grp", "rep", "side", "text")
-    ring = cut(map_groups(with_text, "grp", _similar(width), "pivot bigint, rep bigint, both bigint, either bigint"), f"rings-{turn}")
-    least = lambda p: 100 * F.col("both") >= p * F.col("either")
-    linked = ring.filter(least(percent)).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
-    inner = ring.filter(least(2 * percent - 100))
-    asking = ring.filter(least(3 * percent - 200) & ~least(percent)).select("pivot", "rep")
-    asking = cut(_blocks(asking, "pivot", sigs, block).select("pivot", "rep", F.col("b").alias("o")), f"asking-{turn}")
-    outer = ring.filter(least(3 * percent - 200)).select("pivot", "rep", least(percent).alias("linked"))
-    outer = cut(_blocks(outer.join(asking.select("pivot").distinct(), "pivot", "semi"), "pivot", sigs, block).select("pivot", "rep", "linked", "b", "blocks"), f"outer-{turn}")
-    spans = outer.select("pivot", "blocks").distinct().select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    left = asking.join(spans, "pivot").select("pivot", "o", "b", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
-    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("rep")).alias("label")
-    right = outer.join(asking.select("pivot", "o").distinct(), "pivot").select("pivot", "o", "b", "rep", label, F.lit(1).alias("side"))
-    both = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side").dropDuplicates(["grp", "rep", "side"])
-    asked = _compare(cut(both, f"asking-groups-{turn}"), texts, width=width, percent=percent, name=f"links-outer-{turn}")
+    ring = map_groups(with_text, "grp", _similar(width), "pivot bigint, rep bigint, both bigint, either bigint")
+    least = lambda p: (100 * F.col("both") >= p * F.col("either")).alias(f"at_{p}")
+    linked, inner, outer = (f"at_{p}" for p in (percent, 2 * percent - 100, 3 * percent - 200))
+    ring = cut(ring.select("pivot", "rep", least(percent), least(2 * percent - 100), least(3 * percent - 200)).filter(outer), f"rings-{turn}")
+    # Both rings, without what links to the pivot, against the whole outer ring.
+    asking = _blocks(ring.filter(f"not {linked}").select("pivot", "rep"), "pivot", sigs, block).select("pivot", "rep", F.col("b").alias("o"), F.col("blocks").alias("asking"))
+    asked = _blocks(ring.select("pivot", "rep", linked), "pivot", sigs, block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asking.join(asked.select("pivot", "blocks").distinct(), "pivot").select("pivot", "o", every("blocks").alias("b"), "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
+    label = F.when(F.col(linked), F.col("pivot")).otherwise(F.col("rep")).alias("label")
+    right = asked.join(asking.select("pivot", "asking").distinct(), "pivot").select("pivot", every("asking").alias("o"), "b", "rep", label, F.lit(1).alias("side"))
+    across = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side")
     # Nodes that hold few others beside a family are done with once these meet the rim: no inner member links to them.
-    strangers = around.join(ring.filter(least(3 * percent - 200)), ["pivot", "rep"], "anti").select("node", "pivot", "rep")
+    strangers = around.join(ring, ["pivot", "rep"], "anti").select("node", "pivot", "rep")
     few = strangers.groupBy("node", "pivot").agg(F.count("*").alias("k"))
-    done = nodes.select("node", "pivot").join(few, ["node", "pivot"], "left").filter(F.coalesce("k", F.lit(0)) <= leaf).groupBy("node").agg(F.min("pivot").alias("pivot"))
+    done = nodes.join(few, ["node", "pivot"], "left").filter(F.coalesce("k", F.lit(0)) <= leaf).groupBy("node").agg(F.min("pivot").alias("pivot"))
     done = cut(done, f"done-{turn}")
-    rim = around.join(done, ["node", "pivot"], "semi").join(ring.filter(least(3 * percent - 200) & ~least(2 * percent - 100)).select("pivot", "rep"), ["pivot", "rep"], "semi")
-    rim = cut(_blocks(rim.select("node", "rep"), "node", sigs, block).select("node", "rep", "b", "blocks"), f"rim-{turn}")
+    rim = around.join(done, ["node", "pivot"], "semi").join(ring.filter(f"not {inner}").select("pivot", "rep"), ["pivot", "rep"], "semi")
+    rim = _blocks(rim.select("node", "rep"), "node", sigs, block).select("node", "rep", "b", "blocks")
     in_blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b")
     meets = strangers.join(done, ["node", "pivot"], "semi").join(rim.select("node", "blocks").distinct(), "node", "left").select("node", "rep", in_blocks).withColumn("side", F.lit(0))
     meets = meets.unionByName(rim.select("node", "rep", "b").withColumn("side", F.lit(1)))
-    meets = cut(meets.select(F.xxhash64(F.lit("rim"), "node", "b").alias("grp"), "rep", F.col("rep").alias("label"), "side"), f"rim-groups-{turn}")
-    met = _compare(meets, texts, width=width, percent=percent, name=f"links-rim-{turn}")
-    places = around.join(inner, ["pivot", "rep"], "semi").select("node", "rep").unionByName(nodes.select("node", F.col("pivot").alias("rep")))
-    places = places.unionByName(big.join(done, "node", "semi").select("node", "rep"))
-    settled = cut(places.distinct(), f"settled-{turn}")
-    return settled, [linked, asked, met]
+    meets = meets.select(F.xxhash64(F.lit("rim"), "node", "b").alias("grp"), "rep", F.col("rep").alias("label"), "side")
+    found = _compare(cut(across.unionByName(meets), f"ring-groups-{turn}"), texts, width=width, percent=percent, name=f"links-rings-{turn}")
+    places = around.join(ring.filter(inner).select("pivot", "rep"), ["pivot", "rep"], "semi").select("node", "rep").unionByName(nodes.select("node", F.col("pivot").alias("rep")))
+    settled = places.unionByName(big.join(done, "node", "semi").select("node", "rep")).distinct()
+    return settled, [ring.filter(linked).select(F.col("rep").alias("u"), F.col("pivot").alias("v")), found]
 
 
 def _rest_links(big: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:

@@ -66,13 +66,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     numbered = cut(_rows(docs, "doc_id", "text").withColumn("number", F.monotonically_increasing_id()), "numbered")
     groups = neardup.near_duplicates(numbered, id_col="number", width=5, percent=80).select(F.col("number").alias("n"), "component_id")
-    best = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
-    linked = groups.groupBy("component_id").agg(F.count("*").alias("k")).filter("k > 1").select("component_id")
-    linked = cut(groups.join(linked, "component_id", "semi"), "linked")
-    ids = numbered.select("number", "doc_id").join(linked, F.col("number") == F.col("n"))
-    stay = ids.groupBy("component_id").agg(F.min_by("number", best).alias("stays"))
-    gone = ids.join(stay, "component_id").filter("number <> stays").select("n")
-    return numbered.join(gone, F.col("number") == F.col("n"), "anti").select("row.*")
+    ids = cut(groups.join(numbered.select("number", "doc_id"), F.col("number") == F.col("n")).select("n", "doc_id", "component_id"), "groups")
+    stay = ids.groupBy("component_id").agg(F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("n")).select("n")
+    return numbered.join(stay, F.col("number") == F.col("n"), "semi").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
