@@ -148,7 +148,7 @@ def dedup(
     digest_bytes: int = 32,
     memtable_rows: int = 1 << 17,
     bucket_rows: int = 1 << 16,
-    filter_bits: int = 1 << 23,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
@@ -171,7 +171,10 @@ def dedup(
             )
 
     keys = cut(slim.mapInArrow(digests, "id bigint, digest binary, text_sha256 string"), "exact-keys")
-    buckets = max(1, -(-keys.count() // bucket_rows))
+    rows = keys.count()
+    buckets = max(1, -(-rows // bucket_rows))
+    # Eight bits a document and more, up to 2**30 (128 MB): past some 10**8 repeated texts more rows pass it, and none too few.
+    filter_bits = filter_bits or min(1 << 30, max(1 << 23, 1 << (8 * rows).bit_length()))
     runs = build_runs(keys.select("id", "digest"), buckets=buckets, largest=largest, memtable_rows=memtable_rows)
     words = hit_filter(compact(runs, largest=largest, filter_bits=filter_bits), filter_bits)
     shared = docs.sparkSession.sparkContext.broadcast(words)

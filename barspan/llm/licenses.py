@@ -86,32 +86,31 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", no
     body = files.filter(text.rlike(ANCHOR)).select(uid.alias("uid"), path.alias("path"), F.regexp_replace(text, r"^\s+", "").alias("text"))
     pieces = body.select("uid", "path", F.posexplode(F.split(F.regexp_replace("text", r"([.!?;])\s+", "$1\n"), "\n")).alias("pos", "text")).filter(F.col("text").rlike(ANCHOR))
     by_piece = _cosines(pieces, ["uid", "path", "pos"], spark).filter(F.col("cosine") >= notice_cosine)
-    best = F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license"))
+    best = F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license"))  # of equal cosines the template listed first
     notices = cut(by_piece.groupBy("uid", "path").agg(F.max(best).alias("best"), F.max((F.col("pos") == 0).cast("int")).alias("leads")), "notices")
-    whole = _cosines(body.select("uid", "text").join(notices.select("uid"), "uid", "semi").dropDuplicates(["uid"]), ["uid"], spark)
-    alike = whole.groupBy("uid").agg(F.max("cosine").alias("alike"))
-    licence_files = notices.join(alike, "uid", "left").filter((F.col("leads") == 1) | (F.col("alike") >= file_cosine))
+    whole = _cosines(body.select("uid", "path", "text").join(notices, ["uid", "path"], "semi").dropDuplicates(["uid", "path"]), ["uid", "path"], spark)
+    alike = whole.groupBy("uid", "path").agg(F.max("cosine").alias("alike"))
+    licence_files = notices.join(alike, ["uid", "path"], "left").filter((F.col("leads") == 1) | (F.col("alike") >= file_cosine))
     rank = F.struct(F.col("best.cosine").alias("a"), F.col("path").alias("p"), F.col("best.license").alias("l"))
     # max by cosine, then min by path: two aggregations keep it a plain group-by
     top = licence_files.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).groupBy("dir").agg(F.max("best.cosine").alias("top"))
     in_dir = licence_files.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).join(top, "dir").filter(F.col("best.cosine") == F.col("top"))
     dir_licence = in_dir.groupBy("dir").agg(F.min(F.struct(rank["p"].alias("p"), rank["l"].alias("l"))).alias("m"), F.max("top").alias("top"))
     dir_licence = dir_licence.select("dir", F.col("m.l").alias("dir_license"), F.col("top").alias("dir_score"))
-    dirs = files.select(place.alias("dir")).distinct()
+    every = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"), uid.alias("uid"), path.alias("path"), place.alias("dir"))
+    dirs = every.select("dir").distinct()
     steps = F.split("dir", "/")
     ancestors = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).select("dir", "depth", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/").alias("up"))
     nearest = ancestors.join(dir_licence.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license", "dir_score")).alias("near"))
-    out = files.withColumns({"_uid": uid, "_dir": place}).join(notices.select(F.col("uid").alias("_uid"), "best").dropDuplicates(["_uid"]), "_uid", "left")
-    out = out.join(nearest.select(F.col("dir").alias("_dir"), "near"), "_dir", "left")
+    out = every.join(notices.select("uid", "path", "best"), ["uid", "path"], "left").join(nearest.select("dir", "near"), "dir", "left")
     own = F.col("best").isNotNull()
-    return out.withColumns(
-        {
-            "license": F.coalesce("best.license", "near.dir_license"),
-            "how": F.when(own, "notice").when(F.col("near").isNotNull(), "inherited").otherwise("none"),
-            "score": F.coalesce("best.cosine", "near.dir_score"),
-            "licensed_by": F.when(~own, F.col("near.up")),
-        }
-    ).drop("_uid", "_dir", "best", "near")
+    return out.select(
+        "row.*",
+        F.coalesce("best.license", "near.dir_license").alias("license"),
+        F.when(own, "notice").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("how"),
+        F.coalesce("best.cosine", "near.dir_score").alias("score"),
+        F.when(~own, F.col("near.up")).alias("licensed_by"),
+    )
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

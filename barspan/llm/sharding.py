@@ -1,8 +1,8 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass one scatters records uniformly into buckets of bounded memory by a seeded hash of their
-identity.  Pass two gathers one bucket at a time, permutes it (Spark's shuffle() swaps as
-Fisher and Yates do) and writes it; a bucket's place in the whole order is the sum of the sizes
+identity.  Pass two gathers one bucket in each task, permutes it (Spark's shuffle() swaps
+as Fisher and Yates do, seeded by the bucket) and writes it; a bucket's place in the whole order is the sum of the sizes
 before it.  Dealing that order round the shards gives row counts that differ by one at most.
 """
 
@@ -41,7 +41,9 @@ def shard(records: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str =
 
     Law `rows`: shard sizes differ by one row at most.  All columns are kept; row_bytes is an
     estimate of a record's size (64 where not given) that sets the number of buckets.  Null ids,
-    repeated rows and ties are records like any other; an empty table gives an empty result.
+    repeated rows and ties are records like any other; an empty table gives an empty result.  Seed,
+    rows and bucket_bytes decide the shards, not how the input is split or the number of shuffle
+    partitions (but for rows without an id and those of an id that fills a bucket, which are numbered).
     Columns named shard or slot are replaced.  Without a path the shards lie in the shared folder;
     each file is ordered by slot and holds the rows of one or a few buckets.
     """
@@ -53,11 +55,19 @@ def shard(records: DataFrame, *, shards: int = 24, seed: int = 17, id_col: str =
     key = scatter_key(id_col, seed)
     # Buckets follow from ids and written numbers alone, so sizes may be counted before the records move.
     sizes = salted.groupBy(F.pmod(key, F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    places = cut(sizes.select("bucket", before.alias("before")), "places")
-    scattered = salted.select(F.struct(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record")).alias("row"))
-    gathered = scattered.groupBy(F.pmod(F.col("row.key"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("row").alias("rows"))
-    in_order = F.array_sort("rows", lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    # Sums over spans of 1,024 buckets first, so that no task orders them all.
+    spans = cut(sizes.withColumn("span", F.floor(F.col("bucket") / 1024)), "sizes")
+    upto = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spans.groupBy("span").agg(F.sum("n").alias("all")).withColumn("start", upto(Window.orderBy("span"), "all"))
+    inside = spans.withColumn("inside", upto(Window.partitionBy("span").orderBy("bucket"), "n"))
+    places = cut(inside.join(starts, "span").select("bucket", (F.col("start") + F.col("inside")).alias("before")), "places")
+    whole = F.struct(*[F.col(f"`{c}`") for c in records.columns])
+    # Equal keys are put in order by the whole record, so that a bucket's order follows from what it holds.
+    scattered = salted.select(F.struct(key.alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("record")).alias("row"))
+    scattered = scattered.withColumn("bucket", F.pmod(F.col("row.key"), F.lit(buckets)).cast("int")).repartitionById(buckets, "bucket")
+    gathered = scattered.groupBy("bucket").agg(F.collect_list("row").alias("rows"))
+    first = lambda a, b, name, other: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(other)
+    in_order = F.array_sort("rows", lambda a, b: first(a, b, "key", first(a, b, "tie", F.lit(0))))
     shuffled = gathered.select("bucket", F.posexplode(F.shuffle(in_order, seed)).alias("rank", "row"))
     place = F.col("before") + F.col("rank")
     placed = shuffled.join(places, "bucket").withColumn("_place", place).select("row.record.*", F.floor(F.col("_place") / shards).cast("bigint").alias("slot"), F.pmod("_place", F.lit(shards)).cast("int").alias("shard"))

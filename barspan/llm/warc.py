@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table, texts_of
@@ -83,38 +83,49 @@ def roles(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
     return best.select("key", "best")
 
 
-def _borders(pages: DataFrame, parts: int, sample: int = 20_000) -> np.ndarray:
-    """Range borders from the keys with the smallest hashes: at most `sample` keys, whatever the input."""
-    found = pages.select("page_id", F.xxhash64("page_id").alias("h")).filter("page_id is not null").orderBy("h", "page_id").limit(sample).toPandas()["page_id"]
-    keys = np.sort(found.to_numpy(np.int64))
-    return np.unique(keys[[len(keys) * k // parts for k in range(1, parts)]]) if len(keys) else keys
+def _places(ids: pd.Series, keys: pd.Series) -> np.ndarray:
+    """Sortable 16-byte places: the id (null first), then the start of the payload's digest."""
+    out = np.zeros((len(ids), 2), ">u8")
+    known = ids.notna().to_numpy()
+    out[known, 0] = ids[known].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1] = [int(k[:16], 16) for k in keys]
+    return np.ascontiguousarray(out).view("S16").ravel()
 
 
-def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, roll_bytes: int = 16 << 20, part_bytes: int = 64 << 20, date: str = DATE, level: int = 6) -> DataFrame:
+def _borders(keyed: DataFrame, rows: int, parts: int, a_part: int = 64) -> np.ndarray:
+    """Range borders from the records whose hash is under a bar: about a_part for each part, whatever the input."""
+    scale = 1 << 30
+    bar = min(scale, max(1, scale * parts * a_part // max(rows, 1)))
+    found = keyed.select("page_id", "key").filter(F.pmod(F.xxhash64(F.lit(43), "page_id", "key"), F.lit(scale)) < bar).toPandas()
+    places = np.sort(_places(found["page_id"], found["key"]))
+    return np.unique(places[[len(places) * k // parts for k in range(1, parts)]]) if len(places) else places
+
+
+def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, roll_bytes: int = 16 << 20, part_bytes: int = 16 << 20, date: str = DATE, level: int = 6) -> DataFrame:
     """Write pages(page_id, url, html) as record-wise compressed WARC files; returns the manifest.
 
     Null html is an empty payload; a null url becomes about:blank; other columns are not read.
-    An empty table leaves an empty manifest.  `path` is a folder that all machines share.
+    Rows that repeat or lack a page_id are records each.  An empty table leaves an empty manifest.
+    `path` is a folder that all machines share.  Parts are ranges of (page_id, payload digest) of
+    about part_bytes, one for each task; the borders' sample grows with the number of parts.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    borders = _borders(pages, parts) if parts > 1 else np.zeros(0, np.int64)
+    whole = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = max(1, -(-(whole["bytes"] or 0) // part_bytes))
+    # What a record refers to travels as a row of its own that sorts just before it, so payloads are shuffled once.
+    keyed = pages.withColumn("key", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    best = roles(pages, min_revisit_bytes=min_revisit_bytes)
+    borders = pages.sparkSession.sparkContext.broadcast(_borders(keyed, whole["rows"], parts) if parts > 1 else np.zeros(0, "S16"))
+
+    parts = len(borders.value) + 1
 
     @F.pandas_udf("int")
-    def part_of(keys: pd.Series) -> pd.Series:
-        known = keys.notna()
-        out = np.zeros(len(keys), np.int32)  # null ids come first
-        out[known] = np.searchsorted(borders, keys[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+    def part_of(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders.value, _places(ids, keys), side="right").astype(np.int32))
 
-    key = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    best = roles(pages, min_revisit_bytes=min_revisit_bytes)
-    # What a record refers to travels as a row of its own that sorts just before it, so payloads are shuffled once.
-    keyed = pages.withColumn("key", key)
     marks = keyed.select("page_id", "key").join(best, "key").distinct().withColumn("payload", F.lit(0))
-    both = keyed.withColumn("payload", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("part", part_of("page_id"))
-    ranged = both.repartition(parts, "part").sortWithinPartitions("part", "page_id", "key", "payload", "url")
+    both = keyed.withColumn("payload", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("part", part_of("page_id", "key"))
+    ranged = both.repartitionById(parts, "part").sortWithinPartitions("part", "page_id", "key", "payload", "url")
     base = path.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +229,8 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     files = max(1, manifest.count())
-    return manifest.select("file").repartition(min(files, 10_000), "file").mapInArrow(read, RECORD)
+    tasks = min(files, 10_000)
+    return manifest.select("file", F.pmod(F.row_number().over(Window.orderBy("file")), F.lit(tasks)).alias("task")).repartitionById(tasks, "task").select("file").mapInArrow(read, RECORD)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

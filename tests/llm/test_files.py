@@ -78,3 +78,16 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
         return df[columns].astype(object).where(df[columns].notna(), None).astype(str).sort_values(columns).reset_index(drop=True).replace(r"\.0$", "", regex=True)
 
     pd.testing.assert_frame_equal(rows(got), rows(want))
+
+
+def test_licences_leave_the_users_columns_alone(spark):
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b", "no notice " * 200_000)], "path string, text string")
+    files = files.selectExpr("*", "1 AS best", "2 AS near", "3 AS uid", "4 AS dir", "5 AS row", "6 AS _uid")
+    rows = licenses.scan(files).collect()
+    assert {(r.path, r.license, r.best, r.near, r.uid, r.dir, r.row, r._uid) for r in rows} == {("a/LICENSE", "MIT", 1, 2, 3, 4, 5, 6), ("a/b", "MIT", 1, 2, 3, 4, 5, 6)}
+
+
+def test_warc_parts_are_even_and_tasks_of_their_own(spark, tmp_path):
+    pages = spark.range(4000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS page_id", "'u' AS url", "concat(id, repeat('x', 200)) AS html")
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w", part_bytes=1 << 16).groupBy("part").sum("records").toPandas()["sum(records)"]
+    assert manifest.sum() == 4000 and len(manifest) == 13 and manifest.max() <= 2 * manifest.median()

@@ -1,6 +1,7 @@
 """Shards hold whole documents, and one repeated id does not fill a bucket alone."""
 
 import glob
+import zlib
 
 import pandas as pd
 import pytest
@@ -40,3 +41,23 @@ def test_rows_of_one_id_are_split_over_buckets(spark, repeated, monkeypatch, tmp
 def test_cut_and_shards_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert sharding.shard(none).count() == 0 == common.cut(none, "none").count()
+
+
+def test_shards_do_not_depend_on_how_the_input_is_split(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    size = F.octet_length("text")
+    place = lambda rows: {(r.doc_id, r.shard, r.slot) for r in rows.collect()}
+    one = place(sharding.shard(docs.repartition(1), row_bytes=size, bucket_bytes=1 << 16))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert place(sharding.shard(docs.repartition(5, "text"), row_bytes=size, bucket_bytes=1 << 16)) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_query_digests_what_the_shards_hold(spark, sf_dir):
+    rows = sharding.op4_shuffle_shards(spark, sf_dir).collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows} == {(i, len(t) + 8, zlib.crc32(t), "rows", None) for i, t in docs.items()}
+    by = [sorted(r.slot for r in rows if r.shard == s) for s in range(24)]
+    assert len(rows) == len(docs) and all(v == list(range(len(v))) for v in by) and max(map(len, by)) - min(map(len, by)) <= 1

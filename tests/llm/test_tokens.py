@@ -128,3 +128,15 @@ def test_shards_are_shuffled_and_written(spark, tmp_path):
     assert sorted(order) == list(range(2000)) and sum(a < b for a, b in zip(order, order[1:], strict=False)) < 1200
     sharding.write_shards(sharded, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").filter("shard = 3").count() == 250
+
+
+def test_the_query_digests_as_the_library_does(spark, sf_dir, library):
+    import hashlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = bpe.op9_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
