@@ -57,9 +57,14 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, keys: list[str], left_ts:
 
 
 def interval_sum(events: DataFrame, series: DataFrame, *, key: str, start: str, end: str, ts: str, value: str, out: str = "interval_sum") -> DataFrame:
-    """events with the total of series values at start < ts <= end, by prefix sums and two as-of joins."""
+    """events with the total of series values at start < ts <= end, by prefix sums and two as-of joins.
+
+    Null where a bound is null, the end lies before the start or the key has no series.
+    """
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     prefix = series.groupBy(key, ts).agg(F.sum(value).alias("_v")).select(key, F.col(ts).alias("side_ts"), F.sum("_v").over(w).alias("_p"))
     a = asof_backward(events, prefix, keys=[key], left_ts=start, values=["_p"]).withColumnRenamed("_p", "_from").drop("side_ts")
     b = asof_backward(a, prefix, keys=[key], left_ts=end, values=["_p"]).drop("side_ts")
-    return b.withColumn(out, F.coalesce("_p", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))).drop("_p", "_from")
+    known = series.select(key).distinct().withColumn("_known", F.lit(True))
+    total = F.coalesce("_p", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))
+    return b.join(known, key, "left").withColumn(out, F.when(F.col("_known") & (F.col(end) >= F.col(start)), total)).drop("_p", "_from", "_known")

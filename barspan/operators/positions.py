@@ -74,19 +74,19 @@ def bar_returns(signals: DataFrame, keys: list[str], *, cost: float = 0.0) -> Da
 def trade_log(signals: DataFrame, keys: list[str], *, cost: float = 0.0, delay: int = 0) -> DataFrame:
     """One row per run of a position: entered at its first open, left at the next run's first open.
 
-    The last run ends at the period's last close.
+    The last run ends at the open of the period's last bar.
     """
     b = positions_of(signals, keys, delay=delay)
     w = Window.partitionBy(*keys).orderBy("row_pos")
     b = b.withColumn("_run", F.sum((F.col("turnover") > 0).cast("int")).over(w)).withColumn("_next", F.lead("open").over(w))
     t = b.filter("pos <> 0").groupBy(*keys, "_run").agg(
         F.first("pos").alias("direction"), F.min("row_pos").alias("entry_pos"), F.max("row_pos").alias("exit_pos"), F.min_by("ts", "row_pos").alias("entry_ts"), F.max_by("ts", "row_pos").alias("exit_ts"),
-        F.min_by("open", "row_pos").alias("entry_price"), F.max_by("_next", "row_pos").alias("_next"), F.max_by("close", "row_pos").alias("_close"),
+        F.min_by("open", "row_pos").alias("entry_price"), F.max_by("_next", "row_pos").alias("_next"), F.max_by("open", "row_pos").alias("_last"),
     )
-    leave = F.coalesce("_next", "_close")
+    leave = F.coalesce("_next", "_last")
     gross = F.col("direction") * (leave - F.col("entry_price"))
     reason = F.when(F.col("_next").isNull(), "period_end").otherwise("flip")
-    return t.withColumns({"exit_price": leave, "gross": gross, "net": gross - cost, "bars": F.col("exit_pos") - F.col("entry_pos") + 1, "exit_reason": reason}).drop("_run", "_next", "_close")
+    return t.withColumns({"exit_price": leave, "gross": gross, "net": gross - cost, "bars": F.col("exit_pos") - F.col("entry_pos") + F.col("_next").isNotNull().cast("int"), "exit_reason": reason}).drop("_run", "_next", "_last")
 
 
 def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target: Column, atr: str = "atr") -> DataFrame:
@@ -121,6 +121,13 @@ def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target:
     return out.select(*keys, F.col("d").alias("direction"), "t.*").withColumn("pnl", F.col("direction") * (F.col("exit") - F.col("entry")))
 
 
+def segments(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per run of a position in a series of pos and ret: side, entry_pos, bars and the compounded pnl."""
+    w = Window.partitionBy(*keys).orderBy("row_pos")
+    runs = returns.withColumn("_run", F.sum((F.col("pos") != F.coalesce(F.lag("pos").over(w), F.lit(0))).cast("int")).over(w)).filter("pos <> 0")
+    return runs.groupBy(*keys, "_run").agg(F.first("pos").alias("side"), F.min("row_pos").alias("entry_pos"), F.count("*").alias("bars"), (F.product(1 + F.col("ret")) - 1).alias("pnl")).drop("_run")
+
+
 def streaks(trades: DataFrame, pnl: str, *, keys: list[str], order: str) -> DataFrame:
     """Longest losing streak, longest time under the equity peak in trades, recoveries, open drawdown."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -68,13 +68,14 @@ def block_sums(returns: DataFrame, *, strategy: list[str], order: str = "row_pos
     place = F.row_number().over(w.orderBy(order)) - 1
     size, more = F.floor(n / blocks), n % blocks
     b = F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / size))
-    return returns.filter(F.col(x).isNotNull()).withColumn("block", b.cast("int")).groupBy(*strategy, "block").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
+    return returns.filter(F.col(x).isNotNull()).withColumn("block", b.cast("int")).groupBy(*strategy, "block").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"), F.sum(F.log(F.abs(1 + F.col(x)))).alias("g"), F.count_if(1 + F.col(x) <= 0).alias("neg"))
 
 
 def cross_validate(sums: DataFrame, *, strategy: list[str], keys: list[str], blocks: int = 8, inside: int = 4) -> DataFrame:
     """For each choice of in-sample blocks: the best strategy there and its rank and Sharpe outside.
 
-    Bars are read once: every choice adds up block sums.  Ties go to the first strategy.
+    Bars are read once: every choice adds up block sums.  Ties go to the first strategy.  oos_loss
+    says that the compounded return outside is under 0; bars that lose more than all turn its sign.
     """
     spark = sums.sparkSession
     combos = spark.createDataFrame([(k, list(c)) for k, c in enumerate(combinations(range(blocks), inside))], "combo int, chosen array<int>")
@@ -87,17 +88,20 @@ def cross_validate(sums: DataFrame, *, strategy: list[str], keys: list[str], blo
         sd = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
         return F.round(F.when(sd > 0, s / n / sd).otherwise(0.0), 9)
 
-    m = j.groupBy(*keys, "combo", *own).agg(sharpe(True).alias("is_sharpe"), sharpe(False).alias("oos_sharpe"))
+    outside = lambda c: F.sum(F.when(~F.col("inside"), F.col(c)))
+    loss = (F.round(outside("g"), 9) < 0) | (outside("neg") % 2 == 1)
+    m = j.groupBy(*keys, "combo", *own).agg(sharpe(True).alias("is_sharpe"), sharpe(False).alias("oos_sharpe"), loss.alias("oos_loss"))
     w = Window.partitionBy(*keys, "combo")
     ranked = m.withColumns({"_is": F.row_number().over(w.orderBy(F.desc("is_sharpe"), *own)), "oos_rank": F.row_number().over(w.orderBy(F.desc("oos_sharpe"), *own)), "strategies": F.count("*").over(w), "oos_median": F.percentile("oos_sharpe", 0.5).over(w)})
-    return ranked.filter("_is = 1").drop("_is").withColumns({"below_median": F.col("oos_sharpe") <= F.col("oos_median"), "oos_loss": F.col("oos_sharpe") < 0})
+    return ranked.filter("_is = 1").drop("_is").withColumns({"below_median": F.col("oos_sharpe") <= F.col("oos_median")})
 
 
 def walk_forward(returns: DataFrame, folds: DataFrame, *, keys: list[str], strategy: list[str], score: Column, least: int = 30) -> DataFrame:
     """The strategy with the best score in each fold and its return in the fold's test span.
 
     Bars meet the folds in one broadcast range join (the fold table is short); segments are
-    scored by one aggregation; `score` reads train_* and validation_* mean, sd and n.
+    scored by one aggregation; `score` reads train_* and validation_* mean, sd and n.  A fold in
+    which no strategy has a score stays, with null strategy and score and a test_sum of 0.
     """
     j = returns.join(F.broadcast(folds), (F.col("ts") >= F.col("a")) & (F.col("ts") < F.col("d")))
     seg = F.when(F.col("ts") < F.col("b"), "train").when(F.col("ts") < F.col("c"), "validation").otherwise("test")
@@ -106,4 +110,6 @@ def walk_forward(returns: DataFrame, folds: DataFrame, *, keys: list[str], strat
     aggs = [at(s, f).alias(f"{s}_{n}") for s in ("train", "validation", "test") for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("sum", F.sum))]
     m = j.groupBy(*keys, "fold", *strategy).agg(*aggs).filter((F.col("train_n") >= least) & (F.col("validation_n") > 1) & (F.col("test_n") > 0))
     w = Window.partitionBy(*keys, "fold").orderBy(F.desc_nulls_last("score"), *strategy)
-    return m.withColumn("score", score).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    best = m.withColumn("score", score).filter("score is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    every = returns.select(*keys).distinct().join(F.broadcast(folds.select("fold")), F.lit(True))
+    return every.join(best, [*keys, "fold"], "left").withColumn("test_sum", F.coalesce("test_sum", F.lit(0.0)))

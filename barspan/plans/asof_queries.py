@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barspan.functions import true_range
 from barspan.operators import asof as J
-from barspan.operators.scan import rolling
+from barspan.operators.scan import framed, rolling
 
 from .profile_queries import RET, returns
 from .registry import ORACLES, query
@@ -107,9 +108,17 @@ def month_folds(spark, start: str, n: int, train: int = 24, validation: int = 6,
     return spark.range(n).select(F.col("id").alias("fold"), at(0).alias("a"), at(train).alias("b"), at(train + validation).alias("c"), at(train + validation + test).alias("d"))
 
 
-@query("j10_parameter_grid", "SELECT row_number() OVER (ORDER BY s, l, sl, tp) - 1 AS grid_ix, s AS short_ma, l AS long_ma, sl AS sl_atr, tp AS tp_atr FROM (VALUES (5), (10), (20), (40)) a(s), (VALUES (50), (80), (120), (200)) b(l), (VALUES (0.0::DOUBLE), (1.5), (3.0)) c(sl), (VALUES (0.0::DOUBLE), (2.0), (4.0)) d(tp)")
+@query("j10_parameter_grid", f"""WITH {H}, t AS (SELECT symbol, row_pos, greatest(high - low, abs(high - lag("close") OVER w), abs(low - lag("close") OVER w)) AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY row_pos)), v AS (SELECT symbol, row_pos, CASE WHEN row_pos >= 13 THEN avg(r) OVER (PARTITION BY symbol ORDER BY row_pos ROWS 13 PRECEDING) END AS atr FROM t),
+g AS (SELECT row_number() OVER (ORDER BY s, l, sl, tp) - 1 AS grid_ix, s, l, sl, tp FROM (VALUES (5), (10), (20), (40)) a(s), (VALUES (50), (80), (120), (200)) b(l), (VALUES (0.0::DOUBLE), (1.5), (3.0)) c(sl), (VALUES (0.0::DOUBLE), (2.0), (4.0)) d(tp))
+SELECT symbol, grid_ix, s AS short_ma, l AS long_ma, count(*) FILTER (row_pos >= l) AS bars, round(avg(sl * atr) FILTER (row_pos >= l), 6) AS mean_stop, round(avg(tp * atr) FILTER (row_pos >= l), 6) AS mean_target FROM v, g GROUP BY ALL""")
 def j10(spark, sf):
-    return strategy_grid(spark).select("grid_ix", "short_ma", "long_ma", F.coalesce("sl_atr", F.lit(0.0)).alias("sl_atr"), F.coalesce("tp_atr", F.lit(0.0)).alias("tp_atr"))
+    """The 144 strategies against the bars: bars with a known signal, mean distance of stop and target."""
+    b = rolling(hourly(spark, sf), {"tr": lambda w: true_range(F.lag("close").over(w))}, back=1)
+    b = rolling(b, {"atr": framed(F.avg, F.col("tr"), -13, 0)}, back=14)
+    j = b.select("symbol", "row_pos", "atr").join(F.broadcast(strategy_grid(spark)), F.lit(True))
+    on = F.col("row_pos") >= F.col("long_ma")
+    mean = lambda k: F.round(F.avg(F.when(on, F.coalesce(F.col(k), F.lit(0.0)) * F.col("atr"))), 6)
+    return j.groupBy("symbol", "grid_ix", "short_ma", "long_ma").agg(F.count_if(on).alias("bars"), mean("sl_atr").alias("mean_stop"), mean("tp_atr").alias("mean_target"))
 
 
 def strategy_grid(spark):
@@ -139,8 +148,8 @@ def w14(spark, sf, side=fund):
 
 @query("a18_pairwise_correlation", f"""WITH {H}, {RET}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.ts, a.ret AS rx, b.ret AS ry FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL),
 m AS (SELECT ts, avg(ret) AS mkt FROM rets WHERE ret IS NOT NULL GROUP BY ts), q AS (SELECT quantile_cont(mkt, 0.1) AS lo, quantile_cont(mkt, 0.9) AS hi FROM m),
-g AS (SELECT p.*, unnest(['all', CASE WHEN mkt <= lo THEN 'bottom' WHEN mkt >= hi THEN 'top' ELSE 'central' END]) AS regime FROM p JOIN m USING (ts), q), c AS (SELECT regime, x, y, corr(rx, ry) AS r FROM g GROUP BY ALL HAVING count(*) >= 3)
-SELECT regime, count(*) AS pairs, round(avg(r), 6) AS mean_corr, round(min(r), 6) AS min_corr, round(max(r), 6) AS max_corr FROM c GROUP BY regime""")
+g AS (SELECT p.*, unnest(['all', CASE WHEN mkt <= lo THEN 'bottom' WHEN mkt >= hi THEN 'top' ELSE 'central' END]) AS regime FROM p JOIN m USING (ts), q), c0 AS (SELECT regime, x, y, CASE WHEN count(*) > 1 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS r FROM g GROUP BY ALL), c AS (SELECT * FROM c0)
+SELECT regime, count(r) AS pairs, round(avg(r), 6) AS mean_corr, round(min(r), 6) AS min_corr, round(max(r), 6) AS max_corr FROM c GROUP BY regime""")
 def a18(spark, sf):
     r = returns(hourly(spark, sf)).filter("ret is not null").select("symbol", "ts", "ret")
     p = r.select("ts", F.col("symbol").alias("x"), F.col("ret").alias("rx")).join(r.select("ts", F.col("symbol").alias("y"), F.col("ret").alias("ry")), "ts").filter("x < y")
@@ -148,8 +157,9 @@ def a18(spark, sf):
     q = m.agg(F.percentile("mkt", 0.1).alias("lo"), F.percentile("mkt", 0.9).alias("hi"))
     own = F.when(F.col("mkt") <= F.col("lo"), "bottom").when(F.col("mkt") >= F.col("hi"), "top").otherwise("central")
     g = p.join(m, "ts").join(F.broadcast(q), F.lit(True)).withColumn("regime", F.explode(F.array(F.lit("all"), own)))
-    c = g.groupBy("regime", "x", "y").agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("k")).filter("k >= 3")
-    return c.groupBy("regime").agg(F.count("*").alias("pairs"), F.round(F.avg("r"), 6).alias("mean_corr"), F.round(F.min("r"), 6).alias("min_corr"), F.round(F.max("r"), 6).alias("max_corr"))
+    defined = (F.count("*") > 1) & (F.var_pop("rx") > 0) & (F.var_pop("ry") > 0)
+    c = g.groupBy("regime", "x", "y").agg(F.when(defined, F.corr("rx", "ry")).alias("r"))
+    return c.groupBy("regime").agg(F.count("r").alias("pairs"), F.round(F.avg("r"), 6).alias("mean_corr"), F.round(F.min("r"), 6).alias("min_corr"), F.round(F.max("r"), 6).alias("max_corr"))
 
 
 @query("a19_tail_dependence", f"""WITH {H}, {RET}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.ret AS rx, b.ret AS ry FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL),

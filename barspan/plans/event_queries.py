@@ -77,7 +77,7 @@ def a27(spark, sf):
     )
 
 
-DAYS = f"{D}, bars AS (SELECT * FROM days), {RET}, lim AS (SELECT symbol, quantile_cont(ret, 0.02) AS lo FROM rets GROUP BY symbol), f AS (SELECT *, lead(\"close\", 5) OVER (PARTITION BY symbol ORDER BY row_pos) / \"close\" - 1 AS f5 FROM rets), ev AS (SELECT symbol, year(ts)::INT AS year, f5 FROM f JOIN lim USING (symbol) WHERE ret <= lo AND f5 IS NOT NULL), grid AS (SELECT symbol, y::INT AS year FROM (SELECT DISTINCT symbol FROM bars), range(1992, 2000) t(y)), ann AS (SELECT symbol, year, count(f5) AS n, avg(f5) AS mean FROM grid LEFT JOIN ev USING (symbol, year) GROUP BY ALL)"
+DAYS = f"{D}, bars AS (SELECT * FROM days), {RET}, lim AS (SELECT symbol, quantile_cont(ret, 0.02) AS lo FROM rets GROUP BY symbol), f AS (SELECT *, lead(\"close\", 5) OVER (PARTITION BY symbol ORDER BY row_pos) / \"close\" - 1 AS f5 FROM rets), ev AS (SELECT symbol, year(ts)::INT AS year, f5 FROM f JOIN lim USING (symbol) WHERE ret <= lo AND f5 IS NOT NULL), grid AS (SELECT symbol, y::INT AS year FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(range(min(year(ts)), max(year(ts)) + 1)) AS y FROM bars)), ann AS (SELECT symbol, year, count(f5) AS n, avg(f5) AS mean FROM grid LEFT JOIN ev USING (symbol, year) GROUP BY ALL)"
 
 
 def annual(spark, sf):
@@ -86,7 +86,8 @@ def annual(spark, sf):
     q = r.groupBy("symbol").agg(F.percentile("ret", 0.02).alias("lo"))
     ev = r.join(q, "symbol").filter("ret <= lo and f5 is not null").select("symbol", F.year("ts").alias("year"), "f5")
     per = ev.groupBy("symbol", "year").agg(F.count("f5").alias("n"), F.avg("f5").alias("mean"))
-    grid = r.select("symbol").distinct().withColumn("year", F.explode(F.sequence(F.lit(1992), F.lit(1999))))
+    years = r.agg(F.explode(F.sequence(F.min(F.year("ts")), F.max(F.year("ts")))).alias("year"))
+    grid = r.select("symbol").distinct().join(F.broadcast(years), F.lit(True))
     return grid.join(per, ["symbol", "year"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -17,7 +17,7 @@ P = "PARTITION BY symbol ORDER BY row_pos"
 SIG = f"sg AS (SELECT *, CASE WHEN row_pos >= 19 THEN sign(avg(\"close\") OVER ({P} ROWS 4 PRECEDING) - avg(\"close\") OVER ({P} ROWS 19 PRECEDING))::INT ELSE 0 END AS sig FROM bars)"
 POS = f"ps AS (SELECT *, coalesce(lag(sig) OVER ({P}), 0) AS pos FROM sg), tn AS (SELECT *, abs(pos - coalesce(lag(pos) OVER ({P}), 0)) AS turnover FROM ps)"
 LOG = f"""rn AS (SELECT *, sum((turnover > 0)::INT) OVER ({P}) AS run, lead(open) OVER ({P}) AS nxt FROM tn), tr0 AS (SELECT symbol, run, any_value(pos) AS direction, min(row_pos) AS entry_pos, max(row_pos) AS exit_pos, arg_min(open, row_pos) AS entry_price,
-  arg_max("close", row_pos) AS cl, max(CASE WHEN row_pos = mx THEN nxt END) AS nxt FROM (SELECT *, max(row_pos) OVER (PARTITION BY symbol, run) AS mx FROM rn) WHERE pos <> 0 GROUP BY symbol, run), tr AS (SELECT *, direction * (coalesce(nxt, cl) - entry_price) - 0.5 AS net FROM tr0)"""
+  arg_max(open, row_pos) AS cl, max(CASE WHEN row_pos = mx THEN nxt END) AS nxt FROM (SELECT *, max(row_pos) OVER (PARTITION BY symbol, run) AS mx FROM rn) WHERE pos <> 0 GROUP BY symbol, run), tr AS (SELECT *, direction * (coalesce(nxt, cl) - entry_price) - 0.5 AS net FROM tr0)"""
 CROSS = f"WITH {H}, {SIG}, {POS}"
 
 
@@ -55,7 +55,7 @@ def t04(spark, sf):
     return T.bar_returns(cross(spark, sf), ["symbol"], cost=0.001).select("symbol", "row_pos", "pos", "turnover", F.round("ret", 8).alias("ret"))
 
 
-@query("t05_trade_log", f"""{CROSS}, {LOG} SELECT symbol, direction, entry_pos, exit_pos, round(net, 6) AS net, exit_pos - entry_pos + 1 AS bars, CASE WHEN nxt IS NULL THEN 'period_end' ELSE 'flip' END AS exit_reason FROM tr""")
+@query("t05_trade_log", f"""{CROSS}, {LOG} SELECT symbol, direction, entry_pos, exit_pos, round(net, 6) AS net, exit_pos - entry_pos + (nxt IS NOT NULL)::INT AS bars, CASE WHEN nxt IS NULL THEN 'period_end' ELSE 'flip' END AS exit_reason FROM tr""")
 def t05(spark, sf):
     return log(spark, sf).select("symbol", "direction", "entry_pos", "exit_pos", F.round("net", 6).alias("net"), "bars", "exit_reason")
 

@@ -14,7 +14,7 @@ from .registry import query
 from .tables import daily, daily_sql, hourly, hourly_sql
 
 H, D = hourly_sql(), daily_sql()
-RUNS, SEED = 40, 20240609
+RUNS, SEED = 1000, 20240609
 V = f"{CROSS}, {LOG}, v AS (SELECT symbol, net, direction, row_number() OVER (PARTITION BY symbol ORDER BY entry_pos) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM tr), rr AS (SELECT range AS run FROM range({RUNS})), base AS (SELECT symbol, i AS pos, n, direction, run FROM v, rr)"
 
 
@@ -60,48 +60,72 @@ def r06(spark, sf):
     return t.groupBy("symbol").agg(*[F.round(F.percentile("total", p), 4).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.round(F.avg((F.col("total") < 0).cast("int")), 6).alias("loss_rate"))
 
 
-@query("r08_random_direction", f"""{V}, s AS (SELECT base.symbol, run, sum(CASE WHEN {md5_sql('2', str(SEED), 'base.symbol', 'run', 'pos')} = 0 THEN -net ELSE net END) AS total FROM base JOIN v ON v.symbol = base.symbol AND v.i = base.pos GROUP BY ALL), a AS (SELECT symbol, sum(net) AS actual FROM v GROUP BY symbol)
+@query("r08_random_direction", f"""{V}, s AS (SELECT base.symbol, run, sum(CASE WHEN {md5_sql('2', str(SEED), 'base.symbol', 'run', 'pos')} = 0 THEN -1 ELSE 1 END * v.direction * (net + 0.5) - 0.5) AS total FROM base JOIN v ON v.symbol = base.symbol AND v.i = base.pos GROUP BY ALL), a AS (SELECT symbol, sum(net) AS actual FROM v GROUP BY symbol)
 SELECT symbol, round(any_value(actual), 4) AS actual, round(avg((total <= actual)::INT), 6) AS percentile, round(quantile_cont(total, 0.5), 4) AS random_median FROM s JOIN a USING (symbol) GROUP BY symbol""")
 def r08(spark, sf):
+    """The price difference of each trade in a random direction, less its cost whatever the direction."""
     v = values(spark, sf)
     base = v.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
     sign = F.when(R.draw(F.lit(2), F.lit(SEED), F.col("symbol"), F.col("run"), F.col("i")) == 0, -1).otherwise(1)
-    s = base.groupBy("symbol", "run").agg(F.sum(sign * F.col("net")).alias("total"))
+    s = base.groupBy("symbol", "run").agg(F.sum(sign * F.col("direction") * (F.col("net") + 0.5) - 0.5).alias("total"))
     a = v.groupBy("symbol").agg(F.sum("net").alias("actual"))
     j = s.join(a, "symbol")
     return j.groupBy("symbol").agg(F.round(F.first("actual"), 4).alias("actual"), F.round(F.avg((F.col("total") <= F.col("actual")).cast("int")), 6).alias("percentile"), F.round(F.percentile("total", 0.5), 4).alias("random_median"))
 
 
-GRID = [(s, x) for s in (5, 10, 20) for x in (40, 80)]
-MA = ", ".join(f'CASE WHEN row_pos >= {n - 1} THEN avg("close") OVER (PARTITION BY symbol ORDER BY row_pos ROWS {n - 1} PRECEDING) END AS m{n}' for n in (5, 10, 20, 40, 80))
+SHORTS, LONGS = (5, 10, 20, 40), (50, 80, 120, 200)
+GRID = [(s, x) for s in SHORTS for x in LONGS]
+MA = ", ".join(f'CASE WHEN row_pos >= {n - 1} THEN avg("close") OVER (PARTITION BY symbol ORDER BY row_pos ROWS {n - 1} PRECEDING) END AS m{n}' for n in SHORTS + LONGS)
 
 
 def grid_sql(bars: str) -> str:
-    return f"""pairs AS (SELECT * FROM (VALUES (5), (10), (20)) a(s), (VALUES (40), (80)) b(l)), m AS (SELECT *, {MA} FROM {bars}), sg AS (SELECT m.*, s, l, coalesce(sign((CASE s WHEN 5 THEN m5 WHEN 10 THEN m10 ELSE m20 END) - (CASE l WHEN 40 THEN m40 ELSE m80 END))::INT, 0) AS sig FROM m, pairs),
-ps AS (SELECT *, coalesce(lag(sig) OVER q, 0) AS pos, "close" / lag("close") OVER q - 1 AS mv FROM sg WINDOW q AS (PARTITION BY symbol, s, l ORDER BY row_pos)), r AS (SELECT symbol, s, l, ts, row_pos, coalesce(pos * mv, 0) - 0.0005 * abs(pos - coalesce(lag(pos) OVER q, 0)) AS ret FROM ps WINDOW q AS (PARTITION BY symbol, s, l ORDER BY row_pos))"""
+    pick = lambda c, ns: f"CASE {c} " + " ".join(f"WHEN {n} THEN m{n}" for n in ns) + " END"
+    return f"""pairs AS (SELECT * FROM (VALUES (5), (10), (20), (40)) a(s), (VALUES (50), (80), (120), (200)) b(l)), m AS (SELECT *, {MA} FROM {bars}), sg AS (SELECT m.*, s, l, coalesce(sign(({pick('s', SHORTS)}) - ({pick('l', LONGS)}))::INT, 0) AS sig FROM m, pairs),
+ps AS (SELECT *, coalesce(lag(sig) OVER q, 0) AS pos, "close" / lag("close") OVER q - 1 AS mv FROM sg WINDOW q AS (PARTITION BY symbol, s, l ORDER BY row_pos)), r AS (SELECT symbol, s, l, ts, row_pos, pos, coalesce(pos * mv, 0) - 0.0005 * abs(pos - coalesce(lag(pos) OVER q, 0)) AS ret FROM ps WINDOW q AS (PARTITION BY symbol, s, l ORDER BY row_pos))"""
 
 
 def grid_returns(bars):
     return T.bar_returns(T.average_cross(bars, GRID), ["symbol", "short_ma", "long_ma"], cost=0.0005).select("symbol", "short_ma", "long_ma", "ts", "row_pos", "ret")
 
 
-@query("r09_cross_validation", f"""WITH {H}, {grid_sql('bars')}, nb AS (SELECT *, count(*) OVER (PARTITION BY symbol, s, l) AS n FROM r), bl AS (SELECT *, CASE WHEN row_pos < (n % 8) * (n // 8 + 1) THEN row_pos // (n // 8 + 1) ELSE n % 8 + (row_pos - (n % 8) * (n // 8 + 1)) // (n // 8) END AS block FROM nb),
+SELECTED = f"""WITH {H}, {grid_sql('bars')}, nb AS (SELECT *, count(*) OVER (PARTITION BY symbol, s, l) AS n FROM r), bl AS (SELECT *, CASE WHEN row_pos < (n % 8) * (n // 8 + 1) THEN row_pos // (n // 8 + 1) ELSE n % 8 + (row_pos - (n % 8) * (n // 8 + 1)) // (n // 8) END AS block FROM nb),
 c0 AS (SELECT list_sort([a.x, b.x, c.x, d.x]) AS ch FROM range(8) a(x), range(8) b(x), range(8) c(x), range(8) d(x) WHERE a.x < b.x AND b.x < c.x AND c.x < d.x), combos AS (SELECT row_number() OVER (ORDER BY ch) - 1 AS combo, ch FROM c0),
-g AS (SELECT symbol, combo, s, l, round(avg(ret) FILTER (list_contains(ch, block)) / stddev_samp(ret) FILTER (list_contains(ch, block)), 9) AS i, round(avg(ret) FILTER (NOT list_contains(ch, block)) / stddev_samp(ret) FILTER (NOT list_contains(ch, block)), 9) AS o FROM bl, combos GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY symbol, combo ORDER BY i DESC, s, l) AS ir, row_number() OVER (PARTITION BY symbol, combo ORDER BY o DESC, s, l) AS orank, quantile_cont(o, 0.5) OVER (PARTITION BY symbol, combo) AS med FROM g)
-SELECT symbol, combo::INT AS combo, s AS short_ma, l AS long_ma, round(i, 6) AS is_sharpe, round(o, 6) AS oos_sharpe, orank::INT AS oos_rank, o <= med AS below_median, o < 0 AS oos_loss FROM k WHERE ir = 1""")
-def r09(spark, sf):
+bs AS (SELECT symbol, s, l, block, count(*) AS n, sum(ret) AS x, sum(ret * ret) AS q, sum(ln(nullif(abs(1 + ret), 0))) AS g, count(*) FILTER (1 + ret <= 0) AS neg FROM bl GROUP BY ALL),
+h AS (SELECT symbol, combo, s, l, list_contains(ch, block) AS inside, sum(n) AS n, sum(x) AS x, sum(q) AS q, sum(g) AS g, sum(neg) AS neg FROM bs, combos GROUP BY ALL), sr AS (SELECT *, round(CASE WHEN q - x * x / n > 0 THEN x / n / sqrt((q - x * x / n) / (n - 1)) ELSE 0 END, 9) AS sharpe FROM h),
+g AS (SELECT symbol, combo, s, l, max(sharpe) FILTER (inside) AS i, max(sharpe) FILTER (NOT inside) AS o, bool_or(NOT inside AND (round(g, 9) < 0 OR neg % 2 = 1)) AS oos_loss FROM sr GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, combo ORDER BY i DESC, s, l) AS ir, row_number() OVER (PARTITION BY symbol, combo ORDER BY o DESC, s, l) AS orank, quantile_cont(o, 0.5) OVER (PARTITION BY symbol, combo) AS med FROM g),
+sel AS (SELECT symbol, combo::INT AS combo, s AS short_ma, l AS long_ma, i AS is_sharpe, o AS oos_sharpe, orank::INT AS oos_rank, o <= med AS below_median, oos_loss FROM k WHERE ir = 1)"""
+
+
+def selected(spark, sf):
     sums = R.block_sums(grid_returns(hourly(spark, sf)), strategy=["symbol", "short_ma", "long_ma"])
-    out = R.cross_validate(sums, strategy=["symbol", "short_ma", "long_ma"], keys=["symbol"])
-    return out.select("symbol", "combo", "short_ma", "long_ma", F.round("is_sharpe", 6).alias("is_sharpe"), F.round("oos_sharpe", 6).alias("oos_sharpe"), "oos_rank", "below_median", "oos_loss")
+    return R.cross_validate(sums, strategy=["symbol", "short_ma", "long_ma"], keys=["symbol"])
+
+
+@query("r09_cross_validation", f"{SELECTED} SELECT symbol, combo, short_ma, long_ma, round(is_sharpe, 6) AS is_sharpe, round(oos_sharpe, 6) AS oos_sharpe, oos_rank, below_median, oos_loss FROM sel")
+def r09(spark, sf):
+    return selected(spark, sf).select("symbol", "combo", "short_ma", "long_ma", F.round("is_sharpe", 6).alias("is_sharpe"), F.round("oos_sharpe", 6).alias("oos_sharpe"), "oos_rank", "below_median", "oos_loss")
+
+
+@query("r09_overfit_probability", f"""{SELECTED} SELECT symbol, count(*) AS combinations, round(avg(below_median::INT), 6) AS overfit_probability, round(avg(oos_loss::INT), 6) AS loss_probability, round(avg(is_sharpe), 6) AS mean_is, round(avg(oos_sharpe), 6) AS mean_oos, round(quantile_cont(oos_sharpe, 0.5), 6) AS median_oos, round(avg(oos_rank), 6) AS mean_rank,
+round(avg(ln((17.0::DOUBLE - oos_rank) / oos_rank)), 6) AS mean_logit FROM sel GROUP BY symbol""")
+def r09_overfit(spark, sf):
+    """Over all choices of blocks: how often the best inside is at or under the median outside, or loses there; logit of its relative rank."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    mean = lambda c: F.round(F.avg(c), 6)
+    logit = F.log((F.col("strategies") + 1 - F.col("oos_rank")) / F.col("oos_rank"))
+    return selected(spark, sf).groupBy("symbol").agg(F.count("*").alias("combinations"), rate("below_median").alias("overfit_probability"), rate("oos_loss").alias("loss_probability"), mean("is_sharpe").alias("mean_is"), mean("oos_sharpe").alias("mean_oos"), F.round(F.percentile("oos_sharpe", 0.5), 6).alias("median_oos"), mean("oos_rank").alias("mean_rank"), mean(logit).alias("mean_logit"))
 
 
 @query("r11_walk_forward", f"""WITH {D}, {grid_sql('days')}, folds AS (SELECT f AS fold, (DATE '1992-01-01' + to_months(6 * f::INT))::TIMESTAMP AS a FROM range(10) t(f)),
 j AS (SELECT symbol, s, l, fold, ret, CASE WHEN ts < a + INTERVAL 24 MONTH THEN 1 WHEN ts < a + INTERVAL 30 MONTH THEN 2 ELSE 3 END AS seg FROM r JOIN folds ON ts >= a AND ts < a + INTERVAL 33 MONTH),
-mm AS (SELECT symbol, fold, s, l, avg(ret) FILTER (seg = 1) / stddev_samp(ret) FILTER (seg = 1) AS a1, avg(ret) FILTER (seg = 2) / stddev_samp(ret) FILTER (seg = 2) AS a2, sum(ret) FILTER (seg = 3) AS t FROM j GROUP BY ALL HAVING count(*) FILTER (seg = 1) >= 30 AND count(*) FILTER (seg = 2) > 1 AND count(*) FILTER (seg = 3) > 0)
-SELECT symbol, fold, s AS short_ma, l AS long_ma, round(least(a1, a2), 6) AS score, round(t, 6) AS test_sum FROM mm QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY round(least(a1, a2), 9) DESC NULLS LAST, s, l) = 1""")
+mm AS (SELECT symbol, fold, s, l, avg(ret) FILTER (seg = 1) / nullif(stddev_samp(ret) FILTER (seg = 1), 0) AS a1, avg(ret) FILTER (seg = 2) / nullif(stddev_samp(ret) FILTER (seg = 2), 0) AS a2, sum(ret) FILTER (seg = 3) AS t FROM j GROUP BY ALL HAVING count(*) FILTER (seg = 1) >= 30 AND count(*) FILTER (seg = 2) > 1 AND count(*) FILTER (seg = 3) > 0),
+sc AS (SELECT *, round(0.7 * a2 + 0.3 * a1 - 0.35 * greatest(abs(a1 - a2) - 1, 0), 9) AS score FROM mm WHERE a1 IS NOT NULL AND a2 IS NOT NULL), b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, s, l) = 1)
+SELECT e.symbol, e.fold, s AS short_ma, l AS long_ma, round(score, 6) AS score, round(coalesce(t, 0), 6) AS test_sum FROM (SELECT * FROM (SELECT DISTINCT symbol FROM days), (SELECT fold FROM folds)) e LEFT JOIN b ON b.symbol = e.symbol AND b.fold = e.fold""")
 def r11(spark, sf):
-    score = F.round(F.least(F.col("train_mean") / F.col("train_sd"), F.col("validation_mean") / F.col("validation_sd")), 9)
+    train, validation = (F.col(f"{s}_mean") / F.nullif(F.col(f"{s}_sd"), F.lit(0)) for s in ("train", "validation"))
+    score = F.round(0.7 * validation + 0.3 * train - 0.35 * F.greatest(F.abs(train - validation) - 1, F.lit(0.0)), 9)
+    score = F.when(train.isNotNull() & validation.isNotNull(), score)
     out = R.walk_forward(grid_returns(daily(spark, sf)), month_folds(spark, "1992-01-01", 10), keys=["symbol"], strategy=["short_ma", "long_ma"], score=score)
     return out.select("symbol", "fold", "short_ma", "long_ma", F.round("score", 6).alias("score"), F.round("test_sum", 6).alias("test_sum"))
 

@@ -53,13 +53,13 @@ def a04(spark, sf):
 SHOCK = """lim AS (SELECT symbol, unnest(['low', 'low', 'low', 'high', 'high', 'high']) AS side, unnest([0.05::DOUBLE, 0.025, 0.01, 0.05, 0.025, 0.01]) AS level, unnest([quantile_cont(ret, 0.05), quantile_cont(ret, 0.025), quantile_cont(ret, 0.01), quantile_cont(ret, 0.95), quantile_cont(ret, 0.975), quantile_cont(ret, 0.99)]) AS threshold FROM rets GROUP BY symbol)"""
 
 
-@query("a05_shock_mean_reversion", f"""WITH {H}, {RET}, {FORWARD}, {LONG}, {SHOCK} SELECT symbol, side, level, horizon, count(fret) AS n, round(avg(fret), 6) AS mean, round(quantile_cont(fret, 0.5), 6) AS median, round(avg((CASE WHEN side = 'low' THEN fret > 0 ELSE fret < 0 END)::INT), 6) AS reversion, {t_sql('fret')} AS t
-FROM long JOIN lim USING (symbol) WHERE CASE WHEN side = 'low' THEN ret <= threshold ELSE ret >= threshold END AND fret IS NOT NULL GROUP BY ALL""")
+@query("a05_shock_mean_reversion", f"""WITH {H}, {RET}, {FORWARD}, {LONG}, {SHOCK} SELECT symbol, side, level, horizon, count(mr) AS n, round(avg(mr), 6) AS mean, round(quantile_cont(mr, 0.5), 6) AS median, round(stddev_samp(mr), 6) AS std, round(avg((mr > 0)::INT), 6) AS reversion, {t_sql('mr')} AS t
+FROM (SELECT *, CASE WHEN side = 'low' THEN fret ELSE -fret END AS mr FROM long JOIN lim USING (symbol)) WHERE CASE WHEN side = 'low' THEN ret <= threshold ELSE ret >= threshold END AND fret IS NOT NULL GROUP BY ALL""")
 def a05(spark, sf):
-    """Shock mean reversion by side, level and horizon: the flagship."""
+    """Shock mean reversion by side, level and horizon, returns turned against the shock: the flagship."""
     ev = long_horizons(S.shock_events(forward(returns(hourly(spark, sf))).select("symbol", "ret", *[f"f{h}" for h in HORIZONS]), "ret", [0.05, 0.025, 0.01])).filter("fret is not null")
-    back = F.when(F.col("side") == "low", F.col("fret") > 0).otherwise(F.col("fret") < 0)
-    return ev.groupBy("symbol", "side", "level", "horizon").agg(F.count("fret").alias("n"), F.round(F.avg("fret"), 6).alias("mean"), F.round(F.percentile("fret", 0.5), 6).alias("median"), F.round(share(back), 6).alias("reversion"), F.round(t_stat(F.col("fret")), 6).alias("t"))
+    ev = ev.withColumn("mr", F.when(F.col("side") == "low", F.col("fret")).otherwise(-F.col("fret")))
+    return ev.groupBy("symbol", "side", "level", "horizon").agg(F.count("mr").alias("n"), F.round(F.avg("mr"), 6).alias("mean"), F.round(F.percentile("mr", 0.5), 6).alias("median"), F.round(F.stddev_samp("mr"), 6).alias("std"), F.round(share(F.col("mr") > 0), 6).alias("reversion"), F.round(t_stat(F.col("mr")), 6).alias("t"))
 
 
 VOL = "vols AS (SELECT *, CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY row_pos ROWS 23 PRECEDING) = 24 THEN stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY row_pos ROWS 23 PRECEDING) END AS vol FROM fwd), edges AS (SELECT symbol, quantile_cont(vol, [0.2, 0.4, 0.6, 0.8]) AS q FROM vols GROUP BY symbol), reg AS (SELECT vols.*, 'V' || (1 + (vol > q[1])::INT + (vol > q[2])::INT + (vol > q[3])::INT + (vol > q[4])::INT) AS regime FROM vols JOIN edges USING (symbol) WHERE vol IS NOT NULL)"
