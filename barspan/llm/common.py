@@ -46,6 +46,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage, so that Spark's cleaner drops broadcasts and shuffle files of finished jobs.
+
+    For operators of many short jobs: else these pile up until the driver's heap is full.
+    """
+    if jvm := getattr(spark.sparkContext, "_jvm", None):
+        jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, cut, map_groups, mix64, only_near, read_table, texts_of
+from .common import ChunkCache, cut, map_groups, mix64, only_near, read_table, texts_of, tidy
 from .components import components
 
 TREES, BRANCHES, LEVELS = 4, 2, 4
@@ -316,6 +316,8 @@ def near_duplicates(
     result.
     """
     agree = AGREE * percent // 85 if agree is None else agree
+    spark = docs.sparkSession
+    tidy(spark)
     sketched = cut(sketch(docs, id_col=id_col, text_col=text_col, width=width), "sketch")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
@@ -331,30 +333,33 @@ def near_duplicates(
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("u"))
     links = [same.join(repeated, "u", "semi").select("u", "v")]
 
-    big = rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
-    big = cut(big, "big-0")
+    stars: list[DataFrame] = []
+    large = lambda rows, sizes: rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
+    none_large = lambda sizes: sizes.filter(F.col("n") > leaf).isEmpty()
     for turn in range(FAMILY_TURNS):
-        found = None if big.isEmpty() else _families(big, sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
+        found = None if none_large(sizes) else _families(large(rows, sizes), sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
         if found is None:
             break
+        stars.append(found[1][0])
         links += found[1]
-        rows = cut(big.select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
+        rows = cut(large(rows, sizes).select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
         sizes = cut(_sizes(rows), f"sizes-family-{turn}")
         small.append(_small(rows, sizes, leaf))  # nodes that have become small are leaves like any other
-        big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-family-{turn}")
+        tidy(spark)
     for level in range(1, LEVELS + 1):
-        if big.isEmpty():
+        if none_large(sizes):
             break
         if level == LEVELS:
-            links.append(_rest_links(big, _labels(links), sigs, texts, width=width, percent=percent, block=block))
+            links.append(_rest_links(large(rows, sizes), stars, sigs, texts, width=width, percent=percent, block=block))
             break
-        rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
+        rows = cut(_node_rows(large(rows, sizes).select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
         sizes = cut(_sizes(rows), f"sizes-{level}")
         small.append(_small(rows, sizes, leaf))
-        big = cut(rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node"), f"big-{level}")
+    tidy(spark)
     groups = _leaf_groups(reduce(DataFrame.unionByName, small), sigs, agree)
     leaves = groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
     links.append(_compare(leaves, texts, width=width, percent=percent, name="links-leaves"))
+    tidy(spark)
     labels = _labels(links)
     named = classes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
@@ -453,9 +458,17 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     return settled, [ring.filter(linked).select(F.col("rep").alias("u"), F.col("pivot").alias("v")), found]
 
 
-def _rest_links(big: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
-    """In nodes that are still large and mixed: members outside the largest group against all, in blocks."""
-    last = big.select("node", "n", "rep").distinct().join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _rest_links(big: DataFrame, stars: list[DataFrame], sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int) -> DataFrame:
+    """In nodes that are still large and mixed: members outside the largest group against all, in blocks.
+
+    Members that link to one pivot are a group already.
+    """
+    last = big.select("node", "rep").distinct()
+    if stars:
+        labels = reduce(DataFrame.unionByName, stars).groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("label"))
+        last = last.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    else:
+        last = last.withColumn("label", F.col("rep"))
     by_label = last.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = by_label.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     own = _blocks(last.join(main, "node"), "node", sigs, block)
