@@ -335,26 +335,28 @@ def near_duplicates(
 
     stars: list[DataFrame] = []
     large = lambda rows, sizes: rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
-    none_large = lambda sizes: sizes.filter(F.col("n") > leaf).isEmpty()
+    big = cut(large(rows, sizes), "big-0")
     for turn in range(FAMILY_TURNS):
-        found = None if none_large(sizes) else _families(large(rows, sizes), sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
+        found = None if big.isEmpty() else _families(big, sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
         if found is None:
             break
         stars.append(found[1][0])
         links += found[1]
-        rows = cut(large(rows, sizes).select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
+        rows = cut(big.select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
         sizes = cut(_sizes(rows), f"sizes-family-{turn}")
         small.append(_small(rows, sizes, leaf))  # nodes that have become small are leaves like any other
+        big = cut(large(rows, sizes), f"big-family-{turn}")
         tidy(spark)
     for level in range(1, LEVELS + 1):
-        if none_large(sizes):
+        if big.isEmpty():
             break
         if level == LEVELS:
-            links.append(_rest_links(large(rows, sizes), stars, sigs, texts, width=width, percent=percent, block=block))
+            links.append(_rest_links(big, stars, sigs, texts, width=width, percent=percent, block=block))
             break
-        rows = cut(_node_rows(large(rows, sizes).select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
+        rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
         sizes = cut(_sizes(rows), f"sizes-{level}")
         small.append(_small(rows, sizes, leaf))
+        big = cut(large(rows, sizes), f"big-{level}")
     tidy(spark)
     groups = _leaf_groups(reduce(DataFrame.unionByName, small), sigs, agree)
     leaves = groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
