@@ -9,41 +9,19 @@ from barspan.operators import asof as J
 from barspan.operators.scan import framed, rolling
 
 from .profile_queries import RET, returns
-from .registry import ORACLES, query
+from .registry import query
 from .tables import daily, daily_sql, hourly, hourly_sql, table
 
 H, D = hourly_sql(), daily_sql()
 #: Minutes of one event type act as the slower side series of the same symbol.
-SIDE = "fund AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS side_ts, round(avg(value), 6) AS rate FROM events WHERE event_id % 7 = 0 GROUP BY ALL)"
+SIDE = "fund AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS side_ts, round(avg(value), 6) AS rate FROM events GROUP BY ALL)"
 
 
 def fund(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 7 = 0")
-    return minutes(e)
-
-
-def minutes(e):
+    e = table(spark, sf, "events")
     return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("minute", "ts").alias("side_ts")).agg(F.round(F.avg("value"), 6).alias("rate"))
 
 
-#: The side series of every event.
-WHOLE_SIDE = SIDE.replace(" WHERE event_id % 7 = 0", "")
-
-
-def whole_fund(spark, sf):
-    return minutes(table(spark, sf, "events"))
-
-
-def also_whole(name: str):
-    """Register the plan also over the side series of all events, as name_whole with its own SQL."""
-
-    def keep(plan):
-        query(f"{name}_whole", ORACLES[name].replace(SIDE, WHOLE_SIDE))(lambda spark, sf: plan(spark, sf, whole_fund))
-        return plan
-
-    return keep
-
-
 @query("j01_panel", f"""WITH {H} SELECT epoch(ts)::BIGINT AS ts, count(*) AS assets, round(sum("close"), 6) AS total, max(symbol) AS top FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)""")
 def j01(spark, sf):
     b = hourly(spark, sf)
@@ -60,37 +38,33 @@ def j02(spark, sf):
     return a.join(b, "d").filter("base < quote").select(F.col("d").cast("string").alias("d"), "base", "quote", F.round(F.col("ya") - F.col("yb"), 4).alias("spread"))
 
 
-@also_whole("j03_asof_backward")
 @query("j03_asof_backward", f"""WITH {H}, {SIDE} SELECT b.symbol, row_pos, CASE WHEN epoch(ts) - epoch(side_ts) <= 1800 THEN epoch(side_ts)::BIGINT END AS side_ts, CASE WHEN epoch(ts) - epoch(side_ts) <= 1800 THEN rate END AS rate
 FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts""")
-def j03(spark, sf, side=fund):
-    out = J.asof_backward(hourly(spark, sf), side(spark, sf), keys=["symbol"], values=["rate"], tolerance=1800)
+def j03(spark, sf):
+    out = J.asof_backward(hourly(spark, sf), fund(spark, sf), keys=["symbol"], values=["rate"], tolerance=1800)
     return out.select("symbol", "row_pos", F.unix_timestamp("side_ts").alias("side_ts"), "rate")
 
 
-@also_whole("j04_asof_nearest")
 @query("j04_asof_nearest", f"""WITH {H}, {SIDE}, p AS (SELECT b.symbol, row_pos, b.ts, side_ts AS bt, rate AS br FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts),
 q AS (SELECT p.*, f.side_ts AS nt, f.rate AS ar FROM p ASOF LEFT JOIN fund f ON p.symbol = f.symbol AND p.ts <= f.side_ts), r AS (SELECT *, CASE WHEN bt IS NULL OR nt - ts < ts - bt THEN nt ELSE bt END AS t, CASE WHEN bt IS NULL OR nt - ts < ts - bt THEN ar ELSE br END AS v FROM q)
 SELECT symbol, row_pos, CASE WHEN abs(epoch(ts) - epoch(t)) <= 600 THEN epoch(t)::BIGINT END AS side_ts, CASE WHEN abs(epoch(ts) - epoch(t)) <= 600 THEN v END AS rate FROM r""")
-def j04(spark, sf, side=fund):
-    out = J.asof_nearest(hourly(spark, sf), side(spark, sf), keys=["symbol"], values=["rate"], tolerance=600)
+def j04(spark, sf):
+    out = J.asof_nearest(hourly(spark, sf), fund(spark, sf), keys=["symbol"], values=["rate"], tolerance=600)
     return out.select("symbol", "row_pos", F.unix_timestamp("side_ts").alias("side_ts"), "rate")
 
 
-@also_whole("j05_asof_shifted")
 @query("j05_asof_shifted", f"""WITH {H}, {SIDE}, g AS (SELECT symbol, side_ts + INTERVAL 1 DAY AS side_ts, rate FROM fund) SELECT b.symbol, row_pos, epoch(side_ts)::BIGINT AS side_ts, rate FROM bars b ASOF LEFT JOIN g f ON b.symbol = f.symbol AND b.ts >= f.side_ts""")
-def j05(spark, sf, side=fund):
-    late = side(spark, sf).withColumn("side_ts", F.col("side_ts") + F.expr("INTERVAL 1 DAY"))
+def j05(spark, sf):
+    late = fund(spark, sf).withColumn("side_ts", F.col("side_ts") + F.expr("INTERVAL 1 DAY"))
     out = J.asof_backward(hourly(spark, sf), late, keys=["symbol"], values=["rate"])
     return out.select("symbol", "row_pos", F.unix_timestamp("side_ts").alias("side_ts"), "rate")
 
 
-@also_whole("j06_interval_sum")
 @query("j06_interval_sum", f"""WITH {H}, {SIDE}, e AS (SELECT symbol, row_pos, ts, lead(ts, 8) OVER (PARTITION BY symbol ORDER BY row_pos) AS until FROM bars)
 SELECT e.symbol, row_pos, round(coalesce(sum(rate), 0), 4) AS funding FROM e LEFT JOIN fund f ON f.symbol = e.symbol AND f.side_ts > e.ts AND f.side_ts <= e.until WHERE until IS NOT NULL GROUP BY ALL""")
-def j06(spark, sf, side=fund):
+def j06(spark, sf):
     e = rolling(hourly(spark, sf), {"until": lambda w: F.lead("ts", 8).over(w)}, ahead=8).filter("until is not null").select("symbol", "row_pos", "ts", "until")
-    out = J.interval_sum(e, side(spark, sf), key="symbol", start="ts", end="until", ts="side_ts", value="rate", out="funding")
+    out = J.interval_sum(e, fund(spark, sf), key="symbol", start="ts", end="until", ts="side_ts", value="rate", out="funding")
     return out.select("symbol", "row_pos", F.round("funding", 4).alias("funding"))
 
 
@@ -133,13 +107,12 @@ def j12(spark, sf):
     return d.groupBy("symbol", F.year("ts").alias("year")).agg(F.round(F.max_by("close", "ts") / F.min_by("open", "ts") - 1, 8).alias("hold_ret"), F.count("*").alias("bars"))
 
 
-@also_whole("w14_side_features")
 @query("w14_side_features", f"""WITH {SIDE}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY side_ts) - 1 AS row_pos FROM fund)
 SELECT symbol, row_pos, round(sum(rate) OVER (w ROWS 2 PRECEDING), 6) AS sum3, round(ln(rate / lag(rate, 6) OVER w), 6) AS chg6 FROM r WHERE rate > 0 WINDOW w AS (PARTITION BY symbol ORDER BY row_pos)""")
-def w14(spark, sf, side=fund):
+def w14(spark, sf):
     from barspan.operators.scan import positions
 
-    f = positions(side(spark, sf), ts="side_ts").filter("rate > 0")
+    f = positions(fund(spark, sf), ts="side_ts").filter("rate > 0")
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("row_pos")

@@ -12,7 +12,7 @@ from barspan.operators import features as X
 from barspan.operators import stats as S
 from barspan.operators.scan import rolling
 
-from .asof_queries import SIDE, also_whole, fund
+from .asof_queries import SIDE, fund
 from .profile_queries import RET, returns
 from .registry import query
 from .stat_queries import FORWARD, SHOCK, forward, t_sql
@@ -108,22 +108,20 @@ def a26(spark, sf):
     )
 
 
-@also_whole("c16_side_profile")
 @query("c16_side_profile", f"""WITH {H}, {SIDE}, d AS (SELECT *, epoch(side_ts) - epoch(lag(side_ts) OVER (PARTITION BY symbol ORDER BY side_ts)) AS d FROM fund), p AS (SELECT symbol, count(*) AS rows, count(*) FILTER (d > 7200) AS breaks, round(quantile_cont(rate, 0.2), 6) AS q20, round(quantile_cont(rate, 0.8), 6) AS q80, round(avg((rate < 20)::INT), 6) AS low_share FROM d GROUP BY symbol),
 m AS (SELECT b.symbol, count(*) FILTER (f.side_ts IS NULL OR epoch(b.ts) - epoch(f.side_ts) > 3600) AS unmatched FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts GROUP BY b.symbol) SELECT * FROM p JOIN m USING (symbol)""")
-def c16(spark, sf, side=fund):
-    f = side(spark, sf)
+def c16(spark, sf):
+    f = fund(spark, sf)
     d = f.withColumn("d", F.unix_timestamp("side_ts") - F.unix_timestamp(F.lag("side_ts").over(Window.partitionBy("symbol").orderBy("side_ts"))))
     p = d.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(F.col("d") > 7200).alias("breaks"), F.round(F.percentile("rate", 0.2), 6).alias("q20"), F.round(F.percentile("rate", 0.8), 6).alias("q80"), F.round(share(F.col("rate") < 20), 6).alias("low_share"))
     m = J.asof_backward(hourly(spark, sf), f, keys=["symbol"], values=["rate"], tolerance=HOUR).groupBy("symbol").agg(F.count_if(F.col("side_ts").isNull()).alias("unmatched"))
     return p.join(m, "symbol")
 
 
-@also_whole("a17_side_regimes")
 @query("a17_side_regimes", f"""WITH {H}, {RET}, {FORWARD}, {SIDE}, j AS (SELECT b.symbol, f4, rate FROM fwd b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts), q AS (SELECT symbol, quantile_cont(rate, 0.2) AS lo, quantile_cont(rate, 0.8) AS hi FROM j GROUP BY symbol)
 SELECT symbol, CASE WHEN rate IS NULL THEN 'MISSING' WHEN rate <= lo THEN 'LOW' WHEN rate >= hi THEN 'HIGH' ELSE 'MIDDLE' END AS regime, CASE WHEN rate IS NULL THEN 9 WHEN rate <= lo THEN 1 WHEN rate >= hi THEN 3 ELSE 2 END AS place, count(f4) AS n, round(avg(f4), 6) AS mean FROM j JOIN q USING (symbol) GROUP BY ALL""")
-def a17(spark, sf, side=fund):
-    j = J.asof_backward(forward(returns(hourly(spark, sf))), side(spark, sf), keys=["symbol"], values=["rate"])
+def a17(spark, sf):
+    j = J.asof_backward(forward(returns(hourly(spark, sf))), fund(spark, sf), keys=["symbol"], values=["rate"])
     q = j.groupBy("symbol").agg(F.percentile("rate", 0.2).alias("lo"), F.percentile("rate", 0.8).alias("hi"))
     r = F.col("rate")
     pick = lambda a, b, c, d: F.when(r.isNull(), a).when(r <= F.col("lo"), b).when(r >= F.col("hi"), c).otherwise(d)

@@ -12,7 +12,7 @@ from barspan.operators import resample as R
 from barspan.operators import stats as S
 from barspan.operators.scan import rolling
 
-from .asof_queries import WHOLE_SIDE, whole_fund
+from .asof_queries import SIDE, fund
 from .event_queries import EVENTS, path_events
 from .position_queries import CROSS, cross
 from .profile_queries import RET, returns
@@ -43,7 +43,7 @@ def e04(spark, sf):
 
 
 #: A side series of whole hours, and what it pays while an event is held.
-SIDED = f"""{WHOLE_SIDE}, lo AS (SELECT ce.*, lead_ts AS until FROM ce JOIN (SELECT symbol, row_pos, unnest([1, 4, 12, 24]) AS horizon, unnest([lead(ts, 1) OVER w, lead(ts, 4) OVER w, lead(ts, 12) OVER w, lead(ts, 24) OVER w]) AS lead_ts FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY row_pos)) USING (symbol, row_pos, horizon) WHERE side = 'low'),
+SIDED = f"""{SIDE}, lo AS (SELECT ce.*, lead_ts AS until FROM ce JOIN (SELECT symbol, row_pos, unnest([1, 4, 12, 24]) AS horizon, unnest([lead(ts, 1) OVER w, lead(ts, 4) OVER w, lead(ts, 12) OVER w, lead(ts, 24) OVER w]) AS lead_ts FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY row_pos)) USING (symbol, row_pos, horizon) WHERE side = 'low'),
 se AS (SELECT l.*, f.rate FROM lo l ASOF LEFT JOIN fund f ON l.symbol = f.symbol AND l.ts >= f.side_ts), pay AS (SELECT l.symbol, l.horizon, l.row_pos, coalesce(sum(f.rate), 0) AS held FROM lo l LEFT JOIN fund f ON f.symbol = l.symbol AND f.side_ts > l.ts AND f.side_ts <= l.until GROUP BY ALL),
 sa AS (SELECT se.*, held, gross - held / 100 AS adjusted FROM se JOIN pay USING (symbol, horizon, row_pos) WHERE rate IS NOT NULL)"""
 
@@ -54,9 +54,9 @@ def side_events(spark, sf):
     steps = rolling(hourly(spark, sf), {f"u{h}": lambda w, h=h: F.lead("ts", h).over(w) for h in (1, 4, 12, 24)}, ahead=24)
     rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"u{h}").alias("until")) for h in (1, 4, 12, 24)])).alias("h")
     until = steps.select("symbol", "row_pos", rows).select("symbol", "row_pos", "h.*")
-    fund = whole_fund(spark, sf)
-    ev = J.asof_backward(ev.join(until, ["symbol", "row_pos", "horizon"]), fund, keys=["symbol"], values=["rate"]).drop("side_ts").filter("rate is not null")
-    paid = J.interval_sum(ev, fund, key="symbol", start="ts", end="until", ts="side_ts", value="rate", out="held")
+    side = fund(spark, sf)
+    ev = J.asof_backward(ev.join(until, ["symbol", "row_pos", "horizon"]), side, keys=["symbol"], values=["rate"]).drop("side_ts").filter("rate is not null")
+    paid = J.interval_sum(ev, side, key="symbol", start="ts", end="until", ts="side_ts", value="rate", out="held")
     return paid.withColumn("adjusted", F.col("gross") - F.col("held") / 100)
 
 
@@ -119,11 +119,11 @@ def t08(spark, sf):
 CASES = [("q20", 0.2, 0.8), ("q30", 0.3, 0.7), ("q10", 0.1, 0.9)]
 
 
-@query("p10_case_pairs", f"""WITH {H}, {RET}, {FORWARD}, {WHOLE_SIDE}, j AS (SELECT b.symbol, f4, rate FROM fwd b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts), c AS (SELECT symbol, unnest(['q20', 'q30', 'q10']) AS name, unnest([quantile_cont(rate, 0.2), quantile_cont(rate, 0.3), quantile_cont(rate, 0.1)]) AS lo, unnest([quantile_cont(rate, 0.8), quantile_cont(rate, 0.7), quantile_cont(rate, 0.9)]) AS hi FROM j GROUP BY symbol)
+@query("p10_case_pairs", f"""WITH {H}, {RET}, {FORWARD}, {SIDE}, j AS (SELECT b.symbol, f4, rate FROM fwd b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts), c AS (SELECT symbol, unnest(['q20', 'q30', 'q10']) AS name, unnest([quantile_cont(rate, 0.2), quantile_cont(rate, 0.3), quantile_cont(rate, 0.1)]) AS lo, unnest([quantile_cont(rate, 0.8), quantile_cont(rate, 0.7), quantile_cont(rate, 0.9)]) AS hi FROM j GROUP BY symbol)
 SELECT symbol, name, CASE WHEN rate <= lo THEN 'low' ELSE 'high' END AS grp, count(f4) AS n, round(avg(f4), 6) AS mean FROM j JOIN c USING (symbol) WHERE rate <= lo OR rate >= hi GROUP BY ALL""")
 def p10(spark, sf):
     """Low and high groups of the side series under three definitions."""
-    j = J.asof_backward(forward(returns(hourly(spark, sf))), whole_fund(spark, sf), keys=["symbol"], values=["rate"]).select("symbol", "f4", "rate")
+    j = J.asof_backward(forward(returns(hourly(spark, sf))), fund(spark, sf), keys=["symbol"], values=["rate"]).select("symbol", "f4", "rate")
     c = j.groupBy("symbol").agg(F.array(*[F.struct(F.lit(n).alias("name"), F.percentile("rate", a).alias("lo"), F.percentile("rate", b).alias("hi")) for n, a, b in CASES]).alias("cs")).select("symbol", F.explode("cs").alias("c")).select("symbol", "c.*")
     return j.join(c, "symbol").filter("rate <= lo or rate >= hi").groupBy("symbol", "name", F.when(F.col("rate") <= F.col("lo"), "low").otherwise("high").alias("grp")).agg(F.count("f4").alias("n"), F.round(F.avg("f4"), 6).alias("mean"))
 
