@@ -65,6 +65,65 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_wrapped_and_commented_licences_are_known(spark):
+    import textwrap
+
+    def wrapped(text, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, 72))
+
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "https://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    )
+    mit = (
+        "The MIT License (MIT)",
+        "Copyright (c) 2019 Some Person <some@example.org>",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    )
+    bsd = (
+        "Copyright 2011 Some Company. All rights reserved.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    )
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    title = "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.,\n51 Franklin Street\n\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed."
+    files = [
+        ("ap/LICENSE.txt", "\n\n".join(wrapped(x) for x in apache)),
+        ("ap/src/a.c", "int a;"),
+        ("ap/src/b.c", "/*\n * Copyright 2020 B\n *\n" + "\n *\n".join(wrapped(x, " * ") for x in apache) + "\n */\nint main() { return 0; }\n" + "int more;\n" * 400),
+        ("m/LICENSE", "\n\n".join(wrapped(x) for x in mit)),
+        ("b/COPYING", "\n\n".join(wrapped(x) for x in bsd)),
+        ("b/x/y/z.py", "pass"),
+        ("g/a.py", "# one\n#\n" + wrapped(gpl, "# ")),
+        ("gb/b.py", "print('no permission')"),
+        ("s/a.js", "// SPDX-License-Identifier: MPL-2.0\nlet a = 1;"),
+        ("h/n.txt", "He asked for permission to leave.\nThe driver has a licence, and the copyright is with the author."),
+        ("g2/COPYING", "\n\n" + title),
+    ]
+    got = {r.path: (r.license, r.how, r.licensed_by) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["ap/LICENSE.txt"] == got["ap/src/b.c"] == ("Apache-2.0", "notice", None)
+    assert got["ap/src/a.c"] == ("Apache-2.0", "inherited", "ap")
+    assert got["m/LICENSE"][0] == "MIT" and got["b/COPYING"][0] == "BSD-3-Clause" and got["g2/COPYING"][0] == "GPL-2.0"
+    assert got["b/x/y/z.py"] == ("BSD-3-Clause", "inherited", "b")
+    assert got["g/a.py"] == ("GPL-3.0", "notice", None) and got["s/a.js"] == ("MPL-2.0", "notice", None)
+    assert got["gb/b.py"] == got["h/n.txt"] == (None, "none", None)
+
+
+def test_licences_keep_clashing_columns(spark):
+    rows = [("d/LICENSE", "Released under the MIT License. " + "word " * 30_000, "u")] * 2 + [("d/x", None, "v")]
+    names = ("uid", "dir", "best", "near", "row", "kind", "up", "own_license", "template", "units")
+    files = spark.createDataFrame(rows, "path string, text string, c string")
+    for name in names:
+        files = files.withColumn(name, files["c"])
+    got = licenses.scan(files).collect()
+    assert sorted((r.path, r.license) for r in got) == [("d/LICENSE", "MIT"), ("d/LICENSE", "MIT"), ("d/x", "MIT")]
+    assert all(r[name] == r.c for r in got for name in names)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     db = duckdb.connect()
