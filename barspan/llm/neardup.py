@@ -441,7 +441,9 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asking.join(asked.select("pivot", "blocks").distinct(), "pivot").select("pivot", "o", every("blocks").alias("b"), "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
     label = F.when(F.col(linked), F.col("pivot")).otherwise(F.col("rep")).alias("label")
-    right = asked.join(asking.select("pivot", "asking").distinct(), "pivot").select("pivot", every("asking").alias("o"), "b", "rep", label, F.lit(1).alias("side"))
+    right = asked.join(asking.select("pivot", "asking").distinct(), "pivot").select("pivot", every("asking").alias("o"), "b", "rep", label, F.lit(1).alias("side"), linked, "asking")
+    # An asking member lies in the groups of its own asking block already, and meets all members there.
+    right = right.filter(F.col(linked) | (F.col("o") != F.pmod(F.xxhash64("rep"), "asking"))).drop(linked, "asking")
     across = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side")
     # Nodes that hold few others beside a family are done with once these meet the rim: no inner member links to them.
     strangers = around.join(ring, ["pivot", "rep"], "anti").select("node", "pivot", "rep")
@@ -478,7 +480,8 @@ def _rest_links(big: DataFrame, stars: list[DataFrame], sigs: DataFrame, texts:
     out_blocks = outside.select("node", F.col("b").alias("o")).distinct()
     span = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a")
     left = outside.select("node", "rep", "label", F.col("b").alias("o"), "blocks").select("node", "rep", "label", "o", span).withColumn("side", F.lit(0))
-    right = own.select("node", "rep", "label", F.col("b").alias("a")).join(out_blocks, "node").withColumn("side", F.lit(1))
+    # A member outside the largest group lies in its own block's groups already, and meets all members there.
+    right = own.withColumnRenamed("b", "a").join(out_blocks, "node").filter("label = main or o <> a").select("node", "rep", "label", "o", "a").withColumn("side", F.lit(1))
     both = left.select("node", "o", "a", "rep", "label", "side").unionByName(right.select("node", "o", "a", "rep", "label", "side"))
     groups = both.select(F.xxhash64("node", "o", "a").alias("grp"), "rep", "label", "side")
     return _compare(cut(groups, "rest-groups"), texts, width=width, percent=percent, name="links-rest")
