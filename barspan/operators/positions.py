@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import framed, rolling, running
+from .scan import CHUNK, framed, rolling, running
 
 
 def average_cross(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -56,29 +56,34 @@ def hysteresis(bars: DataFrame, up: Column, down: Column, stay_up: Column, stay_
     return done.select("x.rows.row.*", F.col("x.sig").alias(out))
 
 
-def positions_of(signals: DataFrame, keys: list[str], *, delay: int = 0) -> DataFrame:
-    """pos: the signal of the bar before (and `delay` more); turnover: its change."""
-    w = Window.partitionBy(*keys).orderBy("row_pos")
-    b = signals.withColumn("pos", F.coalesce(F.lag("sig", 1 + delay).over(w), F.lit(0)))
-    return b.withColumn("turnover", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))))
+def positions_of(signals: DataFrame, keys: list[str], *, delay: int = 0, more: dict | None = None, ahead: int = 0, size: int = CHUNK) -> DataFrame:
+    """pos: the signal of the bar before (and `delay` more); turnover: its change.
+
+    row_pos counts each key's bars without gaps.  more holds further expressions over the same
+    window, which reach back as far and `ahead` bars on.
+    """
+    held = lambda k: lambda w: F.coalesce(F.lag("sig", k + delay).over(w), F.lit(0))
+    b = rolling(signals, {"pos": held(1), "_was": held(2), **(more or {})}, back=2 + delay, ahead=ahead, key=keys, size=size)
+    return b.withColumn("turnover", F.abs(F.col("pos") - F.col("_was"))).drop("_was")
 
 
-def bar_returns(signals: DataFrame, keys: list[str], *, cost: float = 0.0) -> DataFrame:
+def bar_returns(signals: DataFrame, keys: list[str], *, cost: float = 0.0, size: int = CHUNK) -> DataFrame:
     """ret of each bar, close to close, of the position held into it, less cost per unit of turnover."""
-    w = Window.partitionBy(*keys).orderBy("row_pos")
-    b = positions_of(signals, keys)
-    move = F.col("close") / F.lag("close").over(w) - 1
-    return b.withColumn("ret", F.coalesce(F.col("pos") * move, F.lit(0.0)) - cost * F.col("turnover"))
+    b = positions_of(signals, keys, more={"_move": lambda w: F.col("close") / F.lag("close").over(w) - 1}, size=size)
+    return b.withColumn("ret", F.coalesce(F.col("pos") * F.col("_move"), F.lit(0.0)) - cost * F.col("turnover")).drop("_move")
+
+
+def _runs(positions: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Add _run, the number of changes of the position up to each bar."""
+    return running(positions, {"_run": ("sum", (F.col("turnover") > 0).cast("int"))}, keys=keys, size=size)
 
 
-def trade_log(signals: DataFrame, keys: list[str], *, cost: float = 0.0, delay: int = 0) -> DataFrame:
+def trade_log(signals: DataFrame, keys: list[str], *, cost: float = 0.0, delay: int = 0, size: int = CHUNK) -> DataFrame:
     """One row per run of a position: entered at its first open, left at the next run's first open.
 
     The last run ends at the open of the period's last bar.
     """
-    b = positions_of(signals, keys, delay=delay)
-    w = Window.partitionBy(*keys).orderBy("row_pos")
-    b = b.withColumn("_run", F.sum((F.col("turnover") > 0).cast("int")).over(w)).withColumn("_next", F.lead("open").over(w))
+    b = _runs(positions_of(signals, keys, delay=delay, more={"_next": lambda w: F.lead("open").over(w)}, ahead=1, size=size), keys, size)
     t = b.filter("pos <> 0").groupBy(*keys, "_run").agg(
         F.first("pos").alias("direction"), F.min("row_pos").alias("entry_pos"), F.max("row_pos").alias("exit_pos"), F.min_by("ts", "row_pos").alias("entry_ts"), F.max_by("ts", "row_pos").alias("exit_ts"),
         F.min_by("open", "row_pos").alias("entry_price"), F.max_by("_next", "row_pos").alias("_next"), F.max_by("open", "row_pos").alias("_last"),
@@ -89,7 +94,7 @@ def trade_log(signals: DataFrame, keys: list[str], *, cost: float = 0.0, delay:
     return t.withColumns({"exit_price": leave, "gross": gross, "net": gross - cost, "bars": F.col("exit_pos") - F.col("entry_pos") + F.col("_next").isNotNull().cast("int"), "exit_reason": reason}).drop("_run", "_next", "_last")
 
 
-def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target: Column, atr: str = "atr") -> DataFrame:
+def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target: Column, atr: str = "atr", size: int = CHUNK) -> DataFrame:
     """Trades with a stop and a target in units of ATR from the entry; null means none.
 
     Inside a run of one position a flat bar enters at its open if the ATR of the bar before is
@@ -97,9 +102,9 @@ def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target:
     again.  The run's end closes at the next run's first open, or the last close.  Runs are
     independent, so each is a fold of its own.
     """
-    b = positions_of(signals, keys)
-    w = Window.partitionBy(*keys).orderBy("row_pos")
-    b = b.withColumns({"_run": F.sum((F.col("turnover") > 0).cast("int")).over(w), "_next": F.lead("open").over(w), "_atr": F.lag(atr).over(w), "_sl": stop.cast("double"), "_tp": target.cast("double")})
+    more = {"_next": lambda w: F.lead("open").over(w), "_atr": lambda w: F.lag(atr).over(w)}
+    b = _runs(positions_of(signals, keys, more=more, ahead=1, size=size), keys, size)
+    b = b.withColumns({"_sl": stop.cast("double"), "_tp": target.cast("double")})
     bars = F.sort_array(F.collect_list(F.struct("row_pos", "open", "high", "low", F.col("_atr").alias("atr"))))
     runs = b.filter("pos <> 0").groupBy(*keys, "_run").agg(F.first("pos").alias("d"), F.first("_sl").alias("sl"), F.first("_tp").alias("tp"), bars.alias("bars"), F.coalesce(F.max_by("_next", "row_pos"), F.max_by("close", "row_pos")).alias("final"), F.max("row_pos").alias("last"))
     none = F.lit(None).cast("double")
@@ -121,10 +126,10 @@ def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target:
     return out.select(*keys, F.col("d").alias("direction"), "t.*").withColumn("pnl", F.col("direction") * (F.col("exit") - F.col("entry")))
 
 
-def segments(returns: DataFrame, keys: list[str]) -> DataFrame:
+def segments(returns: DataFrame, keys: list[str], *, size: int = CHUNK) -> DataFrame:
     """One row per run of a position in a series of pos and ret: side, entry_pos, bars and the compounded pnl."""
-    w = Window.partitionBy(*keys).orderBy("row_pos")
-    runs = returns.withColumn("_run", F.sum((F.col("pos") != F.coalesce(F.lag("pos").over(w), F.lit(0))).cast("int")).over(w)).filter("pos <> 0")
+    turns = rolling(returns, {"_turn": lambda w: (F.col("pos") != F.coalesce(F.lag("pos").over(w), F.lit(0))).cast("int")}, back=1, key=keys, size=size)
+    runs = running(turns, {"_run": ("sum", F.col("_turn"))}, keys=keys, size=size).filter("pos <> 0")
     return runs.groupBy(*keys, "_run").agg(F.first("pos").alias("side"), F.min("row_pos").alias("entry_pos"), F.count("*").alias("bars"), (F.product(1 + F.col("ret")) - 1).alias("pnl")).drop("_run")
 
 

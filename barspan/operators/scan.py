@@ -27,7 +27,7 @@ def positions(df: DataFrame, key: str = "symbol", ts: str = "ts", span: str = "m
     return spans.withColumn("_local", local).join(offsets, [key, "_span"]).withColumn("row_pos", F.col("_before") + F.col("_local")).drop("_span", "_before", "_local")
 
 
-def rolling(df: DataFrame, exprs: dict[str, Callable[[WindowSpec], Column]], *, back: int = 0, ahead: int = 0, key: str = "symbol", size: int = CHUNK) -> DataFrame:
+def rolling(df: DataFrame, exprs: dict[str, Callable[[WindowSpec], Column]], *, back: int = 0, ahead: int = 0, key: str | list[str] = "symbol", size: int = CHUNK) -> DataFrame:
     """Add columns over bounded frames: each expression gets the ordered window to frame.
 
     back and ahead say how many rows the frames reach; a chunk holds that many rows of its
@@ -36,7 +36,7 @@ def rolling(df: DataFrame, exprs: dict[str, Callable[[WindowSpec], Column]], *,
     size = max(size, back, ahead, 1)
     at, place = F.floor(F.col("row_pos") / size), F.pmod("row_pos", F.lit(size))
     homes = F.array_compact(F.array(at, F.when(place >= size - back, at + 1) if back else F.lit(None).cast("bigint"), F.when((place < ahead) & (at > 0), at - 1) if ahead else F.lit(None).cast("bigint")))
-    w = Window.partitionBy(key, "_chunk").orderBy("row_pos")
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key), "_chunk").orderBy("row_pos")
     spread = df.withColumn("_chunk", F.explode(homes))
     return spread.withColumns({name: make(w) for name, make in exprs.items()}).filter(F.col("_chunk") == at).drop("_chunk")
 

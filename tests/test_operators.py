@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspan import sources
-from barspan.operators import events, features, positions, resample, scan, stats
+from barspan.operators import asof, events, features, positions, resample, scan, stats
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +120,50 @@ def test_hysteresis_matches_the_loop(bars, chunk):
     same(got, pandas_of(b, loop))
 
 
+@pytest.mark.parametrize("size", [3, 50])
+def test_positions_and_trades_are_the_same_in_chunks(bars, size):
+    ranged = bars.withColumn("atr", F.when(F.col("row_pos") > 20, F.col("high") - F.col("low")))
+    signals = positions.average_cross(ranged, [(3, 9), (5, 20)])
+    keys = ["symbol", "short_ma", "long_ma"]
+    makers = [
+        lambda n: positions.positions_of(signals, keys, delay=2, size=n).select(*keys, "row_pos", "pos", "turnover"),
+        lambda n: positions.bar_returns(signals, keys, cost=0.001, size=n).select(*keys, "row_pos", "pos", "ret"),
+        lambda n: positions.trade_log(signals, keys, cost=0.5, size=n),
+        lambda n: positions.stopped_trades(signals, keys, stop=F.lit(1.5), target=F.lit(None), size=n),
+        lambda n: positions.segments(positions.bar_returns(signals, keys), keys, size=n).withColumn("pnl", F.round("pnl", 10)),
+    ]
+    for make in makers:
+        cut, whole = ([str(r) for r in make(n).collect()] for n in (size, 1 << 20))
+        assert whole and sorted(cut) == sorted(whole)
+
+
+def test_asof_joins_match_the_loop(spark):
+    """Spans without side rows, ties of distance, exact matches, stale values, null keys and times."""
+    rng, start = np.random.default_rng(8), dt.datetime(2021, 1, 1)
+    at = lambda days: start + dt.timedelta(days=int(days))
+    left = [(k, s, at(d)) for k, (s, d) in enumerate((s, d) for s in ("A", "B", "C") for d in rng.integers(0, 400, 40))]
+    left += [(900, None, at(5)), (901, "A", None)]
+    right = [(s, at(d), float(d)) for s in ("A", "B") for d in sorted(set(rng.integers(50, 350, 9).tolist()))]
+    right += [(None, at(5), -1.0), ("A", None, -2.0)]
+    lf = spark.createDataFrame(left, "id int, symbol string, ts timestamp")
+    rt = spark.createDataFrame(right, "symbol string, side_ts timestamp, v double")
+    limit = dt.timedelta(days=60)
+
+    def want(s, t, nearest):
+        sides = [(x, v) for k, x, v in right if None not in (s, t, x) and k == s and (nearest or x <= t)]
+        best = min(sides, key=lambda r: (abs(r[0] - t), r[0]), default=None)
+        return best[1] if best and abs(best[0] - t) <= limit else None
+
+    for nearest, join in ((False, asof.asof_backward), (True, asof.asof_nearest)):
+        got = {r["id"]: r["v"] for r in join(lf, rt, keys=["symbol"], values=["v"], tolerance=60 * 86400).collect()}
+        assert got == {k: want(s, t, nearest) for k, s, t in left}
+
+    ends = lf.withColumn("until", F.expr("ts + interval 45 days"))
+    got = {r["id"]: r["interval_sum"] for r in asof.interval_sum(ends, rt, key="symbol", start="ts", end="until", ts="side_ts", value="v").collect()}
+    total = lambda s, t: sum(v for k, x, v in right if x and k == s and t < x <= t + dt.timedelta(days=45))
+    assert got == {k: total(s, t) if s in ("A", "B") and t else None for k, s, t in left}
+
+
 def test_ols_equals_least_squares(spark):
     rng = np.random.default_rng(1)
     rows = [("k", float(rng.normal()), bool(rng.integers(2)), bool(rng.integers(2))) for _ in range(60)]
