@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact, langid, licenses, neardup, packing, quality, sharding, warc
+from . import ann, bpe, chat, exact, langid, licenses, neardup, packing, phrases, quality, sharding, warc, whitening
 
 QUERIES = {
     "op1_multiprobe_ann": ann.op1_multiprobe_ann,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_phrase_mining": phrases.op11_phrase_mining,
+    "op12_chat_formatting": chat.op12_chat_formatting,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLES = {
     "op2_license_scan": licenses.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op11_phrase_mining": phrases.ORACLE,
+    "op12_chat_formatting": chat.ORACLE,
 }
