@@ -1,8 +1,9 @@
 """Phrase collocation mining: HAT-trie counts in tasks, merged per prefix partition by Spark.
 
-Lengths are counted one after the other.  A phrase is frequent only if the shorter ones inside it
-are, so a pass over phrases of m words counts only those whose two parts of m - 1 words may be
-frequent, which a filter of bounded size tells: it lets some others pass and never stops one.
+A phrase is frequent only if the shorter ones inside it are.  Passes over ever longer phrases count
+hashes (equal hashes of different phrases add up, so a frequent one is never missed) of those whose two
+parts of one word less may be frequent, which a filter of bounded size tells: it lets some others pass
+and never stops one.  The last pass counts the phrases themselves, of all lengths, that the filters pass.
 """
 
 from __future__ import annotations
@@ -112,11 +113,15 @@ class HatTrie:
         return keys[order] + (prefix or 0), np.fromiter(box.values(), np.int64, len(box))[order]
 
 
-def slot(parts: list[np.ndarray], bits: int) -> np.ndarray:
-    """Places in a filter of 2**bits bits of paths given by the hashes of their words."""
+def path_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of paths, given by the hashes of their words."""
     h = parts[0]
     for p in parts[1:]:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + p)
+    return h
+
+
+def places(h: np.ndarray, bits: int) -> np.ndarray:
     return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
@@ -126,32 +131,36 @@ def word_hash(lang: str, words: list[bytes]) -> np.ndarray:
 
 
 class Counter:
-    """Paths of m words of one language, counted over its pieces; what may pass is told by filters of shorter paths."""
+    """Paths of some lengths of one language, counted over its pieces; what may pass is told by filters of paths of 1, 2, ... words."""
 
-    def __init__(self, lang: str, m: int, filters: list[tuple[int, np.ndarray]], entries: int, names: int, name_bytes: int):
-        self.lang, self.m, self.filters, self.most, self.names, self.name_bytes = lang, m, filters, entries, names, name_bytes
-        self.words, self.trie = Words(), HatTrie(m)
+    def __init__(self, lang: str, lengths: list[int], filters: list[tuple[int, np.ndarray]], entries: int, names: int, name_bytes: int):
+        self.lang, self.filters, self.most, self.names, self.name_bytes = lang, filters, entries, names, name_bytes
+        self.words, self.tries = Words(), {m: HatTrie(m) for m in lengths}
         self._known = np.zeros(0, np.uint64), np.zeros(0, bool)
 
+    @property
+    def entries(self) -> int:
+        return sum(t.entries for t in self.tries.values())
+
     def _facts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and whether it may be frequent."""
         hashes, ok = self._known
         new = self.words.names[len(hashes) :]
         if new:
             more = word_hash(self.lang, new) if self.filters else np.zeros(len(new), np.uint64)
-            pass_ = self._in(0, [more]) if self.filters else np.ones(len(new), bool)
-            hashes, ok = np.append(hashes, more), np.append(ok, pass_)
+            hashes, ok = np.append(hashes, more), np.append(ok, self._in(0, more) if self.filters else np.ones(len(new), bool))
             ok[0] = False
             self._known = hashes, ok
         return hashes, ok
 
-    def _in(self, which: int, parts: list[np.ndarray]) -> np.ndarray:
+    def _in(self, which: int, h: np.ndarray) -> np.ndarray:
         bits, held = self.filters[which]
-        p = slot(parts, bits)
+        p = places(h, bits)
         return ((held[p >> 6] >> (p & 63)) & 1).astype(bool)
 
-    def take(self, data: bytes, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    def take(self, data: bytes, block: int = 1 << 19) -> Iterator[pa.RecordBatch]:
         data, start, carry = data.translate(TABLE), 0, np.zeros(0, np.int64)
+        reach = max(self.tries) - 1
         while start < len(data):
             cut_at = SPACED.search(data, start + block)
             end = cut_at.start() if cut_at else len(data)
@@ -159,9 +168,9 @@ class Counter:
             start = end
             ids = np.concatenate([carry, np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))])
             self._count(ids, len(carry))
-            carry = ids[len(ids) - min(len(ids), self.m - 1) :]
+            carry = ids[len(ids) - min(len(ids), reach) :]
             full = len(self.words.names) > self.names or self.words.size > self.name_bytes
-            if full or self.trie.entries > self.most:
+            if full or self.entries > self.most:
                 yield from self.runs(0 if full else self.most // 2)
             if full:
                 kept = [self.words.names[k] for k in carry]
@@ -170,83 +179,100 @@ class Counter:
                 carry = np.array([self.words[w] for w in kept], np.int64)
 
     def _count(self, ids: np.ndarray, old: int) -> None:
-        m, n = self.m, len(ids)
-        first = max(0, old - m + 1)
-        if n - first < m:
-            return
         hashes, ok = self._facts()
-        good = ok[ids]
-        for width in range(2, m):  # inner paths of that many words may be frequent
-            inner = good[:-1] & good[1:]
-            at = np.flatnonzero(inner)
-            inner[at] = self._in(width - 1, [hashes[ids[at + k]] for k in range(width)])
-            good = inner
-        ends = n - m + 1
-        passed = good[:ends] if m == 1 else good[:ends] & good[1 : ends + 1]
-        at = np.flatnonzero(passed[first:]) + first
-        if not len(at):
-            return
-        keys = ids[at]
-        for k in range(1, m):
-            keys = keys << ID_BITS | ids[at + k]
-        self.trie.add(*np.unique(keys, return_counts=True))
+        good, keys = ok[ids], ids
+        for m in range(1, max(self.tries) + 1):
+            if len(ids) < m:
+                return
+            if m > 1:
+                good = good[:-1] & good[1:]
+                keys = keys[:-1] << ID_BITS | ids[m - 1 :]
+                if m <= len(self.filters):
+                    at = np.flatnonzero(good)
+                    good[at] = self._in(m - 1, path_hash([hashes[ids[at + k]] for k in range(m)]))
+            trie = self.tries.get(m)
+            if trie is not None:
+                new = max(0, old - m + 1)  # paths that end in what was carried over are counted already
+                found = keys[new:][good[new:]]
+                if m == 1:
+                    counts = np.bincount(found)
+                    some = np.flatnonzero(counts)
+                    trie.add(some, counts[some])
+                elif len(found):
+                    trie.add(*np.unique(found, return_counts=True))
 
     def runs(self, down_to: int = 0) -> Iterator[pa.RecordBatch]:
-        names = None
-        for keys, counts in self.trie.spill(down_to):
-            names = pa.array(self.words.names, pa.binary()).cast(pa.string()) if names is None else names
-            parts = [names.take(pa.array(keys >> (ID_BITS * k) & ((1 << ID_BITS) - 1))) for k in reversed(range(self.m))]
-            phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
-            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(keys), pa.string()), phrase, pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+        """Sorted runs of whole subtrees; of several tries each keeps its share of down_to."""
+        for m, trie in self.tries.items():
+            for keys, counts in trie.spill(down_to * trie.entries // max(1, self.entries)):
+                yield self.batch([keys >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(m))], counts)
 
+    def batch(self, path: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        names = [pa.array([self.words.names[k] for k in ids.tolist()], pa.binary()).cast(pa.string()) for ids in path]
+        phrase = names[0] if len(names) == 1 else pc.binary_join_element_wise(*names, " ")
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(counts), pa.string()), phrase, pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
-def count_phrases(texts: DataFrame, m: int, filters: list, *, entries: int = 1_200_000, names: int = 300_000, name_bytes: int = 32 << 20) -> DataFrame:
-    """texts(lang, text) -> (lang, phrase, f): occurrences of phrases of m words, of all that pass the filters.
 
-    Each task spills sorted runs of whole subtrees; Spark merges them by (lang, phrase), which
-    parts the prefixes so that a frequent one is spread and no phrase has more rows than runs.
+class HashCounter(Counter):
+    """Gives hashes in place of phrases: short rows, to tell which phrases may be frequent."""
+
+    def batch(self, path: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        hashes = self._facts()[0]
+        return pa.RecordBatch.from_arrays([pa.array(path_hash([hashes[ids] for ids in path]).view(np.int64)), pa.array(counts, pa.int64())], ["h", "f"])
+
+
+def count_phrases(texts: DataFrame, lengths: list[int], filters: list, *, hashed: bool = False, entries: int = 500_000, names: int = 200_000, name_bytes: int = 16 << 20) -> DataFrame:
+    """texts(lang, text) -> (lang, phrase, f), or hashed (h, f): occurrences of phrases of these lengths, of all that pass the filters.
+
+    Each task spills sorted runs of whole subtrees; Spark merges them by whole path, which parts
+    the prefixes so that a frequent one is spread and no phrase has more rows than runs.
     """
+    kind = HashCounter if hashed else Counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         tables = [(bits, shared.value) for bits, shared in filters]
         for batch in batches:
-            langs, column = batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary())
-            for lang in dict.fromkeys(langs):
-                own = [column[k].as_py() for k, x in enumerate(langs) if x == lang]
-                counter = held.get(lang)
-                if counter is None:
-                    counter = held[lang] = Counter(lang, m, tables, entries, names, name_bytes)
-                yield from counter.take(b".".join(own))
-            while sum(c.trie.entries for c in held.values()) > entries or sum(len(c.words.names) for c in held.values()) > names or len(held) > 64:
-                largest = max(held, key=lambda x: (held[x].trie.entries, len(held[x].words.names)))
-                yield from held.pop(largest).runs()
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                langs, texts = part.column("lang").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist()
+                for lang in dict.fromkeys(langs):
+                    counter = held.get(lang)
+                    if counter is None:
+                        counter = held[lang] = kind(lang, lengths, tables, entries, names, name_bytes)
+                    yield from counter.take(b".".join(t for t, x in zip(texts, langs, strict=True) if x == lang))
+                while sum(c.entries for c in held.values()) > entries or sum(len(c.words.names) for c in held.values()) > names or len(held) > 64:
+                    largest = max(held, key=lambda x: (held[x].entries, len(held[x].words.names)))
+                    yield from held.pop(largest).runs()
         for counter in held.values():
             yield from counter.runs()
 
-    return texts.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    keys = ["h"] if hashed else ["lang", "phrase"]
+    return texts.mapInArrow(run, "h bigint, f bigint" if hashed else "lang string, phrase string, f bigint").groupBy(*keys).agg(F.sum("f").alias("f"))
 
 
-def may_be(frequent: DataFrame, m: int, most_bits: int) -> tuple[int, object]:
-    """A filter of the phrases: 16 bits for each, 2**most_bits at most (16 MB), for all tasks to read.
-
-    Past some 10**7 phrases more others pass, and none too few; the driver gets at most 2**most_bits / 64 numbers.
-    """
-    spark = frequent.sparkSession
-    bits = max(12, min(most_bits, (16 * frequent.count()).bit_length()))
+def hashes_of(words: DataFrame) -> DataFrame:
+    """(lang, phrase) of one word each -> h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases = batch.column("lang").to_pylist(), [p.encode() for p in batch.column("phrase").to_pylist()]
+            langs, phrases = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
             for lang in dict.fromkeys(langs):
-                words = [p.split(b" ") for p, x in zip(phrases, langs, strict=True) if x == lang]
-                p = slot([word_hash(lang, [w[k] for w in words]) for k in range(m)], bits)
-                at, inverse = np.unique(p >> 6, return_inverse=True)
-                held = np.zeros(len(at), np.int64)
-                np.bitwise_or.at(held, inverse, np.int64(1) << (p & 63))
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held)], ["at", "held"])
-
-    found = frequent.mapInArrow(run, "at bigint, held bigint").groupBy("at").agg(F.expr("bit_or(held)").alias("held")).toArrow()
+                yield pa.RecordBatch.from_arrays([pa.array(word_hash(lang, [p.encode() for p, x in zip(phrases, langs, strict=True) if x == lang]).view(np.int64))], ["h"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "h bigint")
+
+
+def may_be(hashes: DataFrame, most_bits: int) -> tuple[int, object]:
+    """A filter of hashes h: 16 bits for each, 2**most_bits at most (16 MB), for all tasks to read.
+
+    Past some 10**7 phrases more others pass, and none too few; the driver gets at most 2**most_bits / 64 numbers.
+    """
+    spark = hashes.sparkSession
+    bits = max(12, min(most_bits, (16 * hashes.count()).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("held"))
+    found = words.toArrow()
     out = np.zeros(1 << max(0, bits - 6), np.int64)
     out[found.column("at").to_numpy()] = found.column("held").to_numpy()
     return bits, spark.sparkContext.broadcast(out)
@@ -269,18 +295,15 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     if not 2 <= max_words <= LONGEST:
         raise ValueError(f"max_words must be 2 to {LONGEST}")
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    words = cut(count_phrases(texts, 1, []), "words")
+    words = cut(count_phrases(texts, [1], []), "words")
     totals = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("f").alias("n"))
-    frequent, filters = [words.filter(F.col("f") >= least)], []
-    for m in range(2, max_words + 1):
-        filters.append(may_be(frequent[-1], m - 1, filter_bits))
-        frequent.append(cut(count_phrases(texts, m, filters).filter(F.col("f") >= least), f"phrases-{m}"))
-    known = frequent[0]
-    for more in frequent[1:]:
-        known = known.unionByName(more)
-    longer = frequent[1]
-    for more in frequent[2:]:
-        longer = longer.unionByName(more)
+    often = words.filter(F.col("f") >= least)
+    filters = [may_be(cut(hashes_of(often), "hashes-1"), filter_bits)]
+    for m in range(2, max_words):
+        counted = count_phrases(texts, [m], filters, hashed=True).filter(F.col("f") >= least).select("h")
+        filters.append(may_be(cut(counted, f"hashes-{m}"), filter_bits))
+    longer = cut(count_phrases(texts, list(range(2, max_words + 1)), filters).filter(F.col("f") >= least), "phrases")
+    known = often.unionByName(longer)
 
     part = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.size(part) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(part, F.lit(1), k), " ").alias("left"), F.array_join(F.slice(part, k + 1, F.size(part) - k), " ").alias("right")))
