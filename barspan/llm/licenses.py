@@ -3,8 +3,8 @@
 Whole texts, paragraphs (lines between lines without a letter or digit, so that comment marks and
 wrapped lines do not matter) and their sentences and lines are compared with the templates: notices
 in one sentence, standard file headers, titles of licence files and whole short licences.  A
-document whose first part is a notice, whose whole text is like a template, or that bears the name
-of a licence file and holds a notice, acts as the licence file of its directory.  Documents without
+document whose whole text is like a licence or its title, or that bears the name of a licence file and
+holds a notice, is the licence file of its directory; a header labels its own file only.  Documents without
 a notice of their own take the licence of the nearest ancestor directory that has one.  DataFrame
 functions only.
 """
@@ -41,6 +41,24 @@ _MIT_END = (
 )
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
 _APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_BOOST = (
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: '
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+)
+_BOOST_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {} which is available at https://www.eclipse.org/legal/epl-{}/"
+_EPL_TITLE = 'Eclipse Public License - v {} THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.'
+_CDDL = "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 _TITLE = "{} Version {} Copyright (C) {} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 _GNU = [
@@ -49,7 +67,8 @@ _GNU = [
     ("LGPL-3.0", "GNU Lesser General Public License", "3", "3, 29 June 2007", "2007"),
     ("AGPL-3.0", "GNU Affero General Public License", "3", "3, 19 November 2007", "2007"),
 ]
-NOTICES = [
+#: What a file says of itself.
+HEADERS = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -68,20 +87,32 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", f"{_APACHE} http://www.apache.org/licenses/LICENSE-2.0 {_APACHE_END}"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", _MIT),
+    ("BSD-3-Clause", _BSD_3),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"),
+    ("BSL-1.0", _BOOST),
+    *[(f"EPL-{v}", _EPL.format(v, v)) for v in ("1.0", "2.0")],
+    ("CDDL-1.0", _CDDL),
+    *[(spdx, _GPL.format(name, version)) for spdx, name, version, _, _ in _GNU],
+    *[(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "Unlicense", "BSL-1.0", "Zlib", "EPL-1.0", "EPL-2.0", "CDDL-1.0")],
+]
+#: What licence files hold: whole short licences, and the titles of long ones.
+TEXTS = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", f"The MIT License (MIT) Copyright (c) {_MIT}{_MIT_END}"),
     ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {_BSD}{_BSD_END}"),
     ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD}{_BSD_3}{_BSD_END}"),
-    ("BSD-3-Clause", _BSD_3),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    *[(spdx, _GPL.format(name, version)) for spdx, name, version, _, _ in _GNU],
+    ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003 {_BOOST}{_BOOST_END}"),
+    ("Zlib", _ZLIB),
+    *[(f"EPL-{v}", _EPL_TITLE.format(v)) for v in ("1.0", "2.0")],
+    ("CDDL-1.0", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
     *[(spdx, _TITLE.format(name, dated, years)) for spdx, name, _, dated, years in _GNU],
-    *[(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "Unlicense")],
 ]
+NOTICES = HEADERS + TEXTS
 ANCHOR = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain"
 FILE_NAME = r"(?i)(^|/)(un)?licen[sc]e([.-][^/]*)?$|(^|/)copying([.-][^/]*)?$"
 BLANK = r"\n[^A-Za-z0-9\n]*\n"
@@ -130,7 +161,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", no
 
     how: `notice` (best-matching part, from the whole text to one sentence or line), `inherited`
     (licensed_by names the ancestor directory) or `none`.  Of equal cosines the template listed
-    first counts; of the licence files of a directory the best score, then the smallest path.
+    first counts; of the licence files of a directory the best score, then the smallest path.  Long
+    licences (Apache, GPL, MPL, EPL, CDDL) are known by headers and titles, not by their whole texts.
     Paths use '/'; a file without a directory lies in ''.  Null or empty texts have no notice and
     may inherit; null paths lie in '' as well.  Very long texts are read whole.  Rows that repeat
     path and text share their result.  Columns named as the results are replaced; all others stay.
@@ -153,12 +185,11 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", no
     best = F.struct(F.col("cosine"), (-F.col("template")).alias("order"))  # of equal cosines the template listed first
     by_file = near.groupBy("uid", "path").agg(
         F.max(F.when(F.col("cosine") >= notice_cosine, best)).alias("best"),
-        F.max(((F.col("kind") > 0) & (F.col("pos") == 0)).cast("int")).alias("leads"),
-        F.max(F.when(F.col("kind") == 0, F.col("cosine"))).alias("alike"),
+        F.max(F.when((F.col("kind") == 0) & (F.col("template") >= len(HEADERS)), F.col("cosine"))).alias("alike"),
     )
     names = F.array(*[F.lit(lic) for lic, _ in NOTICES])
-    notices = cut(by_file.filter("best is not null").select("uid", "path", F.col("best.cosine").alias("own_score"), F.element_at(names, 1 - F.col("best.order")).alias("own_license"), "leads", "alike"), "notices")
-    licence_files = notices.filter((F.col("leads") == 1) | (F.col("alike") >= file_cosine) | F.col("path").rlike(FILE_NAME)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    notices = cut(by_file.filter("best is not null").select("uid", "path", F.col("best.cosine").alias("own_score"), F.element_at(names, 1 - F.col("best.order")).alias("own_license"), "alike"), "notices")
+    licence_files = notices.filter((F.col("alike") >= file_cosine) | F.col("path").rlike(FILE_NAME)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     first = F.min_by(F.struct("own_license", "own_score"), F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_license").alias("l")))
     dir_licence = licence_files.groupBy("dir").agg(first.alias("m")).select(F.col("dir").alias("up"), F.col("m.own_license").alias("dir_license"), F.col("m.own_score").alias("dir_score"))
     every = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"), uid.alias("uid"), path.alias("path"), place.alias("dir"))
@@ -185,7 +216,8 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    values = ", ".join(f"({k}, '{lic}', '{text}')" for k, (lic, text) in enumerate(NOTICES))
+    quoted = lambda text: text.replace("'", "''")
+    values = ", ".join(f"({k}, '{lic}', '{quoted(text)}')" for k, (lic, text) in enumerate(NOTICES))
     anchor, name = ANCHOR.removeprefix("(?i)"), FILE_NAME.removeprefix("(?i)")
     n = len(NOTICES)
     mark = "chr(1)"
@@ -205,9 +237,9 @@ st AS (SELECT doc_id, path, kind, pos, token, count(*) AS tf FROM (SELECT doc_id
 sw AS (SELECT doc_id, path, kind, pos, token, tf * coalesce(idf, ln({n + 1}.0::DOUBLE) + 1) AS w FROM st LEFT JOIN idf USING (token)),
 sn AS (SELECT doc_id, kind, pos, sqrt(sum(w * w)) AS norm FROM sw GROUP BY ALL),
 sc AS (SELECT sw.doc_id, path, sw.kind, sw.pos, template, license, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM sw JOIN unit USING (token) JOIN sn ON sn.doc_id = sw.doc_id AND sn.kind = sw.kind AND sn.pos = sw.pos GROUP BY ALL),
-own AS (SELECT doc_id, path, max(cosine) AS cosine, arg_max(license, (cosine, -template)) AS license, bool_or(kind > 0 AND pos = 0) AS leads FROM sc WHERE cosine >= 0.8 GROUP BY ALL),
-wc AS (SELECT doc_id, max(cosine) AS alike FROM sc WHERE kind = 0 GROUP BY doc_id),
-lf AS (SELECT own.*, regexp_replace(path, '/?[^/]*$', '') AS dir FROM own LEFT JOIN wc USING (doc_id) WHERE leads OR alike >= 0.5 OR regexp_matches(path, '{name}', 'i')),
+own AS (SELECT doc_id, path, max(cosine) AS cosine, arg_max(license, (cosine, -template)) AS license FROM sc WHERE cosine >= 0.8 GROUP BY ALL),
+wc AS (SELECT doc_id, max(cosine) AS alike FROM sc WHERE kind = 0 AND template >= {len(HEADERS)} GROUP BY doc_id),
+lf AS (SELECT own.*, regexp_replace(path, '/?[^/]*$', '') AS dir FROM own LEFT JOIN wc USING (doc_id) WHERE alike >= 0.5 OR regexp_matches(path, '{name}', 'i')),
 dl AS (SELECT dir, arg_min(license, path) AS dir_license, any_value(cosine) AS dir_score FROM (SELECT *, max(cosine) OVER (PARTITION BY dir) AS top FROM lf) WHERE cosine = top GROUP BY dir),
 dd AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f),
 near AS (SELECT x.dir, arg_max(dl.dir_license, length(dl.dir)) AS dir_license, arg_max(dl.dir_score, length(dl.dir)) AS dir_score, arg_max(dl.dir, length(dl.dir)) AS up

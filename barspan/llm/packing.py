@@ -78,7 +78,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
     Columns: doc_id, piece, start, length, ids_crc32, spread (a number that deals rows evenly
     to tasks) and, on demand, ids.  Null text counts as empty: one piece holding end_id only.
     Chunks between white space are encoded once and kept in a bounded cache; the file's
-    normaliser and pre-tokenizer never join characters across white space.
+    normaliser and pre-tokenizer never join characters across white space.  Rows that repeat an id,
+    and null ids, give pieces each; extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +136,12 @@ def _pack_area(capacity: int, exchange_bins: int):
     return pack
 
 
-def pack(pieces: DataFrame, *, capacity: int = 4096, area_bins: int = 2000, exchange_bins: int = 256, merge: int = 16, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 4096, area_bins: int = 2000, exchange_bins: int = 256, merge: int = 16, rounds: int = 4, numbered: bool = False) -> DataFrame:
     """Add sequence_id and offset to pieces (columns as token_pieces gives them).
 
     Every piece lands in one sequence of at most `capacity` tokens; offsets are gapless from 0.
-    Repeated rows are packed each.  No pieces: an empty result.
+    Repeated rows and null ids are packed each; extra columns are not kept.  No pieces: an empty
+    result.  numbered: keep spread too, by which `sequences` tells pieces apart.
     """
     pieces = cut(pieces.select(*(c.split()[0] for c in PIECE.split(", "))), "pieces")
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -162,25 +164,26 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, area_bins: int = 2000, exch
         area = F.pmod(F.floor(F.col("from_area") / merge), F.lit(areas))
     every = reduce(DataFrame.unionByName, done)
     sequence = F.shiftleft(F.col("turn").cast("bigint"), 58).bitwiseOR(F.shiftleft("area", 24)).bitwiseOR(F.col("bin"))
-    return _offsets(every.withColumn("sequence_id", sequence))
+    return _offsets(every.withColumn("sequence_id", sequence), numbered)
 
 
-def _offsets(rows: DataFrame) -> DataFrame:
+def _offsets(rows: DataFrame, numbered: bool) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "spread")
     before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", before.cast("bigint").alias("offset"))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", before.cast("bigint").alias("offset"), *["spread"] * numbered)
 
 
 def sequences(pieces_with_ids: DataFrame, plan: DataFrame, *, capacity: int = 4096, pad_id: int | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens and ids in order of offset.
 
-    A sequence holds at most `capacity` tokens, so each group is bounded.
+    Pieces are told apart by spread, their number: pieces_with_ids must be a written table (so that
+    it has the same numbers each time it is read) and plan what pack(..., numbered=True) made of it.
+    Null ids and repeated rows are pieces like any other.  A sequence holds at most `capacity`
+    tokens, so each group is bounded.
     """
-    both = plan.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").join(
-        pieces_with_ids.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"]
-    )
+    both = plan.select("spread", "sequence_id", "offset").join(pieces_with_ids.select("spread", "ids"), "spread")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     out = both.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
     out = out.withColumn("n_tokens", F.size("ids"))

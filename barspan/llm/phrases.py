@@ -48,69 +48,95 @@ class Words(dict):
         return at
 
 
+class Container:
+    """An open-addressing hash map from packed paths to counts, in two arrays."""
+
+    def __init__(self, bits: int = 10):
+        self.bits, self.n = bits, 0
+        self.keys, self.counts = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys are distinct; all are probed at once, slot by slot."""
+        while 5 * (self.n + len(keys)) > 3 << self.bits:
+            old = self.run()
+            self.__init__(self.bits + 1)
+            self._put(*old)
+        self._put(keys, counts)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        at = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            held = self.keys[at]
+            free = held == -1
+            self.keys[at[free]] = keys[free]  # of keys that claim one slot the last gets it
+            here = self.keys[at] == keys
+            self.counts[at[here]] += counts[here]
+            self.n += int(np.count_nonzero(here & free))
+            rest = ~here
+            keys, counts, at = keys[rest], counts[rest], (at[rest] + 1) & mask
+
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        """The paths in order, and their counts."""
+        held = self.keys >= 0
+        keys, counts = self.keys[held], self.counts[held]
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
+
 class HatTrie:
-    """Counts of id paths: containers are hash maps of packed paths; one that grows past `burst` splits by its first id into a node of smaller ones."""
+    """Counts of id paths: nodes branch on five bits of the first word's id, then of the next; below them lie hash containers, and one that holds more than `burst` paths becomes a node."""
+
+    DIGIT, PER_WORD = 5, 2
 
-    def __init__(self, depth: int, burst: int = 4096):
+    def __init__(self, depth: int, burst: int = 1 << 16):
         self.depth, self.burst, self.entries = depth, burst, 0
-        self.root: dict = {}
-        self.inner = False  # the root is a container until it bursts
+        self.root: Container | list = Container()
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys: distinct packed paths, ascending, so that those of a container come together."""
-        if not self.inner:
-            self._put(self.root, keys.tolist(), counts.tolist())
-            if self.depth > 1 and len(self.root) > self.burst:
-                self._burst()
-            return
-        shift = ID_BITS * (self.depth - 1)
-        first = keys >> shift
-        starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]).tolist()
-        rest, counts, heads = (keys & ((1 << shift) - 1)).tolist(), counts.tolist(), first.tolist()
-        for a, b in zip(starts, [*starts[1:], len(rest)], strict=True):
-            box = self.root.get(heads[a])
-            if box is None:
-                box = self.root[heads[a]] = {}
-            self._put(box, rest[a:b], counts[a:b])
-
-    def _put(self, box: dict, keys: list[int], counts: list[int]) -> None:
-        before, get = len(box), box.get
-        for k, c in zip(keys, counts, strict=True):
-            box[k] = get(k, 0) + c
-        self.entries += len(box) - before
-
-    def _burst(self) -> None:
-        old, self.root, self.inner, self.entries = self.root, {}, True, 0
-        keys = np.fromiter(old.keys(), np.int64, len(old))
-        order = np.argsort(keys)
-        self.add(keys[order], np.fromiter(old.values(), np.int64, len(old))[order])
+        """keys: distinct packed paths."""
+        self.root = self._add(self.root, 0, keys, counts)
+
+    def _add(self, at, level: int, keys: np.ndarray, counts: np.ndarray):
+        if isinstance(at, Container):
+            before = at.n
+            at.add(keys, counts)
+            self.entries += at.n - before
+            if at.n <= self.burst or level >= self.depth * self.PER_WORD:
+                return at
+            self.entries -= at.n
+            keys, counts = at.run()
+            at = [None] * (1 << self.DIGIT)
+        word, part = divmod(level, self.PER_WORD)
+        digit = (keys >> (ID_BITS * (self.depth - 1 - word) + self.DIGIT * part) & ((1 << self.DIGIT) - 1)).astype(np.uint8)
+        order = np.argsort(digit, kind="stable")
+        ends = np.cumsum(np.bincount(digit, minlength=len(at)))
+        for d, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if b > a:
+                at[d] = self._add(at[d] or Container(), level + 1, keys[order[a:b]], counts[order[a:b]])
+        return at
+
+    def _size(self, at) -> int:
+        return at.n if isinstance(at, Container) else sum(self._size(x) for x in at if x is not None)
 
     def spill(self, down_to: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Whole subtrees, the largest first, until at most down_to entries are left: packed paths, ascending, and counts."""
-        if not self.inner:
-            found, self.root, self.entries = self.root, {}, 0
-            if found:
-                yield self._run(None, found)
-            return
-        shift, batch, held = ID_BITS * (self.depth - 1), [], 0
-        for head in sorted(self.root, key=lambda h: -len(self.root[h])):
+        """Whole subtrees of the root, the largest first, as sorted runs of paths and counts, until at most down_to entries are left."""
+        top = [self.root] if isinstance(self.root, Container) else self.root
+        for d in sorted((d for d, x in enumerate(top) if x is not None), key=lambda d: -self._size(top[d])):
             if self.entries <= down_to:
                 break
-            box = self.root.pop(head)
-            self.entries -= len(box)
-            batch.append(self._run(head << shift, box))
-            held += len(box)
-            if held >= 1 << 16:
-                yield tuple(map(np.concatenate, zip(*batch, strict=True)))
-                batch, held = [], 0
-        if batch:
-            yield tuple(map(np.concatenate, zip(*batch, strict=True)))
-
-    @staticmethod
-    def _run(prefix: int | None, box: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.fromiter(box.keys(), np.int64, len(box))
-        order = np.argsort(keys)
-        return keys[order] + (prefix or 0), np.fromiter(box.values(), np.int64, len(box))[order]
+            taken, stack = top[d], [top[d]]
+            top[d] = None
+            self.entries -= self._size(taken)
+            while stack:
+                x = stack.pop()
+                if isinstance(x, Container):
+                    if x.n:
+                        yield x.run()
+                else:
+                    stack += [y for y in x if y is not None]
+        if top[0] is None and len(top) == 1:
+            self.root = Container()
 
 
 def path_hash(parts: list[np.ndarray]) -> np.ndarray:
@@ -203,12 +229,16 @@ class Counter:
 
     def runs(self, down_to: int = 0) -> Iterator[pa.RecordBatch]:
         """Sorted runs of whole subtrees; of several tries each keeps its share of down_to."""
+        every, named = max(1, self.entries), self._named()
         for m, trie in self.tries.items():
-            for keys, counts in trie.spill(down_to * trie.entries // max(1, self.entries)):
-                yield self.batch([keys >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(m))], counts)
+            for keys, counts in trie.spill(down_to * trie.entries // every):
+                yield self.batch([keys >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(m))], counts, named)
+
+    def _named(self):
+        return pa.array(self.words.names, pa.binary()).cast(pa.string())
 
-    def batch(self, path: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        names = [pa.array([self.words.names[k] for k in ids.tolist()], pa.binary()).cast(pa.string()) for ids in path]
+    def batch(self, path: list[np.ndarray], counts: np.ndarray, named) -> pa.RecordBatch:
+        names = [named.take(pa.array(ids)) for ids in path]
         phrase = names[0] if len(names) == 1 else pc.binary_join_element_wise(*names, " ")
         return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(counts), pa.string()), phrase, pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
@@ -216,12 +246,14 @@ class Counter:
 class HashCounter(Counter):
     """Gives hashes in place of phrases: short rows, to tell which phrases may be frequent."""
 
-    def batch(self, path: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        hashes = self._facts()[0]
-        return pa.RecordBatch.from_arrays([pa.array(path_hash([hashes[ids] for ids in path]).view(np.int64)), pa.array(counts, pa.int64())], ["h", "f"])
+    def _named(self):
+        return self._facts()[0]
+
+    def batch(self, path: list[np.ndarray], counts: np.ndarray, named) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(path_hash([named[ids] for ids in path]).view(np.int64)), pa.array(counts, pa.int64())], ["h", "f"])
 
 
-def count_phrases(texts: DataFrame, lengths: list[int], filters: list, *, hashed: bool = False, entries: int = 500_000, names: int = 200_000, name_bytes: int = 16 << 20) -> DataFrame:
+def count_phrases(texts: DataFrame, lengths: list[int], filters: list, *, hashed: bool = False, entries: int = 1_500_000, names: int = 200_000, name_bytes: int = 16 << 20) -> DataFrame:
     """texts(lang, text) -> (lang, phrase, f), or hashed (h, f): occurrences of phrases of these lengths, of all that pass the filters.
 
     Each task spills sorted runs of whole subtrees; Spark merges them by whole path, which parts

@@ -103,6 +103,15 @@ def test_wrapped_and_commented_licences_are_known(spark):
         ("s/a.js", "// SPDX-License-Identifier: MPL-2.0\nlet a = 1;"),
         ("h/n.txt", "He asked for permission to leave.\nThe driver has a licence, and the copyright is with the author."),
         ("g2/COPYING", "\n\n" + title),
+        ("proj/a.c", "/* " + gpl + " */\nint a;"),
+        ("proj/b.c", "int b;"),
+        ("proj/sub/c.c", "int c;"),
+        ("z/doc/terms.txt", "Copyright (c) 2020 Z\n\n" + licenses._ZLIB),
+        ("z/doc/d.c", "int d;"),
+        ("bo/LICENSE_1_0.txt", licenses._BOOST + licenses._BOOST_END),
+        ("bo/e.c", "// Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"),
+        ("ep/LICENSE", "Eclipse Public License - v 2.0\n\n" + licenses._EPL_TITLE.format("2.0")[31:] + "\n\n" + "1. DEFINITIONS and many other words of the agreement. " * 80),
+        ("ep/f.java", "class F {}"),
     ]
     got = {r.path: (r.license, r.how, r.licensed_by) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got["ap/LICENSE.txt"] == got["ap/src/b.c"] == ("Apache-2.0", "notice", None)
@@ -111,6 +120,11 @@ def test_wrapped_and_commented_licences_are_known(spark):
     assert got["b/x/y/z.py"] == ("BSD-3-Clause", "inherited", "b")
     assert got["g/a.py"] == ("GPL-3.0", "notice", None) and got["s/a.js"] == ("MPL-2.0", "notice", None)
     assert got["gb/b.py"] == got["h/n.txt"] == (None, "none", None)
+    # A header labels its own file; licence files, by name or as whole texts, label their directory.
+    assert got["proj/a.c"] == ("GPL-3.0", "notice", None) and got["proj/b.c"] == got["proj/sub/c.c"] == (None, "none", None)
+    assert got["z/doc/terms.txt"][0] == "Zlib" and got["z/doc/d.c"] == ("Zlib", "inherited", "z/doc")
+    assert got["bo/LICENSE_1_0.txt"][0] == "BSL-1.0" and got["bo/e.c"] == ("BSL-1.0", "notice", None)
+    assert got["ep/LICENSE"][0] == "EPL-2.0" and got["ep/f.java"] == ("EPL-2.0", "inherited", "ep")
 
 
 def test_licences_keep_clashing_columns(spark):

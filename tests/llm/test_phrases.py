@@ -70,21 +70,31 @@ def test_blocks_of_any_size_count_the_same():
     assert runs(1) == runs(7) == runs(1 << 20)
 
 
-def test_trie_bursts_and_spills_whole_subtrees():
-    trie, rng, want = phrases.HatTrie(2, burst=8), np.random.default_rng(1), Counter()
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_trie_bursts_and_spills_whole_subtrees(depth):
+    trie, rng, want = phrases.HatTrie(depth, burst=40), np.random.default_rng(1), Counter()
     spilled = Counter()
-    for _ in range(30):
-        keys, n = np.unique(rng.integers(0, 12, 40) << phrases.ID_BITS | rng.integers(0, 9, 40), return_counts=True)
+
+    def spill(down_to):
+        for k, c in trie.spill(down_to):
+            assert (np.diff(k) > 0).all()
+            spilled.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+
+    for _ in range(40):
+        keys = np.zeros(300, np.int64)
+        for d in range(depth):
+            keys = keys << phrases.ID_BITS | rng.integers(0, [2000, 1500, 40][d], 300)
+        keys, n = np.unique(keys, return_counts=True)
         trie.add(keys, n)
         want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-        if trie.entries > 60:
-            for k, c in trie.spill(30):
-                assert (np.diff(k)[np.diff(k >> phrases.ID_BITS) == 0] > 0).all()
-                spilled.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
-            assert trie.entries <= 30 or not trie.inner
-    for k, c in trie.spill(0):
-        spilled.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
-    assert trie.inner and trie.entries == 0 and spilled == want
+        if trie.entries > 3000:
+            spill(1000)
+            assert trie.entries <= 1000
+    assert isinstance(trie.root, list)
+    spill(0)
+    assert trie.entries == 0 and spilled == want
+    trie.add(np.array([5]), np.array([2]))
+    assert [(k.tolist(), c.tolist()) for k, c in trie.spill(0)] == [([5], [2])]
 
 
 def brute(counted, least, top, inside):

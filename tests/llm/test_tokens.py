@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 P = pytest.importorskip("public_tokenizers")
 
-from barspan.llm import bpe, packing, sharding  # noqa: E402
+from barspan.llm import bpe, common, packing, sharding  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
 ODD = ["", "  ", "a\x1cb c", "foo<|endoftext|>bar <|startoftext|>", "ΑΣ ΣΑΣ", "İstanbul", "don't we'll I'M 'S", "12３ ½ ²", " x　y\x85z\xa0", "日本語 हिन्दी", "a​b", "😀😀", "x" * 3000, "!!!???...", "\x00\x01", "ß ẞ ﬁ", "__a_b", "ÁB", " ́a"]
@@ -78,12 +78,15 @@ def test_packing_is_whole_gapless_and_near_its_bound(spark, sf_dir, library, are
 
 
 def test_packing_odd_rows_and_sequences(spark, odd_docs, no_docs):
-    pieces = packing.token_pieces(odd_docs, PATH, with_ids=True)
-    plan = packing.pack(pieces)
+    pieces = common.cut(packing.token_pieces(odd_docs, PATH, with_ids=True), "pieces")
+    plan = packing.pack(pieces, numbered=True)
     assert check_packing(plan.collect(), 4096) > 0 and plan.count() == pieces.count()
-    known = pieces.filter("doc_id is not null and doc_id <> 7")
-    whole = packing.sequences(known, packing.pack(known)).agg({"n_tokens": "sum"}).first()[0]
-    assert whole == known.agg({"length": "sum"}).first()[0]
+    made = packing.sequences(pieces, plan).collect()
+    assert sum(r.n_tokens for r in made) == pieces.agg({"length": "sum"}).first()[0]
+    # Every piece comes back whole, those of null and repeated ids too, at its offset.
+    ids = {r.sequence_id: r.ids for r in made}
+    by_number = {r.spread: list(r.ids) for r in pieces.collect()}
+    assert all(ids[r.sequence_id][r.offset : r.offset + r.length] == by_number[r.spread] for r in plan.collect())
     assert packing.pack(packing.token_pieces(no_docs, PATH)).count() == 0
 
 
