@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import positions
+from .scan import positions, rolling
 
 
 def ticks_to_bars(ticks: DataFrame, *, symbol: str, ts: str, price: str, volume: Column | None = None, tie: list[str], step_seconds: int = 3600) -> DataFrame:
@@ -30,6 +30,20 @@ def ticks_to_bars(ticks: DataFrame, *, symbol: str, ts: str, price: str, volume:
     return positions(bars)
 
 
+def coarser(bars: DataFrame, step_seconds: list[int], *, keys: tuple[str, ...] = ("symbol",), origin: int = 0) -> DataFrame:
+    """keys, step, ts and the bars of every coarser step, rolled up from finer ones in one aggregation.
+
+    Bars merge: the open of the earliest, the close of the latest, the extremes and the sum of volumes.
+    Each step must be a multiple of the finer bars' own.
+    """
+    t = F.unix_timestamp("ts")
+    step = F.explode(F.array(*[F.lit(s) for s in step_seconds])).alias("step")
+    fine = bars.select(*keys, step, t.alias("_t"), "open", "high", "low", "close", "volume")
+    start = (F.floor((F.col("_t") - origin) / F.col("step")) * F.col("step") + origin).alias("_start")
+    out = fine.groupBy(*keys, "step", start).agg(F.min_by("open", "_t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_t").alias("close"), F.sum("volume").alias("volume"))
+    return out.withColumn("ts", F.timestamp_seconds("_start")).drop("_start")
+
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -69,18 +83,22 @@ def profile(raw: DataFrame, *, key: str = "symbol", ts: str = "ts") -> DataFrame
     )
 
 
+def steps(bars: DataFrame) -> DataFrame:
+    """Add previous_ts and the seconds since it, in chunks; places are counted where row_pos is not there yet."""
+    placed = bars if "row_pos" in bars.columns else positions(bars)
+    out = rolling(placed, {"previous_ts": lambda w: F.lag("ts").over(w)}, back=1)
+    return out.withColumn("seconds", F.unix_timestamp("ts") - F.unix_timestamp("previous_ts"))
+
+
 def gaps(bars: DataFrame, step_seconds: int) -> DataFrame:
     """Gap events: a bar later than one step after the one before, with the bars missing between."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    found = bars.select("symbol", "ts", F.lag("ts").over(w).alias("previous_ts"), seconds.alias("gap_seconds"))
+    found = steps(bars).select("symbol", "ts", "previous_ts", F.col("seconds").alias("gap_seconds"))
     return found.filter(F.col("gap_seconds") > step_seconds).withColumn("missing_bars", F.floor(F.col("gap_seconds") / step_seconds) - 1)
 
 
 def gap_summary(bars: DataFrame, step_seconds: int) -> DataFrame:
     """Steps off the expected one, over 1.01 and 1.5 times and over 3 bars; smallest and largest step."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    step = bars.select("symbol", (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))).alias("d"))
+    step = steps(bars).select("symbol", F.col("seconds").alias("d"))
     d = F.col("d")
     return step.groupBy("symbol").agg(
         F.count_if(d != step_seconds).alias("off_steps"),
@@ -113,8 +131,7 @@ def common_period(bars: DataFrame, *, start: str | None = None, end: str | None
 
 def timeframe(bars: DataFrame) -> DataFrame:
     """Median and mode of the steps (mode among steps of at most 3 medians, smallest first) and its share."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    d = bars.select("symbol", (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))).alias("d")).filter("d is not null")
+    d = steps(bars).select("symbol", F.col("seconds").alias("d")).filter("d is not null")
     mid = d.groupBy("symbol").agg(F.percentile("d", 0.5).alias("median_step"), F.count("*").alias("n"))
     counts = d.groupBy("symbol", "d").agg(F.count("*").alias("k")).join(mid, "symbol").filter(F.col("d") <= 3 * F.col("median_step"))
     best = counts.groupBy("symbol", "median_step", "n").agg(F.max_by(F.struct("d", "k"), F.struct("k", -F.col("d"))).alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barspan.functions import ratio
 
-from .scan import CHUNK, framed, rolling
+from .scan import CHUNK, framed, range_running, ranked, rolling
 
 
 def sigma_score(bars: DataFrame, n: int = 180, x: str = "ret", out: str = "sigma") -> DataFrame:
@@ -27,32 +27,28 @@ def percentile_rank(bars: DataFrame, n: int, least: int | None = None, x: str =
     return rolling(bars, {out: make}, back=n)
 
 
-def expanding_percentile(bars: DataFrame, x: str, *, least: int = 180, out: str = "exp_pct", key: str = "symbol") -> DataFrame:
+def expanding_percentile(bars: DataFrame, x: str, *, least: int = 180, out: str = "exp_pct", key: str = "symbol", size: int = CHUNK) -> DataFrame:
     """Share of past and current non-null values at most the current one; null before `least` of them.
 
     Counts are dominance counts over dyadic blocks of places: a value at place p (counting
     values) meets, for every set bit of p, one complete block before it.  A row takes part in one
-    block per level, so the work is n log n and no task needs a whole series.
+    block per level, so the work is n log n.  Blocks of more than `size` places are counted over
+    ranges of their values, smaller ones each in a window of its own: no task needs a whole series.
     """
-    valued = bars.filter(F.col(x).isNotNull()).select(key, "row_pos", F.col(x).alias("v"))
-    # Places among valued rows, in two steps as for row_pos.
-    chunked = valued.withColumn("_c", F.floor(F.col("row_pos") / CHUNK))
-    counts = chunked.groupBy(key, "_c").agg(F.count("*").alias("n"))
-    offsets = counts.select(key, "_c", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    placed = chunked.withColumn("p", F.row_number().over(Window.partitionBy(key, "_c").orderBy("row_pos")) - 1).join(offsets, [key, "_c"]).withColumn("p", F.col("p") + F.col("_o"))
-    levels = F.sequence(F.lit(0), F.lit(40))
+    valued = ranked(bars.filter(F.col(x).isNotNull()).select(key, "row_pos", F.col(x).alias("v")), keys=[key], order=["row_pos"], out="p", span=size)
     # As a query at level b when bit b of p is set: the block ((p >> b) - 1); as data: the block p >> b when it is even.
-    rows = placed.select(key, "row_pos", "p", "v", F.explode(levels).alias("b")).withColumn("block", F.expr("shiftright(p, b)"))
-    top = placed.groupBy(key).agg(F.max("p").alias("top"))
-    rows = rows.join(F.broadcast(top), key).filter(F.expr("shiftright(top, b) > 0"))
-    data = rows.filter("block % 2 = 0").select(key, "b", "block", "v", F.lit(0).alias("asks"), "row_pos")
-    asks = rows.filter("block % 2 = 1").select(key, "b", (F.col("block") - 1).alias("block"), "v", F.lit(1).alias("asks"), "row_pos")
+    levels = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)))
+    rows = valued.select(key, "row_pos", "p", "v", levels.alias("b")).withColumn("block", F.expr("shiftright(p, b)"))
+    rows = rows.withColumn("asks", (F.col("block") % 2).cast("int")).withColumn("block", F.col("block") - F.col("asks"))
+    whole = F.expr(f"shiftleft(1L, b + 1) > {size}")
     w = Window.partitionBy(key, "b", "block").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
-    below = data.unionByName(asks).withColumn("k", F.sum(1 - F.col("asks")).over(w)).filter("asks = 1")
+    short = rows.filter(~whole).withColumn("k", F.sum(1 - F.col("asks")).over(w))
+    long = range_running(rows.filter(whole), keys=[key, "b", "block"], order=["v", "asks", "row_pos"], x=1 - F.col("asks"), out="k")
+    below = short.unionByName(long).filter("asks = 1")
     sums = below.groupBy(key, "row_pos").agg(F.sum("k").alias("k"))
-    share = placed.join(sums, [key, "row_pos"], "left").select(key, "row_pos", ((F.coalesce("k", F.lit(0)) + 1) / (F.col("p") + 1)).alias("s"), "p")
-    ranked = share.select(key, "row_pos", F.when(F.col("p") + 1 >= least, F.col("s")).alias(out))
-    return bars.join(ranked, [key, "row_pos"], "left")
+    share = valued.join(sums, [key, "row_pos"], "left").select(key, "row_pos", ((F.coalesce("k", F.lit(0)) + 1) / (F.col("p") + 1)).alias("s"), "p")
+    told = share.select(key, "row_pos", F.when(F.col("p") + 1 >= least, F.col("s")).alias(out))
+    return bars.join(told, [key, "row_pos"], "left")
 
 
 def slope(bars: DataFrame, x: str, n: int, out: str = "slope", least: int = 2) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import CHUNK, framed, rolling, running
+from .scan import CHUNK, framed, ranked, rolling, running
 
 
-def average_cross(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+def average_cross(bars: DataFrame, pairs: list[tuple[int, int]], *, keys: str | list[str] = "symbol") -> DataFrame:
     """Long table of sig in {-1, 0, 1}: the short average against the long one, for every pair.
 
     Each average is computed once, whatever the number of pairs.
     """
     lengths = sorted({n for p in pairs for n in p})
-    b = rolling(bars, {f"_ma{n}": framed(F.avg, F.col("close"), -(n - 1), 0) for n in lengths}, back=max(lengths))
+    b = rolling(bars, {f"_ma{n}": framed(F.avg, F.col("close"), -(n - 1), 0) for n in lengths}, back=max(lengths), key=keys)
     sign = lambda s, x: F.coalesce(F.signum(F.col(f"_ma{s}") - F.col(f"_ma{x}")).cast("int"), F.lit(0))
     rows = F.array(*[F.struct(F.lit(s).alias("short_ma"), F.lit(x).alias("long_ma"), sign(s, x).alias("sig")) for s, x in pairs])
     return b.select(*bars.columns, F.explode(rows).alias("p")).select(*bars.columns, "p.*")
@@ -29,16 +29,14 @@ def breakout(bars: DataFrame, n: int) -> DataFrame:
     return b.withColumn("sig", F.coalesce("sig", F.lit(0))).drop("_up", "_down")
 
 
-def hysteresis(bars: DataFrame, up: Column, down: Column, stay_up: Column, stay_down: Column, *, keys: list[str], chunk: int = 256, out: str = "sig") -> DataFrame:
-    """Three-state signal: enter +1 / -1 on up / down when flat or against, leave when the stay condition ends.
+def three_state(bars: DataFrame, short: Column, flat: Column, long: Column, *, keys: list[str], chunk: int = 256, out: str = "sig") -> DataFrame:
+    """Signal of a machine with states -1, 0, 1: the three columns say which state follows each of them at a bar.
 
-    A bar is a map of the state (-1, 0, 1) before it to the state after it.  Maps are composed
-    inside chunks, the composed maps are chained over a key's chunks, and each chunk is replayed
-    from the state it starts in.
+    A bar is a map of the state before it to the state after it.  Maps are composed inside chunks,
+    the composed maps are chained over a key's chunks, and each chunk is replayed from the state it
+    starts in; the machine starts flat.
     """
-    up, down, stay_up, stay_down = (F.coalesce(c, F.lit(False)) for c in (up, down, stay_up, stay_down))
-    fresh = F.when(up, 1).when(down, -1).otherwise(0)
-    move = F.struct(F.when(up, 1).when(stay_down, -1).otherwise(0).alias("m"), fresh.alias("z"), F.when(down, -1).when(stay_up, 1).otherwise(0).alias("p"))
+    move = F.struct(short.cast("int").alias("m"), flat.cast("int").alias("z"), long.cast("int").alias("p"))
     b = bars.withColumns({"_move": move, "_c": F.floor(F.col("row_pos") / chunk)})
     rows = F.sort_array(F.collect_list(F.struct("row_pos", "_move", F.struct(*bars.columns).alias("row"))))
     chunks = b.groupBy(*keys, "_c").agg(rows.alias("rows"))
@@ -56,6 +54,15 @@ def hysteresis(bars: DataFrame, up: Column, down: Column, stay_up: Column, stay_
     return done.select("x.rows.row.*", F.col("x.sig").alias(out))
 
 
+def hysteresis(bars: DataFrame, up: Column, down: Column, stay_up: Column, stay_down: Column, *, keys: list[str], chunk: int = 256, out: str = "sig", flip: bool = True) -> DataFrame:
+    """Three-state signal: enter +1 / -1 on up / down when flat, leave when the stay condition ends; flip: up and down also turn a position of the other side in one bar."""
+    up, down, stay_up, stay_down = (F.coalesce(c, F.lit(False)) for c in (up, down, stay_up, stay_down))
+    short, long = F.when(stay_down, -1).otherwise(0), F.when(stay_up, 1).otherwise(0)
+    if flip:
+        short, long = F.when(up, 1).otherwise(short), F.when(down, -1).otherwise(long)
+    return three_state(bars, short, F.when(up, 1).when(down, -1).otherwise(0), long, keys=keys, chunk=chunk, out=out)
+
+
 def positions_of(signals: DataFrame, keys: list[str], *, delay: int = 0, more: dict | None = None, ahead: int = 0, size: int = CHUNK) -> DataFrame:
     """pos: the signal of the bar before (and `delay` more); turnover: its change.
 
@@ -98,7 +105,7 @@ def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target:
     """Trades with a stop and a target in units of ATR from the entry; null means none.
 
     Inside a run of one position a flat bar enters at its open if the ATR of the bar before is
-    known.  A touched stop counts before a touched target; after either, the next bar may enter
+    known or neither a stop nor a target needs it.  A touched stop counts before a touched target; after either, the next bar may enter
     again.  The run's end closes at the next run's first open, or the last close.  Runs are
     independent, so each is a fold of its own.
     """
@@ -111,7 +118,7 @@ def stopped_trades(signals: DataFrame, keys: list[str], *, stop: Column, target:
     zero = F.struct(F.array().cast("array<struct<entry_pos:bigint,exit_pos:bigint,entry:double,exit:double,why:string>>").alias("out"), none.alias("e"), none.alias("a"), F.lit(None).cast("bigint").alias("at"))
 
     def step(s: Column, r: Column) -> Column:
-        enter = s["e"].isNull() & r["atr"].isNotNull()
+        enter = s["e"].isNull() & (r["atr"].isNotNull() | (F.col("sl").isNull() & F.col("tp").isNull()))
         e, a, at = F.when(enter, r["open"]).otherwise(s["e"]), F.when(enter, r["atr"]).otherwise(s["a"]), F.when(enter, r["row_pos"]).otherwise(s["at"])
         sl, tp = e - F.col("d") * F.col("sl") * a, e + F.col("d") * F.col("tp") * a
         hit_sl = F.coalesce(F.when(F.col("d") > 0, r["low"] <= sl).otherwise(r["high"] >= sl), F.lit(False))
@@ -133,14 +140,17 @@ def segments(returns: DataFrame, keys: list[str], *, size: int = CHUNK) -> DataF
     return runs.groupBy(*keys, "_run").agg(F.first("pos").alias("side"), F.min("row_pos").alias("entry_pos"), F.count("*").alias("bars"), (F.product(1 + F.col("ret")) - 1).alias("pnl")).drop("_run")
 
 
-def streaks(trades: DataFrame, pnl: str, *, keys: list[str], order: str) -> DataFrame:
-    """Longest losing streak, longest time under the equity peak in trades, recoveries, open drawdown."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumns({"_loss": (F.col(pnl) < 0).cast("int"), "_eq": F.sum(pnl).over(upto)})
-    t = t.withColumns({"_run": F.sum(1 - F.col("_loss")).over(upto), "_peak": F.greatest(F.max("_eq").over(upto), F.lit(0.0))}).withColumn("_under", (F.col("_eq") < F.col("_peak")).cast("int"))
-    t = t.withColumns({"_uw": F.sum(1 - F.col("_under")).over(upto), "_back": ((F.col("_under") == 0) & (F.lag("_under").over(w) == 1)).cast("int")})
-    losing = t.groupBy(*keys, "_run").agg(F.sum("_loss").alias("k")).groupBy(*keys).agg(F.max("k").alias("losing_streak"))
-    under = t.groupBy(*keys, "_uw").agg(F.sum("_under").alias("k")).groupBy(*keys).agg(F.max("k").alias("underwater_trades"))
-    rest = t.groupBy(*keys).agg(F.sum("_back").alias("recoveries"), (F.max_by("_under", order) == 1).alias("open_underwater"), F.round(F.min(F.col("_eq") - F.col("_peak")), 6).alias("max_drawdown"))
-    return losing.join(under, keys).join(rest, keys)
+def streaks(trades: DataFrame, pnl: str, *, keys: list[str], order: str, size: int = CHUNK) -> DataFrame:
+    """Longest losing streak, longest time under the equity peak in trades, recoveries, open drawdown.
+
+    Places of the last gain and of the last peak are carried along, so no task needs a whole key.
+    """
+    t = ranked(trades.select(*keys, order, pnl), keys=keys, order=[order], out="row_pos", span=size).drop("n")
+    place = F.col("row_pos")
+    at = {"keys": keys, "size": size}
+    t = running(t, {"_eq": ("sum", F.col(pnl)), "_gain": ("max", F.when(~F.coalesce(F.col(pnl) < 0, F.lit(False)), place))}, **at)
+    t = running(t, {"_peak": ("max", F.col("_eq"))}, **at).withColumn("_fall", F.least(F.col("_eq") - F.greatest("_peak", F.lit(0.0)), F.lit(0.0)))
+    t = running(t, {"_top": ("max", F.when(F.col("_fall") >= 0, place))}, **at)
+    t = rolling(t, {"_back": lambda w: ((F.col("_fall") >= 0) & (F.lag("_fall").over(w) < 0)).cast("int")}, back=1, key=keys, size=size)
+    since = lambda c: F.max(place - F.coalesce(F.col(c), F.lit(-1)))
+    return t.groupBy(*keys).agg(since("_gain").alias("losing_streak"), since("_top").alias("underwater_trades"), F.sum(F.coalesce("_back", F.lit(0))).alias("recoveries"), (F.max_by("_fall", place) < 0).alias("open_underwater"), F.round(F.min("_fall"), 6).alias("max_drawdown"))

@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ranked
+
 
 def draw(n: Column, *parts: Column) -> Column:
     """A hash draw from 0..n-1."""
@@ -18,10 +20,10 @@ def draw(n: Column, *parts: Column) -> Column:
     return F.pmod(h, n)
 
 
-def indexed(values: DataFrame, keys: list[str], x: str, order: list[str]) -> DataFrame:
-    """keys, i (from 0), x, n: the values of each key in order."""
-    w = Window.partitionBy(*keys)
-    return values.filter(F.col(x).isNotNull()).select(*keys, x, (F.row_number().over(w.orderBy(*order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+def indexed(values: DataFrame, keys: list[str], x: str, order: list[str], more: list[str] | None = None, span: int = 1 << 13) -> DataFrame:
+    """keys, i (from 0), x, n and more columns: the values of each key in order, which begins with a number."""
+    held = values.filter(F.col(x).isNotNull()).select(*keys, *order, x, *(more or []))
+    return ranked(held, keys=keys, order=order, span=span).select(*keys, x, "i", "n", *(more or []))
 
 
 def resample(values: DataFrame, *, keys: list[str], runs: int, seed: int, method: str = "iid", block: int = 5, restart: float = 0.2, label: str | None = None) -> DataFrame:
@@ -61,11 +63,18 @@ def drawn(values: DataFrame, picks: DataFrame, keys: list[str], x: str) -> DataF
     return picks.join(values.select(*keys, "i", x), [*keys, "i"])
 
 
-def block_sums(returns: DataFrame, *, strategy: list[str], order: str = "row_pos", x: str = "ret", blocks: int = 8) -> DataFrame:
-    """Sufficient statistics of each strategy in consecutive blocks; the first n % blocks are one longer."""
-    w = Window.partitionBy(*strategy)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(order)) - 1
+def block_sums(returns: DataFrame, *, strategy: list[str], order: str = "row_pos", x: str = "ret", blocks: int = 8, counted: bool = False) -> DataFrame:
+    """Sufficient statistics of each strategy in consecutive blocks; the first n % blocks are one longer.
+
+    counted: order holds the places already, gapless from 0, so that no window orders a strategy.
+    """
+    if counted:
+        returns = returns.join(returns.groupBy(*strategy).agg(F.count("*").alias("_n")), strategy)
+        n, place = F.col("_n"), F.col(order)
+    else:
+        w = Window.partitionBy(*strategy)
+        n = F.count("*").over(w)
+        place = F.row_number().over(w.orderBy(order)) - 1
     size, more = F.floor(n / blocks), n % blocks
     b = F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / size))
     return returns.filter(F.col(x).isNotNull()).withColumn("block", b.cast("int")).groupBy(*strategy, "block").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"), F.sum(F.log(F.abs(1 + F.col(x)))).alias("g"), F.count_if(1 + F.col(x) <= 0).alias("neg"))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .store import keep
+
 CHUNK = 8192
 
 
@@ -27,6 +29,39 @@ def positions(df: DataFrame, key: str = "symbol", ts: str = "ts", span: str = "m
     return spans.withColumn("_local", local).join(offsets, [key, "_span"]).withColumn("row_pos", F.col("_before") + F.col("_local")).drop("_span", "_before", "_local")
 
 
+def ranked(df: DataFrame, *, keys: list[str], order: list[str], out: str = "i", span: int = 1 << 22) -> DataFrame:
+    """Add out, the place (from 0) of a row in its key's order, whose first column is a number; n, the rows of the key.
+
+    Ranks are taken inside spans of the first column and shifted by the counts of the spans before,
+    of which a key has one row each.
+    """
+    spans = df.withColumn("_span", F.floor(F.col(order[0]) / span))
+    counts = spans.groupBy(*keys, "_span").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_k").over(w.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in [*keys, "_span"]], before.alias("_before"), F.sum("_k").over(w).alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*keys, "_span"]]
+    local = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(*order)) - 1
+    placed = spans.withColumn("_local", local).join(offsets, same).withColumns({out: F.col("_before") + F.col("_local"), "n": F.col("_n")})
+    return placed.drop("_span", "_local", "_before", "_n", *[f"_o_{c}" for c in [*keys, "_span"]])
+
+
+def range_running(df: DataFrame, *, keys: list[str], order: list[str], x: Column, out: str) -> DataFrame:
+    """Add the running sum of x in the keys' order of any columns, which must tell rows apart (as far as their sums matter).
+
+    Rows are sorted into ranges that may cut through a key; ranges are summed up on their own and
+    shifted by the sums of a key's ranges before, one row each.
+    """
+    parts = keep(df.withColumn(f"_x_{out}", x).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    names = [*keys, "_part"]
+    totals = parts.groupBy(*names).agg(F.sum(f"_x_{out}").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = totals.select(*[F.col(c).alias(f"_o_{c}") for c in names], before.alias("_before"))
+    local = parts.withColumn(out, F.sum(f"_x_{out}").over(Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in names]
+    return local.join(shifts, same).withColumn(out, F.col(out) + F.col("_before")).drop(f"_x_{out}", "_part", "_before", *[f"_o_{c}" for c in names])
+
+
 def rolling(df: DataFrame, exprs: dict[str, Callable[[WindowSpec], Column]], *, back: int = 0, ahead: int = 0, key: str | list[str] = "symbol", size: int = CHUNK) -> DataFrame:
     """Add columns over bounded frames: each expression gets the ordered window to frame.
 

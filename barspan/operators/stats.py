@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barspan.functions import adjusted_kurtosis, adjusted_skew, profit_factor, ratio, share, t_stat
 
-from .scan import running
+from .montecarlo import summarise_paths
+from .scan import CHUNK, range_running, ranked, running
 
 
 def moments(x: str, digits: int = 6) -> list[Column]:
@@ -60,6 +61,34 @@ def max_drawdown(df: DataFrame, x: str, *, keys: list[str], order: str, kind: st
     return out.select(*keys, value.alias("max_drawdown"))
 
 
+def drawdown_anatomy(df: DataFrame, x: str, *, keys: list[str], order: str) -> DataFrame:
+    """The deepest fall of each key's compounded log returns x: its peak and trough (places), depth, worst step inside it and that step's share, longest time under a peak and whether it is still under.
+
+    Peaks carry their place along the scan, so the fall is known with no second pass over the key;
+    the start counts as a peak before the first row.  Of equal falls the first counts.
+    """
+    place = F.col(order)
+    b = running(df.filter(F.col(x).isNotNull()), {"_eq": ("sum", F.col(x))}, keys=keys, order=order)
+    b = running(b, {"_peak": ("max", F.struct(F.col("_eq").alias("eq"), (-place).alias("at")))}, keys=keys, order=order)
+    under_start = F.col("_peak.eq") < 0
+    top, since = F.when(under_start, 0.0).otherwise(F.col("_peak.eq")), F.when(under_start, F.lit(-1).cast("bigint")).otherwise(-F.col("_peak.at"))
+    b = b.withColumns({"_fall": F.col("_eq") - top, "_since": since.cast("bigint")})
+    deepest = F.min(F.struct("_fall", place.alias("trough"), F.col("_since").alias("peak")))
+    g = b.groupBy(*keys).agg(deepest.alias("d"), F.max(place - F.col("_since")).alias("under"), F.max_by(F.col("_eq") < top, place).alias("still_under"))
+    g = g.select(*keys, F.col("d.peak").alias("peak"), F.col("d.trough").alias("trough"), F.col("d._fall").alias("fall"), "under", "still_under").filter("fall < 0")
+    inside = df.join(g, keys).filter((place > F.col("peak")) & (place <= F.col("trough")) & F.col(x).isNotNull())
+    worst = inside.groupBy(*keys).agg(F.min(F.struct(F.col(x).alias("step"), place.alias("at"))).alias("w"))
+    out = g.join(worst, keys)
+    return out.select(*keys, "peak", "trough", (F.exp("fall") - 1).alias("depth"), F.col("w.at").alias("worst_at"), (F.exp("w.step") - 1).alias("worst_step"), (F.col("w.step") / F.col("fall")).alias("worst_share"), "under", "still_under")
+
+
+def average_ranks(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+    """Add the average-tie rank of x in its key; distinct values are counted first, then summed over ranges of them."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    upto = range_running(counts, keys=keys, order=[x], x=F.col("_c"), out="_upto")
+    return df.join(upto.select(*keys, x, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*keys, x], "left")
+
+
 def trade_pack(pnl: str, digits: int = 6, variant: str = "a") -> list[Column]:
     c = F.col(pnl)
     win, loss = F.avg(F.when(c > 0, c)), F.avg(F.when(c < 0, c))
@@ -79,6 +108,33 @@ def top_contribution(trades: DataFrame, pnl: str, *, keys: list[str], tie: list[
     return ranked.groupBy(*keys).agg(*cols)
 
 
+def top_percent(trades: DataFrame, pnl: str, *, keys: list[str], tie: list[str], percents: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """Share of all wins that the largest ceil(p %) of them hold, their number, and the total without them."""
+    wins = trades.filter(F.col(pnl) > 0).withColumn("_down", -F.col(pnl))
+    placed = range_running(wins, keys=keys, order=["_down", *tie], x=F.lit(1), out="_k")
+    n = wins.groupBy(*keys).agg(F.count("*").alias("_wins"), F.sum(pnl).alias("_all"))
+    least = lambda p: F.ceil(F.col("_wins") * p / 100)
+    tops = [F.sum(F.when(F.col("_k") <= least(p), F.col(pnl))).alias(f"_top{p}") for p in percents]
+    best = placed.join(n, keys).groupBy(*keys, "_wins", "_all").agg(*tops)
+    total = trades.groupBy(*keys).agg(F.sum(pnl).alias("_total")).join(best, keys, "left")
+    cols = []
+    for p in percents:
+        cols += [F.coalesce(least(p), F.lit(0)).cast("bigint").alias(f"top{p}_trades"), F.round(100 * ratio(F.col(f"_top{p}"), F.col("_all")), 6).alias(f"top{p}_pct"), F.round(F.col("_total") - F.coalesce(F.col(f"_top{p}"), F.lit(0.0)), 6).alias(f"without_top{p}")]
+    return total.select(*keys, *cols)
+
+
+def event_pack(events: DataFrame, x: str, *, keys: list[str], order: str, mae: str, mfe: str, digits: int = 6) -> DataFrame:
+    """The whole pack of an event group: n, mean, median, win rate, profit factor, t, mean excursions, value at risk and shortfall at 5 %, growth and drawdown of taking one event after the other."""
+    c, at = F.col(x), lambda v, n: F.round(v, digits).alias(n)
+    q = events.groupBy(*keys).agg(F.percentile(x, 0.05).alias("_q"))
+    pack = events.join(q, keys).groupBy(*keys).agg(
+        F.count(c).alias("n"), at(F.avg(c), "mean"), at(F.percentile(c, 0.5), "median"), at(share(c > 0), "win_rate"), at(profit_factor(c), "profit_factor"), at(t_stat(c), "t"),
+        at(F.avg(mae), "mae"), at(F.avg(mfe), "mfe"), at(F.first("_q"), "var5"), at(F.avg(F.when(c <= F.col("_q"), c)), "es5"),
+    )
+    paths = summarise_paths(ranked(events.select(*keys, order, x), keys=keys, order=[order], span=CHUNK), keys=keys, order="i", x=x)
+    return pack.join(paths.select(*keys, at(F.col("equity") - 1, "growth"), at(F.col("worst") - 1, "max_drawdown"), F.col("streak").alias("losing_streak")), keys)
+
+
 def sharpe(x: str, per_year: float | Column, variant: str = "zero") -> Column:
     """Annualised Sharpe: zero (sample sd, 0 where sd is 0), null (sample sd, null), population (population sd, null)."""
     sd = F.stddev_pop(x) if variant == "population" else F.stddev_samp(x)

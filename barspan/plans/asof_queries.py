@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from barspan.functions import true_range
 from barspan.operators import asof as J
-from barspan.operators.scan import framed, rolling
+from barspan.operators.panel import pair_correlations, panel, symbols_of
+from barspan.operators.scan import framed, positions, ranked, rolling
 
 from .profile_queries import RET, returns
 from .registry import query
@@ -30,6 +31,15 @@ def j01(spark, sf):
     return per.join(F.broadcast(n), F.col("assets") == F.col("n")).select(F.unix_timestamp("ts").alias("ts"), "assets", "total", "top")
 
 
+@query("j01_panel_rows", f"""WITH {H}, n AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM bars)), p AS (SELECT ts, list("close" ORDER BY symbol) AS v FROM bars GROUP BY ts HAVING count(*) = (SELECT count(*) FROM n))
+SELECT epoch(ts)::BIGINT AS ts, {', '.join(f'round(v[{k + 1}], 6) AS close_{k}' for k in range(5))} FROM p""")
+def j01_rows(spark, sf):
+    """The panel itself: the closes of all symbols at each time at which all have one, in the order of their names."""
+    b = hourly(spark, sf)
+    p = panel(b, "close", names=symbols_of(b))
+    return p.select(F.unix_timestamp("ts").alias("ts"), *[F.round(F.get("values", F.lit(k)), 6).alias(f"close_{k}") for k in range(5)])
+
+
 @query("j02_spread", """WITH y AS (SELECT o_orderpriority AS cur, o_orderdate::DATE AS d, avg(o_totalprice) AS y FROM orders GROUP BY ALL)
 SELECT a.d::VARCHAR AS d, a.cur AS base, b.cur AS quote, round(a.y - b.y, 4) AS spread FROM y a JOIN y b ON a.d = b.d AND a.cur < b.cur""")
 def j02(spark, sf):
@@ -110,13 +120,10 @@ def j12(spark, sf):
 @query("w14_side_features", f"""WITH {SIDE}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY side_ts) - 1 AS row_pos FROM fund)
 SELECT symbol, row_pos, round(sum(rate) OVER (w ROWS 2 PRECEDING), 6) AS sum3, round(ln(rate / lag(rate, 6) OVER w), 6) AS chg6 FROM r WHERE rate > 0 WINDOW w AS (PARTITION BY symbol ORDER BY row_pos)""")
 def w14(spark, sf):
-    from barspan.operators.scan import positions
-
-    f = positions(fund(spark, sf), ts="side_ts").filter("rate > 0")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("row_pos")
-    return f.select("symbol", "row_pos", F.round(F.sum("rate").over(w.rowsBetween(-2, 0)), 6).alias("sum3"), F.round(F.log(F.col("rate") / F.lag("rate", 6).over(w)), 6).alias("chg6"))
+    f = positions(fund(spark, sf), ts="side_ts").filter("rate > 0").withColumnRenamed("row_pos", "pos")
+    f = ranked(f, keys=["symbol"], order=["pos"], out="row_pos")
+    f = rolling(f, {"sum3": lambda w: F.sum("rate").over(w.rowsBetween(-2, 0)), "chg6": lambda w: F.log(F.col("rate") / F.lag("rate", 6).over(w))}, back=6)
+    return f.select("symbol", F.col("pos").alias("row_pos"), F.round("sum3", 6).alias("sum3"), F.round("chg6", 6).alias("chg6"))
 
 
 @query("a18_pairwise_correlation", f"""WITH {H}, {RET}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.ts, a.ret AS rx, b.ret AS ry FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL),
@@ -125,13 +132,12 @@ g AS (SELECT p.*, unnest(['all', CASE WHEN mkt <= lo THEN 'bottom' WHEN mkt >= h
 SELECT regime, count(r) AS pairs, round(avg(r), 6) AS mean_corr, round(min(r), 6) AS min_corr, round(max(r), 6) AS max_corr FROM c GROUP BY regime""")
 def a18(spark, sf):
     r = returns(hourly(spark, sf)).filter("ret is not null").select("symbol", "ts", "ret")
-    p = r.select("ts", F.col("symbol").alias("x"), F.col("ret").alias("rx")).join(r.select("ts", F.col("symbol").alias("y"), F.col("ret").alias("ry")), "ts").filter("x < y")
+    names = symbols_of(r)
     m = r.groupBy("ts").agg(F.avg("ret").alias("mkt"))
     q = m.agg(F.percentile("mkt", 0.1).alias("lo"), F.percentile("mkt", 0.9).alias("hi"))
     own = F.when(F.col("mkt") <= F.col("lo"), "bottom").when(F.col("mkt") >= F.col("hi"), "top").otherwise("central")
-    g = p.join(m, "ts").join(F.broadcast(q), F.lit(True)).withColumn("regime", F.explode(F.array(F.lit("all"), own)))
-    defined = (F.count("*") > 1) & (F.var_pop("rx") > 0) & (F.var_pop("ry") > 0)
-    c = g.groupBy("regime", "x", "y").agg(F.when(defined, F.corr("rx", "ry")).alias("r"))
+    rows = panel(r, "ret", names=names, whole=False).join(m, "ts").join(F.broadcast(q), F.lit(True)).select("values", F.explode(F.array(F.lit("all"), own)).alias("regime"))
+    c = pair_correlations(rows, len(names), group="regime")
     return c.groupBy("regime").agg(F.count("r").alias("pairs"), F.round(F.avg("r"), 6).alias("mean_corr"), F.round(F.min("r"), 6).alias("min_corr"), F.round(F.max("r"), 6).alias("max_corr"))
 
 

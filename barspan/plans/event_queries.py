@@ -10,6 +10,7 @@ from barspan.operators import asof as J
 from barspan.operators import events as E
 from barspan.operators import features as X
 from barspan.operators import stats as S
+from barspan.operators.bars import steps
 from barspan.operators.scan import rolling
 
 from .asof_queries import SIDE, fund
@@ -112,7 +113,7 @@ def a26(spark, sf):
 m AS (SELECT b.symbol, count(*) FILTER (f.side_ts IS NULL OR epoch(b.ts) - epoch(f.side_ts) > 3600) AS unmatched FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.ts >= f.side_ts GROUP BY b.symbol) SELECT * FROM p JOIN m USING (symbol)""")
 def c16(spark, sf):
     f = fund(spark, sf)
-    d = f.withColumn("d", F.unix_timestamp("side_ts") - F.unix_timestamp(F.lag("side_ts").over(Window.partitionBy("symbol").orderBy("side_ts"))))
+    d = steps(f.withColumnRenamed("side_ts", "ts")).withColumnRenamed("seconds", "d")
     p = d.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(F.col("d") > 7200).alias("breaks"), F.round(F.percentile("rate", 0.2), 6).alias("q20"), F.round(F.percentile("rate", 0.8), 6).alias("q80"), F.round(share(F.col("rate") < 20), 6).alias("low_share"))
     m = J.asof_backward(hourly(spark, sf), f, keys=["symbol"], values=["rate"], tolerance=HOUR).groupBy("symbol").agg(F.count_if(F.col("side_ts").isNull()).alias("unmatched"))
     return p.join(m, "symbol")

@@ -102,7 +102,12 @@ def w10(spark, sf):
     return keep(X.exponential_mean(hourly(spark, sf), "close", X.span_alpha(20), least=20), "ema", digits=6)
 
 
-@query("w10_adx")
+@query("w10_adx", f"""WITH RECURSIVE {H}, l AS (SELECT symbol, row_pos, high, low, high - lag(high) OVER q AS up, lag(low) OVER q - low AS down, lag("close") OVER q AS c FROM bars WINDOW q AS (PARTITION BY symbol ORDER BY row_pos)),
+v AS MATERIALIZED (SELECT symbol, row_pos, coalesce(CASE WHEN up > down AND up > 0 THEN up END, 0) AS p, coalesce(CASE WHEN down > up AND down > 0 THEN down END, 0) AS m, greatest(high - low, abs(high - c), abs(low - c)) AS r FROM l),
+e AS (SELECT * FROM v WHERE row_pos = 0 UNION ALL SELECT v.symbol, v.row_pos, e.p * (1 - 1 / 14) + v.p / 14, e.m * (1 - 1 / 14) + v.m / 14, e.r * (1 - 1 / 14) + v.r / 14 FROM e JOIN v ON v.symbol = e.symbol AND v.row_pos = e.row_pos + 1),
+d AS (SELECT symbol, row_pos, CASE WHEN row_pos >= 13 THEN 100 * p / nullif(r, 0) END AS plus_di, CASE WHEN row_pos >= 13 THEN 100 * m / nullif(r, 0) END AS minus_di FROM e), x AS MATERIALIZED (SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM d),
+a AS (SELECT symbol, row_pos, dx AS y, (dx IS NOT NULL)::INT AS k FROM x WHERE row_pos = 0 UNION ALL SELECT x.symbol, x.row_pos, CASE WHEN x.dx IS NULL THEN a.y WHEN a.y IS NULL THEN x.dx ELSE a.y * (1 - 1 / 14) + x.dx / 14 END, a.k + (x.dx IS NOT NULL)::INT FROM a JOIN x ON x.symbol = a.symbol AND x.row_pos = a.row_pos + 1)
+SELECT symbol, row_pos, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di, round(dx, 6) AS dx, round(CASE WHEN k >= 14 THEN y END, 6) AS adx FROM x JOIN a USING (symbol, row_pos)""")
 def w10_adx(spark, sf):
     return keep(X.adx(hourly(spark, sf)), "plus_di", "minus_di", "dx", "adx", digits=6)
 

@@ -102,6 +102,15 @@ def a09(spark, sf):
     return g.select("symbol", "direction", "year_part", F.col("a").isNull().alias("a_null"), F.round("b", 6).alias("b"), (F.col("c") == float("inf")).alias("c_inf"))
 
 
+@query("a09_factor_values", f"""{CROSS}, {LOG}, g AS (SELECT symbol, direction, entry_pos // 12 AS year_part, coalesce(sum(net) FILTER (net > 0), 0) AS w, -coalesce(sum(net) FILTER (net < 0), 0) AS l, count(*) FILTER (net <= 0) AS z FROM tr GROUP BY ALL)
+SELECT symbol, direction, year_part, round(CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 'inf'::DOUBLE END, 6) AS a, round(CASE WHEN l > 0 THEN w / l END, 6) AS b, round(CASE WHEN l > 0 THEN w / l ELSE 'inf'::DOUBLE END, 6) AS c, round(CASE WHEN z = 0 OR l = 0 THEN 'inf'::DOUBLE ELSE w / l END, 6) AS d FROM g""")
+def a09_values(spark, sf):
+    """The values of all four variants."""
+    x = F.col("net")
+    g = log(spark, sf).groupBy("symbol", "direction", F.floor(F.col("entry_pos") / 12).alias("year_part"))
+    return g.agg(*[F.round(profit_factor(x, v), 6).alias(v) for v in "abcd"])
+
+
 @query("a12_top_contribution", f"""{CROSS}, {LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY net DESC, entry_pos) AS n FROM tr)
 SELECT symbol, {', '.join(f"round(100 * sum(net) FILTER (n <= {k} AND net > 0) / nullif(sum(net) FILTER (net > 0), 0), 6) AS top{k}_pct, round(sum(net) FILTER (NOT (n <= {k} AND net > 0)), 6) AS without_top{k}" for k in (1, 3, 5))} FROM k GROUP BY symbol""")
 def a12(spark, sf):

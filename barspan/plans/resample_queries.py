@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barspan.operators import bars as B
 from barspan.operators import positions as T
 from barspan.operators import resample as R
+from barspan.operators.scan import ranked
 
 from .asof_queries import month_folds
 from .position_queries import CROSS, LOG, log
@@ -32,8 +34,7 @@ PICKS = {
 
 
 def values(spark, sf):
-    t = log(spark, sf)
-    return R.indexed(t, ["symbol"], "net", ["entry_pos"]).join(t.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("entry_pos")) - 1).alias("i"), "direction"), ["symbol", "i"])
+    return R.indexed(log(spark, sf), ["symbol"], "net", ["entry_pos"], ["direction"])
 
 
 for _no, _method in ((1, "iid"), (2, "shuffle"), (3, "block"), (4, "stationary"), (5, "regime")):
@@ -98,7 +99,7 @@ sel AS (SELECT symbol, combo::INT AS combo, s AS short_ma, l AS long_ma, i AS is
 
 
 def selected(spark, sf):
-    sums = R.block_sums(grid_returns(hourly(spark, sf)), strategy=["symbol", "short_ma", "long_ma"])
+    sums = R.block_sums(grid_returns(hourly(spark, sf)), strategy=["symbol", "short_ma", "long_ma"], counted=True)
     return R.cross_validate(sums, strategy=["symbol", "short_ma", "long_ma"], keys=["symbol"])
 
 
@@ -138,6 +139,23 @@ def r12(spark, sf):
     return t.groupBy("symbol", "cost").agg(F.round(F.sum(net), 4).alias("total"), F.round(F.avg((net > 0).cast("int")), 6).alias("win_rate"))
 
 
+STEPS = (1800, 3600, 14400)
+FRAMES = f"""{hourly_sql(1800, 'fine')}, cb AS (SELECT symbol, step, row_number() OVER (PARTITION BY symbol, step ORDER BY s) - 1 AS row_pos, s, open, high, low, "close" FROM (SELECT symbol, step, floor(epoch(ts) / step)::BIGINT * step AS s, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max("close", ts) AS "close" FROM fine, (VALUES {', '.join(f'({x})' for x in STEPS)}) f(step) GROUP BY ALL)),
+fg AS (SELECT *, CASE WHEN row_pos >= 19 THEN sign(avg("close") OVER (PARTITION BY symbol, step ORDER BY row_pos ROWS 4 PRECEDING) - avg("close") OVER (PARTITION BY symbol, step ORDER BY row_pos ROWS 19 PRECEDING))::INT ELSE 0 END AS sig FROM cb),
+fp AS (SELECT *, coalesce(lag(sig) OVER q, 0) AS pos, "close" / lag("close") OVER q - 1 AS mv FROM fg WINDOW q AS (PARTITION BY symbol, step ORDER BY row_pos)), fr AS (SELECT symbol, step, row_pos, coalesce(pos * mv, 0) - 0.0005 * abs(pos - coalesce(lag(pos) OVER (PARTITION BY symbol, step ORDER BY row_pos), 0)) AS ret, abs(pos - coalesce(lag(pos) OVER (PARTITION BY symbol, step ORDER BY row_pos), 0)) AS turn FROM fp)"""
+
+
+@query("r12_timeframes", f"""WITH {FRAMES} SELECT symbol, step::INT AS step, count(*) AS bars, sum(turn)::BIGINT AS turnover, round(sum(ret), 6) AS total, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365.25 * 86400 / any_value(step)), 6) AS sharpe FROM fr GROUP BY symbol, step""")
+def r12_timeframes(spark, sf):
+    """One family on 30, 60 and 240 minutes, all rolled up from the finest bars in one scan."""
+    bars = B.coarser(hourly(spark, sf, 1800), list(STEPS))
+    keys = ["symbol", "step"]
+    placed = ranked(bars.withColumn("t", F.unix_timestamp("ts")), keys=keys, order=["t"], out="row_pos").drop("n", "t")
+    r = T.bar_returns(T.average_cross(placed, [(5, 20)], keys=keys), keys, cost=0.0005)
+    sharpe = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0)) * F.sqrt(365.25 * 86400 / F.col("step"))
+    return r.groupBy(*keys).agg(F.count("*").alias("bars"), F.sum("turnover").cast("bigint").alias("turnover"), F.round(F.sum("ret"), 6).alias("total"), F.round(sharpe, 6).alias("sharpe"))
+
+
 @query("p17_mae_stress", f"""{CROSS}, pth AS (SELECT symbol, row_pos, "close" / lead("close", 12) OVER (PARTITION BY symbol ORDER BY row_pos) AS x, ln(lead("close", 12) OVER q / lead(open) OVER q) AS ret, CASE WHEN lead("close", 12) OVER q IS NOT NULL THEN ln(min(low) OVER (PARTITION BY symbol ORDER BY row_pos ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) / lead(open) OVER q) END AS mae FROM bars WINDOW q AS (PARTITION BY symbol ORDER BY row_pos))
 SELECT symbol, stop::DOUBLE AS stop, lev::DOUBLE AS leverage, count(*) AS n, round(avg(CASE WHEN mae > ln(1 + stop) THEN ret ELSE ln(1 + stop) END * lev), 6) AS mean_ret, round(avg((mae * lev < -0.8)::INT), 6) AS breach_rate FROM pth, (VALUES (-0.05::DOUBLE), (-0.2)) s(stop), (VALUES (1.0::DOUBLE), (3.0)) l(lev) WHERE ret IS NOT NULL GROUP BY ALL""")
 def p17(spark, sf):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
-from barspan.functions import share, t_stat, wilson
+from barspan.functions import correlation_p_value, normal_quantile, share, t_p_value, t_stat, wilson
 from barspan.operators import events as E
 from barspan.operators import features as X
 from barspan.operators import stats as S
@@ -179,14 +181,50 @@ def a21(spark, sf):
 @query("a22_regression", f"""WITH {H}, {RET}, {FORWARD}, d AS (SELECT symbol, ret AS x, f4 AS y FROM fwd WHERE ret IS NOT NULL AND f4 IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2 AS ry FROM d)
 SELECT symbol, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(regr_r2(y, x), 6) AS r2 FROM r GROUP BY symbol""")
 def a22(spark, sf):
-    from pyspark.sql import Window
-
     d = forward(returns(hourly(spark, sf))).filter("ret is not null and f4 is not null").select("symbol", F.col("ret").alias("x"), F.col("f4").alias("y"))
-    rank = lambda c: F.rank().over(Window.partitionBy("symbol").orderBy(c)) + (F.count("*").over(Window.partitionBy("symbol", c)) - 1) / 2
-    r = d.withColumns({"rx": rank("x"), "ry": rank("y")})
+    r = S.average_ranks(S.average_ranks(d, ["symbol"], "x", "rx"), ["symbol"], "y", "ry")
     return r.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.round(F.regr_r2("y", "x"), 6).alias("r2"))
 
 
+#: Terms of finite and power series as running products: of Student's t for whole degrees of freedom, and of the normal distribution.
+T_SERIES = """ser AS (SELECT k.*, exp(coalesce(sum(CASE WHEN v % 2 = 0 THEN ln((2 * i - 1) / (2 * i)::DOUBLE) ELSE ln(2 * i / (2 * i + 1)::DOUBLE) END + ln(v / (v + t * t))) FILTER (i > 0) OVER (PARTITION BY id ORDER BY i), 0)) AS term FROM k, range(2000) r(i) WHERE i <= CASE WHEN v % 2 = 0 THEN (v - 2) // 2 ELSE (v - 3) // 2 END),
+pv AS (SELECT id, 1 - CASE WHEN any_value(v) % 2 = 0 THEN any_value(abs(t) / sqrt(v + t * t)) * sum(term) ELSE 2 / pi() * any_value(atan(abs(t) / sqrt(v::DOUBLE))) + 2 / pi() * any_value(abs(t) / sqrt(v + t * t) * sqrt(v / (v + t * t))) * sum(term) END AS p FROM ser GROUP BY id)"""
+
+
+@query("a20_interaction_tests", f"""WITH {H}, {RET}, {FORWARD}, {RISK}, d AS (SELECT symbol, f4 AS y, (volume <= 4)::INT AS a, risk_off::INT AS b FROM fwd JOIN risk USING (ts) WHERE f4 IS NOT NULL),
+c AS (SELECT symbol, 2 * a + b AS cell, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM d GROUP BY ALL), g AS (SELECT symbol, sum(n) AS n, sum(ss) / (sum(n) - 4) AS s2, map(list(cell), list(m)) AS m, map(list(cell), list(1.0::DOUBLE / n)) AS v FROM c GROUP BY symbol),
+e AS (SELECT symbol, n::BIGINT AS n, s2, unnest(['intercept', 'a', 'b', 'a_x_b']) AS term_name, unnest([m[0], m[2] - m[0], m[1] - m[0], m[3] - m[2] - m[1] + m[0]]) AS coef, unnest([v[0], v[0] + v[2], v[0] + v[1], v[0] + v[1] + v[2] + v[3]]) AS vv FROM g),
+k AS (SELECT symbol, n, term_name, coef / sqrt(s2 * vv) AS t, n - 4 AS v, symbol || term_name AS id FROM e WHERE coef IS NOT NULL), {T_SERIES}
+SELECT symbol, n, term_name AS term, round(t, 6) AS t, round(p, 6) AS p FROM k JOIN pv USING (id)""")
+def a20_tests(spark, sf):
+    """t and two-sided p of every coefficient of the interaction model."""
+    out = S.interaction_ols(interaction_rows(spark, sf), "f4", F.col("low"), F.col("risk"), keys=["symbol"]).filter("t is not null")
+    return out.select("symbol", "n", "term", F.round("t", 6).alias("t"), F.round(t_p_value(F.col("t"), F.col("n") - 4), 6).alias("p"))
+
+
+@query("a22_correlation_tests", f"""WITH {H}, {RET}, {FORWARD}, d AS (SELECT symbol, corr(ret, f4) AS r, count(*) AS n FROM fwd WHERE ret IS NOT NULL AND f4 IS NOT NULL GROUP BY symbol), z AS (SELECT *, abs(0.5 * ln((1 + r) / (1 - r)) * sqrt(n - 3)) AS z FROM d),
+q AS (SELECT symbol, sum(term) AS total FROM (SELECT symbol, z * exp(coalesce(sum(ln(z * z / (2 * i + 1))) FILTER (i > 0) OVER (PARTITION BY symbol ORDER BY i), 0)) AS term FROM z, range(200) t(i)) GROUP BY symbol)
+SELECT symbol, n, round(r, 6) AS pearson, round(1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * total, 6) AS p FROM z JOIN q USING (symbol)""")
+def a22_tests(spark, sf):
+    """Correlation of a return with the one after it, and its p by Fisher's z."""
+    g = forward(returns(hourly(spark, sf))).filter("ret is not null and f4 is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.corr("ret", "f4").alias("r"))
+    return g.select("symbol", "n", F.round("r", 6).alias("pearson"), F.round(correlation_p_value(F.col("r"), F.col("n")), 6).alias("p"))
+
+
+PROBABILITIES = [0.001, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99, 0.999]
+
+
+@query("a34_normal_quantiles", f"""WITH {H}, {RET}, s AS (SELECT symbol, avg(ret) AS m, stddev_samp(ret) AS sd FROM rets GROUP BY symbol), q AS (SELECT symbol, unnest({PROBABILITIES}::DOUBLE[]) AS p, unnest(quantile_cont(ret, {PROBABILITIES})) AS found, unnest({[NormalDist().inv_cdf(p) for p in PROBABILITIES]}::DOUBLE[]) AS z FROM rets GROUP BY symbol)
+SELECT symbol, p, round(z, 9) AS z, round(m + sd * z, 6) AS normal, round(found, 6) AS found FROM q JOIN s USING (symbol)""")
+def a34_quantiles(spark, sf):
+    """Quantiles of returns beside those of a normal distribution with their mean and deviation."""
+    ps = F.array(*[F.lit(p) for p in PROBABILITIES])
+    g = returns(hourly(spark, sf)).groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"), F.percentile("ret", ps).alias("q"))
+    rows = g.select("symbol", "m", "sd", F.explode(F.arrays_zip(ps.alias("p"), F.col("q").alias("found"))).alias("r")).select("symbol", "m", "sd", "r.p", "r.found")
+    rows = rows.withColumn("z", normal_quantile(F.col("p")))
+    return rows.select("symbol", "p", F.round("z", 9).alias("z"), F.round(F.col("m") + F.col("sd") * F.col("z"), 6).alias("normal"), F.round("found", 6).alias("found"))
+
+
 @query("a23_wilson", f"""WITH {H}, {RET}, g AS (SELECT symbol, count(*) FILTER (ret > 0) AS k, count(ret) AS n FROM rets GROUP BY symbol)
 SELECT symbol, k, n, round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 6)::DOUBLE AS low, round((k / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 6)::DOUBLE AS high FROM g""")
 def a23(spark, sf):
@@ -202,6 +240,17 @@ def a31(spark, sf):
     return b.groupBy("symbol").agg(F.round(F.exp(F.min("w21")) - 1, 6).alias("worst21"), F.min_by("row_pos", F.struct("w21", "row_pos")).alias("at_pos"))
 
 
+@query("a31_drawdown_anatomy", f"""WITH {D}, bars AS (SELECT * FROM days), {RET}, e AS (SELECT symbol, row_pos, ret, sum(ret) OVER (PARTITION BY symbol ORDER BY row_pos) AS eq FROM rets WHERE ret IS NOT NULL),
+k AS (SELECT *, greatest(max(eq) OVER (PARTITION BY symbol ORDER BY row_pos), 0) AS pk FROM e), a AS (SELECT *, coalesce(max(CASE WHEN eq >= pk THEN row_pos END) OVER (PARTITION BY symbol ORDER BY row_pos), -1) AS since FROM k),
+w AS (SELECT * FROM a WHERE eq - pk < 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY eq - pk, row_pos) = 1), u AS (SELECT symbol, max(row_pos - since) AS under, arg_max(eq < pk, row_pos) AS still_under FROM a GROUP BY symbol)
+SELECT w.symbol, w.since AS peak, w.row_pos AS trough, round(exp(w.eq - w.pk) - 1, 6) AS depth, arg_min(e.row_pos, (e.ret, e.row_pos)) AS worst_at, round(exp(min(e.ret)) - 1, 6) AS worst_step, round(min(e.ret) / any_value(w.eq - w.pk), 6) AS worst_share, any_value(under) AS under, any_value(still_under) AS still_under
+FROM w JOIN e ON e.symbol = w.symbol AND e.row_pos > w.since AND e.row_pos <= w.row_pos JOIN u ON u.symbol = w.symbol GROUP BY w.symbol, w.since, w.row_pos, w.eq, w.pk""")
+def a31_anatomy(spark, sf):
+    """Start, end, worst step and its share of the deepest fall; longest time under water in bars."""
+    out = S.drawdown_anatomy(returns(daily(spark, sf)), "ret", keys=["symbol"], order="row_pos")
+    return out.select("symbol", "peak", "trough", F.round("depth", 6).alias("depth"), "worst_at", F.round("worst_step", 6).alias("worst_step"), F.round("worst_share", 6).alias("worst_share"), "under", "still_under")
+
+
 @query("a32_expanding_std", f"""WITH {D}, bars AS (SELECT * FROM days), {RET}, e AS (SELECT symbol, row_pos, stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY row_pos) AS sd FROM rets)
 SELECT row_pos, round(quantile_cont(sd, 0.05), 8) AS p05, round(quantile_cont(sd, 0.5), 8) AS p50, round(quantile_cont(sd, 0.95), 8) AS p95 FROM e WHERE row_pos IN (50, 100, 250, 500, 1000, 2000) GROUP BY row_pos""")
 def a32(spark, sf):

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barspan.functions import share
+from barspan.functions import profit_factor, share
 from barspan.operators import asof as J
+from barspan.operators import montecarlo as MC
 from barspan.operators import positions as T
 from barspan.operators import resample as R
 from barspan.operators import stats as S
-from barspan.operators.scan import rolling
+from barspan.operators.scan import ranked, rolling
 
 from .asof_queries import SIDE, fund
 from .event_queries import EVENTS, path_events
-from .position_queries import CROSS, cross
+from .position_queries import CROSS, LOG, cross, log
 from .profile_queries import RET, returns
 from .registry import query
 from .resample_queries import H as BARS
 from .resample_queries import SEED, grid_returns, grid_sql, md5_sql
-from .stat_queries import FORWARD, LONG, SHOCK, VOL, forward, long_horizons, regimes
+from .stat_queries import FORWARD, LONG, SHOCK, VOL, forward, long_horizons, regimes, t_sql
 from .tables import daily, daily_sql, hourly, table
 
 H, D = BARS, daily_sql()
@@ -221,25 +222,106 @@ def r13(spark, sf):
 
 
 GRID_RUNS = 5000
+#: (method, leverage, round-trip cost): every method plain, and one under each leverage and each cost.
+CELLS = [*[(m, 1.0, 0.0) for m in MC.METHODS], *[("iid", x, 0.0) for x in (1.5, 2.0, 3.0, 4.0)], *[("iid", 1.0, c) for c in (0.001, 0.002, 0.004)]]
+DRAWN = ("shuffle", "iid", "block", "stationary", "restart", "regime")
 
 
-@query("r07_resample_grid", f"""WITH {BASE}, v AS (SELECT side, horizon, mr, row_number() OVER (PARTITION BY side, horizon ORDER BY symbol, row_pos) - 1 AS i, count(*) OVER (PARTITION BY side, horizon) AS n FROM ce WHERE horizon IN (4, 12)), base AS (SELECT side, horizon, n, i AS pos, run FROM v, (SELECT range AS run FROM range({GRID_RUNS}))),
-pk AS (SELECT 'iid' AS method, side, horizon, run, {md5_sql('n', str(SEED), 'side', 'horizon', 'run', 'pos')} AS i FROM base UNION ALL SELECT 'block', side, horizon, run, ({md5_sql('n', str(SEED), 'side', 'horizon', 'run', 'pos // 5')} + pos % 5) % n FROM base),
-t AS (SELECT method, side, horizon, run, count(*) AS k, sum(mr) AS total FROM pk JOIN v USING (side, horizon, i) GROUP BY ALL), g AS (SELECT t.*, lev, cost, lev * (total - k * cost) AS x FROM t, (VALUES (1.0::DOUBLE), (2.0)) l(lev), (VALUES (0.0::DOUBLE), (0.1)) c(cost))
-SELECT method, side, horizon::INT AS horizon, lev AS leverage, cost, count(*) AS runs, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.05), 4) AS p05, round(avg(x) FILTER (x <= q), 4) AS cvar, round(avg((x < 0)::INT), 6) AS loss_rate FROM (SELECT *, quantile_cont(x, 0.05) OVER (PARTITION BY method, side, horizon, lev, cost) AS q FROM g) GROUP BY ALL""")
+def mix_sql(rows: str, x: str, out: str) -> str:
+    step = lambda a, b, shift, times, rows: f"(SELECT *, (xor({a}, {a} >> {shift}) * {times}) & {MC.MASK} AS {b} FROM {rows})"
+    return f"(SELECT * EXCLUDE (m0, m1, m2), xor(m2, m2 >> 15) AS {out} FROM {step('m1', 'm2', 15, MC.SECOND, step('m0', 'm1', 16, MC.FIRST, f'(SELECT *, {x} AS m0 FROM {rows})'))})"
+
+
+def path_sql(keys: str, rows: str) -> str:
+    """Growth, worst share of a peak, losing streak and ruin of rows(keys, pos, net)."""
+    w = f"PARTITION BY {keys} ORDER BY pos ROWS UNBOUNDED PRECEDING"
+    return f"""(SELECT {keys}, arg_max(eq, pos) AS equity, min(least(eq / pk, 1)) AS worst, max(pos - coalesce(gain, -1)) AS streak, bool_or(1 + net <= 0) AS ruined, count(*) AS n FROM (SELECT *, greatest(max(eq) OVER ({w}), 1) AS pk FROM (SELECT *, exp(sum(ln(greatest(1 + net, 1e-300))) OVER ({w})) AS eq, max(CASE WHEN net >= 0 THEN pos END) OVER ({w}) AS gain FROM {rows})) GROUP BY {keys})"""
+
+
+GROUPS = """v AS (SELECT side, horizon::INT AS horizon, mr / 100 AS x, coalesce(regime, '') AS label, row_number() OVER (PARTITION BY side, horizon ORDER BY ts, symbol) - 1 AS i, count(*) OVER (PARTITION BY side, horizon) AS n FROM ce LEFT JOIN (SELECT symbol, row_pos, regime FROM reg) USING (symbol, row_pos) WHERE horizon IN (4, 12))"""
+SIMULATED = f"""{BASE}, {VOL}, {GROUPS}, r0 AS (SELECT DISTINCT side, horizon, n, method, run, ('0x' || substr(md5(concat_ws('|', '{SEED}|' || method, side, horizon)), 1, 8))::BIGINT AS base FROM v, (SELECT unnest({list(DRAWN)}) AS method), (SELECT range AS run FROM range({GRID_RUNS}))),
+r2 AS MATERIALIZED (SELECT * FROM {mix_sql(mix_sql('r0', 'run', 'h0'), 'xor(base, h0)', 'h')}),
+d AS MATERIALIZED (SELECT * FROM {mix_sql("(SELECT r2.side, r2.horizon, r2.n, method, run, h, i AS pos, label FROM r2 JOIN v USING (side, horizon))", f"(h + (CASE method WHEN 'block' THEN pos // 5 ELSE pos END) * {MC.GOLDEN}) & {MC.MASK}", 'd')}),
+members AS (SELECT *, row_number() OVER (PARTITION BY side, horizon, label ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY side, horizon, label) AS k FROM v), kinds AS (SELECT DISTINCT side, horizon, label, k FROM members),
+fresh AS (SELECT s.*, s.pos = 0 OR f.d % 1000000 < 200000 AS f FROM d s JOIN d f ON f.method = 'restart' AND f.side = s.side AND f.horizon = s.horizon AND f.run = s.run AND f.pos = s.pos WHERE s.method = 'stationary'),
+pk AS (SELECT 'original' AS method, side, horizon, 0 AS run, i AS pos, i FROM v
+  UNION ALL SELECT method, side, horizon, run, pos, d % n FROM d WHERE method = 'iid'
+  UNION ALL SELECT method, side, horizon, run, pos, (d % n + pos % 5) % n FROM d WHERE method = 'block'
+  UNION ALL SELECT method, side, horizon, run, row_number() OVER (PARTITION BY side, horizon, run ORDER BY d, pos) - 1, pos FROM d WHERE method = 'shuffle'
+  UNION ALL SELECT method, side, horizon, run, pos, (last_value(CASE WHEN f THEN d % n END IGNORE NULLS) OVER q + pos - last_value(CASE WHEN f THEN pos END IGNORE NULLS) OVER q) % n FROM fresh WINDOW q AS (PARTITION BY side, horizon, run ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT d.method, d.side, d.horizon, run, pos, m.i FROM d JOIN kinds USING (side, horizon, label) JOIN members m ON m.side = d.side AND m.horizon = d.horizon AND m.label = d.label AND m.r = d.d % kinds.k WHERE d.method = 'regime'),
+cells(method, leverage, cost) AS (VALUES {', '.join(f"('{m}', {x}::DOUBLE, {c}::DOUBLE)" for m, x, c in CELLS)}),
+nets AS (SELECT method, side, horizon, leverage, cost, run, pos, leverage * (x - cost) AS net FROM pk JOIN v USING (side, horizon, i) JOIN cells USING (method)),
+paths AS MATERIALIZED (SELECT *, (equity - 1) * 100 AS final, (worst - 1) * 100 AS dd FROM {path_sql('method, side, horizon, leverage, cost, run', 'nets')})"""
+QUANTILES = ", ".join(f"round(quantile_cont({c}, {q}), 4) AS {n}" for n, c, q in (("final_median", "final", 0.5), ("final_q05", "final", 0.05), ("final_q01", "final", 0.01), ("dd_median", "dd", 0.5), ("dd_q05", "dd", 0.05), ("dd_q01", "dd", 0.01), ("streak_median", "streak", 0.5), ("streak_q95", "streak", 0.95)))
+
+
+def grouped_events(spark, sf):
+    """Close events of two horizons in order of time, as fractions, with the volatility regime at the signal."""
+    ev = close_events(spark, sf).filter("horizon in (4, 12)")
+    state = regimes(forward(returns(hourly(spark, sf)))).select("symbol", "row_pos", "regime")
+    return ev.join(state, ["symbol", "row_pos"], "left").select("side", "horizon", (F.col("mr") / 100).alias("x"), "regime", F.unix_timestamp("ts").alias("t"), "symbol")
+
+
+@query("r07_resample_grid", f"""WITH {SIMULATED} SELECT side, horizon, method, leverage, cost, count(*) AS runs, any_value(n) AS n, {QUANTILES}, round(avg((dd <= -30)::INT) * 100, 4) AS prob_dd30, round(avg((dd <= -50)::INT) * 100, 4) AS prob_dd50, round(avg((equity <= 0.5)::INT) * 100, 4) AS prob_halving, round(avg(ruined::INT) * 100, 4) AS prob_ruin,
+round(avg(final) FILTER (final <= f5), 4) AS final_cvar05, round(avg(dd) FILTER (dd <= d5), 4) AS dd_cvar05 FROM (SELECT *, quantile_cont(final, 0.05) OVER g AS f5, quantile_cont(dd, 0.05) OVER g AS d5 FROM paths WINDOW g AS (PARTITION BY method, side, horizon, leverage, cost)) GROUP BY side, horizon, method, leverage, cost""")
 def r07(spark, sf):
-    """Groups by horizons by methods by leverage by cost: each run is drawn once, the rest of the grid scales its total."""
+    """Groups by horizons by six methods, and by leverage and cost: growth, drawdown and streaks over 5,000 runs each."""
     keys = ["side", "horizon"]
-    v = R.indexed(close_events(spark, sf).filter("horizon in (4, 12)"), keys, "mr", ["symbol", "row_pos"])
-    totals = None
-    for method in ("iid", "block"):
-        t = R.drawn(v, R.resample(v, keys=keys, runs=GRID_RUNS, seed=SEED, method=method), keys, "mr").groupBy(*keys, "run").agg(F.count("*").alias("k"), F.sum("mr").alias("total")).withColumn("method", F.lit(method))
-        totals = t if totals is None else totals.unionByName(t)
-    cells = F.explode(F.array(*[F.struct(F.lit(lev).alias("leverage"), F.lit(cost).alias("cost")) for lev in (1.0, 2.0) for cost in (0.0, 0.1)])).alias("c")
-    g = totals.select("method", *keys, "k", "total", cells).select("method", *keys, "c.*", (F.col("c.leverage") * (F.col("total") - F.col("k") * F.col("c.cost"))).alias("x"))
-    by = ["method", *keys, "leverage", "cost"]
-    low = g.groupBy(*by).agg(F.percentile("x", 0.05).alias("q"))
-    return g.join(low, by).groupBy(*by).agg(F.count("*").alias("runs"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.max("q"), 4).alias("p05"), F.round(F.avg(F.when(F.col("x") <= F.col("q"), F.col("x"))), 4).alias("cvar"), F.round(F.avg((F.col("x") < 0).cast("int")), 6).alias("loss_rate"))
+    paths = MC.simulate(grouped_events(spark, sf), keys=keys, x="x", order=["t", "symbol"], cells=CELLS, runs=GRID_RUNS, seed=SEED, label="regime")
+    return MC.simulation_pack(paths, keys=[*keys, "method", "leverage", "cost"])
+
+
+COSTS = (0.0, 0.001, 0.002, 0.004)
+
+
+@query("r06_path_summary", f"""WITH {BASE}, {VOL}, {GROUPS}, nets AS (SELECT side, horizon, cost, i AS pos, x - cost AS net FROM v, (VALUES {', '.join(f'({c}::DOUBLE)' for c in COSTS)}) c(cost)), p AS {path_sql('side, horizon, cost', 'nets')},
+m AS (SELECT side, horizon, cost, round(avg(net) * 100, 6) AS mean, round(quantile_cont(net, 0.5) * 100, 6) AS median, round(avg((net > 0)::INT) * 100, 6) AS win_rate, round(CASE WHEN sum(net) FILTER (net < 0) < 0 THEN coalesce(sum(net) FILTER (net > 0), 0) / -sum(net) FILTER (net < 0) WHEN sum(net) FILTER (net > 0) > 0 THEN 'inf'::DOUBLE END, 6) AS profit_factor, round(max(net) * 100, 6) AS best, round(min(net) * 100, 6) AS worst_trade FROM nets GROUP BY ALL)
+SELECT m.*, n, round((equity - 1) * 100, 6) AS final, round((worst - 1) * 100, 6) AS max_drawdown, streak, ruined FROM m JOIN p USING (side, horizon, cost)""")
+def r06_paths(spark, sf):
+    """The trades of each group in their own order, under every cost: the baseline of all resampling."""
+    keys = ["side", "horizon"]
+    placed = ranked(grouped_events(spark, sf), keys=keys, order=["t", "symbol"])
+    net = placed.withColumn("cost", F.explode(F.array(*[F.lit(c) for c in COSTS]))).withColumn("net", F.col("x") - F.col("cost"))
+    by = [*keys, "cost"]
+    at = lambda c: F.round(c * 100, 6)
+    pack = net.groupBy(*by).agg(at(F.avg("net")).alias("mean"), at(F.percentile("net", 0.5)).alias("median"), at(share(F.col("net") > 0)).alias("win_rate"), F.round(profit_factor(F.col("net")), 6).alias("profit_factor"), at(F.max("net")).alias("best"), at(F.min("net")).alias("worst_trade"))
+    paths = MC.summarise_paths(net, keys=by, order="i", x="net").select(*by, "n", at(F.col("equity") - 1).alias("final"), at(F.col("worst") - 1).alias("max_drawdown"), "streak", "ruined")
+    return pack.join(paths, by)
+
+
+@query("a28_event_pack", f"""WITH {EVENTS}, v AS (SELECT candidate_id, row_pos, path_ret AS x, mae, mfe, row_number() OVER (PARTITION BY candidate_id ORDER BY row_pos) - 1 AS i, quantile_cont(path_ret, 0.05) OVER (PARTITION BY candidate_id) AS q FROM evt), p AS {path_sql('candidate_id', '(SELECT candidate_id, i AS pos, x AS net FROM v)')}
+SELECT v.candidate_id, count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(avg((x > 0)::INT), 6) AS win_rate, round(CASE WHEN sum(x) FILTER (x < 0) < 0 THEN coalesce(sum(x) FILTER (x > 0), 0) / -sum(x) FILTER (x < 0) WHEN sum(x) FILTER (x > 0) > 0 THEN 'inf'::DOUBLE END, 6) AS profit_factor, {t_sql('x')} AS t,
+round(avg(mae), 6) AS mae, round(avg(mfe), 6) AS mfe, round(any_value(q), 6) AS var5, round(avg(x) FILTER (x <= q), 6) AS es5, round(any_value(equity) - 1, 6) AS growth, round(any_value(worst) - 1, 6) AS max_drawdown, any_value(streak) AS losing_streak FROM v JOIN p USING (candidate_id) GROUP BY v.candidate_id""")
+def a28_pack(spark, sf):
+    return S.event_pack(path_events(spark, sf), "path_ret", keys=["candidate_id"], order="row_pos", mae="mae", mfe="mfe")
+
+
+@query("a10_calmar", f"""WITH {D}, r AS (SELECT symbol, row_pos AS pos, "close" / lag("close") OVER (PARTITION BY symbol ORDER BY row_pos) - 1 AS net FROM days), m AS (SELECT symbol, count(net) AS bars, stddev_samp(net) FILTER (net < 0) AS down, avg(net) AS mean FROM r GROUP BY symbol), p AS {path_sql('symbol', '(SELECT * FROM r WHERE net IS NOT NULL)')}
+SELECT symbol, bars, round(equity - 1, 6) AS total, round(equity ** (252.0::DOUBLE / bars) - 1, 6) AS annual, round(worst - 1, 6) AS max_drawdown, round((equity ** (252.0::DOUBLE / bars) - 1) / nullif(1 - worst, 0), 6) AS calmar, round(mean / nullif(down, 0) * sqrt(252), 6) AS sortino FROM m JOIN p USING (symbol)""")
+def a10_calmar(spark, sf):
+    """Growth a year over the deepest fall, and the mean over the deviation of losses."""
+    r = returns(daily(spark, sf), "simple").filter("ret is not null")
+    m = r.groupBy("symbol").agg(F.count("*").alias("bars"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.avg("ret").alias("mean"))
+    p = MC.summarise_paths(r, keys=["symbol"], order="row_pos", x="ret")
+    annual = F.pow("equity", 252.0 / F.col("bars")) - 1
+    values = {"total": F.col("equity") - 1, "annual": annual, "max_drawdown": F.col("worst") - 1, "calmar": annual / F.nullif(1 - F.col("worst"), F.lit(0.0)), "sortino": F.col("mean") / F.nullif("down", F.lit(0.0)) * F.sqrt(F.lit(252))}
+    return m.join(p, "symbol").select("symbol", "bars", *[F.round(v, 6).alias(k) for k, v in values.items()])
+
+
+@query("a11_monthly_tail", f"""WITH {D}, bars AS (SELECT * FROM days), {RET}, m AS (SELECT symbol, strftime(ts, '%Y-%m') AS month, exp(sum(ret)) - 1 AS r FROM rets WHERE ret IS NOT NULL GROUP BY ALL), q AS (SELECT *, quantile_cont(r, 0.05) OVER (PARTITION BY symbol) AS q FROM m)
+SELECT symbol, count(*) AS months, round(any_value(q), 6) AS var5, round(avg(r) FILTER (r <= q), 6) AS cvar5, round(min(r), 6) AS worst, round(avg((r > 0)::INT), 6) AS win_rate FROM q GROUP BY symbol""")
+def a11_monthly(spark, sf):
+    r = returns(daily(spark, sf)).filter("ret is not null")
+    m = r.groupBy("symbol", F.date_format("ts", "yyyy-MM").alias("month")).agg((F.exp(F.sum("ret")) - 1).alias("r"))
+    j = m.join(m.groupBy("symbol").agg(F.percentile("r", 0.05).alias("q")), "symbol")
+    return j.groupBy("symbol").agg(F.count("*").alias("months"), F.round(F.first("q"), 6).alias("var5"), F.round(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r"))), 6).alias("cvar5"), F.round(F.min("r"), 6).alias("worst"), F.round(share(F.col("r") > 0), 6).alias("win_rate"))
+
+
+@query("a12_top_percent", f"""{CROSS}, {LOG}, w AS (SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY net DESC, entry_pos) AS k, count(*) OVER (PARTITION BY symbol) AS n, sum(net) OVER (PARTITION BY symbol) AS total FROM tr WHERE net > 0), t AS (SELECT symbol, sum(net) AS total FROM tr GROUP BY symbol)
+SELECT t.symbol, {', '.join(f"coalesce(any_value(ceil(n * {p} / 100)), 0)::BIGINT AS top{p}_trades, round(100 * sum(net) FILTER (k <= ceil(n * {p} / 100)) / any_value(w.total), 6) AS top{p}_pct, round(any_value(t.total) - coalesce(sum(net) FILTER (k <= ceil(n * {p} / 100)), 0), 6) AS without_top{p}" for p in (5, 10, 20))} FROM t LEFT JOIN w USING (symbol) GROUP BY t.symbol""")
+def a12_percent(spark, sf):
+    return S.top_percent(log(spark, sf), "net", keys=["symbol"], tie=["entry_pos"])
 
 
 TRIALS = 500
@@ -253,8 +335,7 @@ def a30(spark, sf):
     """Tail dependence on random windows of several lengths; windows meet the rows by place."""
     r = returns(hourly(spark, sf)).filter("ret is not null").select("symbol", "ts", "ret")
     p = r.select("ts", F.col("symbol").alias("x"), F.col("ret").alias("rx")).join(r.select("ts", F.col("symbol").alias("y"), F.col("ret").alias("ry")), "ts").filter("x < y")
-    pair = Window.partitionBy("x", "y")
-    p = p.select("x", "y", "rx", "ry", (F.row_number().over(pair.orderBy("ts")) - 1).cast("bigint").alias("pos"))
+    p = ranked(p.select("x", "y", "rx", "ry", F.unix_timestamp("ts").alias("t")), keys=["x", "y"], order=["t"], out="pos").drop("n", "t")
     k = p.groupBy("x", "y").agg(F.count("*").alias("n"))
     s = k.select("x", "y", "n", F.explode(F.array(F.lit(20), F.lit(40), F.lit(80))).alias("len")).filter("n > len").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
     s = s.withColumn("start", R.draw(F.col("n") - F.col("len"), F.lit(SEED), F.col("x"), F.col("y"), F.col("len"), F.col("trial")))
