@@ -89,16 +89,16 @@ def _paths(x: np.ndarray) -> dict[str, np.ndarray]:
 STATE = "struct<prod:double,high:double,low:double,worst:double,lead:bigint,tail:bigint,streak:bigint,n:bigint,ruined:boolean>"
 
 
-def path_of(net: Column) -> Column:
-    """Summary of one sorted array of net returns: growth, highest and lowest point, worst share of a peak (the start is one), losing runs at both ends and longest, count, ruin."""
-    zero = F.struct(F.lit(1.0).alias("prod"), F.lit(1.0).alias("high"), F.lit(float("inf")).alias("low"), F.lit(1.0).alias("worst"), *[F.lit(0).cast("bigint").alias(c) for c in ("lead", "tail", "streak", "n")], F.lit(False).alias("ruined"))
+def path_of(net: Column, start_is_peak: bool = True) -> Column:
+    """Summary of one sorted array of net returns: growth, highest and lowest point, worst share of a peak (of which the start is one on demand), losing runs at both ends and longest, count, ruin."""
+    zero = F.struct(F.lit(1.0).alias("prod"), F.lit(1.0 if start_is_peak else 0.0).alias("high"), F.lit(float("inf")).alias("low"), F.lit(1.0).alias("worst"), *[F.lit(0).cast("bigint").alias(c) for c in ("lead", "tail", "streak", "n")], F.lit(False).alias("ruined"))
 
     def step(s: Column, x: Column) -> Column:
         prod = s["prod"] * F.greatest(1 + x, F.lit(0.0))
         high, loss = F.greatest(s["high"], prod), x < 0
         tail = F.when(loss, s["tail"] + 1).otherwise(F.lit(0).cast("bigint"))
         return F.struct(
-            prod.alias("prod"), high.alias("high"), F.least(s["low"], prod).alias("low"), F.least(s["worst"], prod / high).alias("worst"),
+            prod.alias("prod"), high.alias("high"), F.least(s["low"], prod).alias("low"), F.least(s["worst"], F.coalesce(prod / F.nullif(high, F.lit(0.0)), F.lit(0.0))).alias("worst"),
             F.when(loss & (s["lead"] == s["n"]), s["lead"] + 1).otherwise(s["lead"]).alias("lead"), tail.alias("tail"),
             F.greatest(s["streak"], tail).alias("streak"), (s["n"] + 1).alias("n"), (s["ruined"] | (1 + x <= 0)).alias("ruined"),
         )
@@ -110,20 +110,20 @@ def then(a: Column, b: Column) -> Column:
     """The summary of path a followed by path b."""
     return F.struct(
         (a["prod"] * b["prod"]).alias("prod"), F.greatest(a["high"], a["prod"] * b["high"]).alias("high"), F.least(a["low"], a["prod"] * b["low"]).alias("low"),
-        F.least(a["worst"], b["worst"], a["prod"] * b["low"] / a["high"]).alias("worst"),
+        F.least(a["worst"], b["worst"], F.coalesce(a["prod"] * b["low"] / F.nullif(a["high"], F.lit(0.0)), F.lit(0.0))).alias("worst"),
         F.when(a["lead"] == a["n"], a["n"] + b["lead"]).otherwise(a["lead"]).alias("lead"), F.when(b["tail"] == b["n"], a["tail"] + b["n"]).otherwise(b["tail"]).alias("tail"),
         F.greatest(a["streak"], b["streak"], a["tail"] + b["lead"]).alias("streak"), (a["n"] + b["n"]).alias("n"), (a["ruined"] | b["ruined"]).alias("ruined"),
     )
 
 
-def summarise_paths(rows: DataFrame, *, keys: list[str], order: str, x: str, block: int = 2048) -> DataFrame:
-    """equity, worst, streak, ruined and n of each key's path of net returns x in `order` (places from 0).
+def summarise_paths(rows: DataFrame, *, keys: list[str], order: str, x: str, block: int = 2048, start_is_peak: bool = True) -> DataFrame:
+    """equity, worst, streak, ruined and n of each key's path of net returns x in `order` (whole numbers).
 
     Blocks of places are folded on their own, then their summaries merged in order: a task holds
     one block, or one row per block of a key.  Keys without rows have none.
     """
     blocks = rows.groupBy(*keys, F.floor(F.col(order) / block).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(x).cast("double").alias("x")))).alias("xs"))
-    summed = blocks.select(*keys, "_b", path_of(F.transform("xs", lambda r: r["x"])).alias("s"))
+    summed = blocks.select(*keys, "_b", path_of(F.transform("xs", lambda r: r["x"]), start_is_peak).alias("s"))
     parts = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "s"))).alias("parts"))
     first, rest = F.element_at("parts", 1)["s"], F.slice("parts", F.lit(2), F.size("parts"))
     whole = F.aggregate(rest, first.cast(STATE), lambda s, p: then(s, p["s"]).cast(STATE))

@@ -18,15 +18,18 @@ def typed(raw: DataFrame, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "yy
     return raw.withColumn("ts", stamp).withColumns(numbers).drop("timestamp")
 
 
-def read_bars(spark: SparkSession, paths, *, sep: str = "\t", typed_columns: bool = True) -> DataFrame:
-    """Headerless bar files; the symbol is the file's name up to the first dot or underscore digits.
+def read_bars(spark: SparkSession, paths, *, sep: str = "\t", typed_columns: bool = True, folders: bool = False) -> DataFrame:
+    """Headerless bar files; the symbol is the file's name up to the first dot or underscore digits, or that of its folder symbol=NAME.
 
-    ingest_seq keeps the order of ingestion for deduplication.
+    ingest_seq keeps the order of ingestion for deduplication: by the files' times, then their
+    paths, then the place in a file.
     """
     schema = ", ".join(f"{c} string" for c in BAR_COLUMNS)
     raw = spark.read.schema(schema).option("sep", sep).csv(paths)
-    name = F.upper(F.regexp_extract("_metadata.file_name", r"^([A-Za-z]+)", 1))
-    raw = raw.select("*", name.alias("symbol"), F.monotonically_increasing_id().alias("ingest_seq"))
+    name = F.upper(F.col("symbol").cast("string") if folders else F.regexp_extract("_metadata.file_name", r"^([A-Za-z]+)", 1))
+    file = [F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")]
+    seq = F.struct(*file, F.monotonically_increasing_id().alias("row"))
+    raw = raw.select(*BAR_COLUMNS, name.alias("symbol"), seq.alias("ingest_seq"))
     return typed(raw) if typed_columns else raw
 
 

@@ -279,3 +279,27 @@ def test_panels_and_blocked_correlations(spark):
         for i in range(20):
             for j in range(i + 1, 20):
                 assert got[g, i, j] is None if np.isnan(want[i, j]) else math.isclose(got[g, i, j], want[i, j], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_folds_come_from_the_data(spark):
+    from barspan.operators import selection
+
+    start = dt.datetime(2020, 1, 31, 5)
+    days = spark.createDataFrame([(start + dt.timedelta(days=k),) for k in range(1200)], "ts timestamp")
+    got = selection.month_folds(days).orderBy("fold").collect()
+    assert [r.fold for r in got] == list(range(len(got))) and got[0].a == start and got[0].b == dt.datetime(2022, 1, 31, 5) and got[1].a == dt.datetime(2020, 4, 30, 5)
+    assert all(r.d <= start + dt.timedelta(days=1199) for r in got) and len(got) == 3
+    grown = selection.month_folds(days, expanding=True).orderBy("fold").collect()
+    assert {r.a for r in grown} == {start} and [r.c for r in grown] == [r.c for r in got]
+    assert selection.month_folds(days.limit(0)).count() == 0 == selection.month_folds(days.limit(5)).count()
+
+
+def test_scores_need_trades_and_punish_drawdown(spark):
+    from barspan.operators import selection
+
+    cols = ["sharpe", "max_drawdown", "trades", "total", "profit_factor"]
+    row = {"t_sharpe": 1.0, "t_max_drawdown": -0.1, "t_trades": 9, "t_total": -0.05, "t_profit_factor": 1.0, "v_sharpe": 3.0, "v_max_drawdown": -0.2, "v_trades": 2, "v_total": 0.1, "v_profit_factor": 9.0}
+    score = lambda **k: spark.createDataFrame([tuple({**row, **k}.values())], list(row)).select(selection.selection_score({c: F.col(f"t_{c}") for c in cols}, {c: F.col(f"v_{c}") for c in cols}).alias("s")).first().s
+    assert math.isclose(score(), 0.7 * 3 + 0.3 - 0.35 * 1 - 0.4 - 0.5 + 0.1 * math.log(5))
+    assert score(t_trades=7) is None and score(v_trades=1) is None
+    assert score(v_max_drawdown=-0.3) < score() < score(t_total=0.1)
