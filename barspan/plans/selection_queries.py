@@ -55,6 +55,6 @@ def r11_oos(spark, sf):
     sd = F.stddev_pop("ret")
     m = oos.groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(252))), 6).alias("sharpe"))
     p = MC.summarise_paths(oos, keys=KEYS, order="row_pos", x="ret").select("symbol", F.round(F.col("equity") - 1, 6).alias("total"), F.round(F.col("worst") - 1, 6).alias("max_drawdown"))
-    per = oos.groupBy("symbol", "fold").agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("total"), F.max(F.abs("pos")).alias("held"))
+    per = oos.groupBy("symbol", "fold").agg((F.exp(F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-300))))) - 1).alias("total"), F.max(F.abs("pos")).alias("held"))
     f = per.groupBy("symbol").agg(F.count("*").alias("folds"), F.count_if(F.col("held") > 0).alias("traded_folds"), F.round(F.avg((F.col("total") > 0).cast("int")), 6).alias("positive_folds"), F.round(F.min("total"), 6).alias("worst_fold"))
     return m.join(p, "symbol").join(f, "symbol")
