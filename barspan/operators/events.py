@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import CHUNK, ranked, running
-from .store import keep
+from .store import keep, repeated
 
 
 def tagged(df: DataFrame, masks: dict[str, Column], out: str = "grp") -> DataFrame:
@@ -56,7 +56,7 @@ def thinned(events: DataFrame, *, keys: list[str], entry: str, leave: str, size:
         for k in range(len(out) - 1, -1, -1):
             if out[k] < end:
                 out[k] = out[out[k] - first]
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(out) for k in keys}, "p": rows["p"].to_numpy(), "out": out})
+        return pd.DataFrame({**{k: repeated(rows[k].iloc[0], len(out)) for k in keys}, "p": rows["p"].to_numpy(), "out": out})
 
     outs = keep(linked.groupBy(*keys, "chunk").applyInPandas(beyond, f"{kinds}, p bigint, out bigint"), "outs")
     root = outs.filter("p = 0").select(*keys, "p")
@@ -72,11 +72,11 @@ def thinned(events: DataFrame, *, keys: list[str], entry: str, leave: str, size:
         kept: list[int] = []
         if len(rows) and len(start):
             rows = rows.sort_values("p")
-            first, follow, at = int(rows["p"].iloc[0]), rows["next"].tolist(), int(start["start"].iloc[0])
+            first, follow, at = int(rows["p"].iloc[0]), rows["next"].tolist(), int(start["start"].min())
             while at < first + len(follow):
                 kept.append(at - first)
                 at = follow[at - first]
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(kept) if kept else [] for k in keys}, "_e": rows["_e"].to_numpy()[kept] if kept else []})
+        return pd.DataFrame({**{k: repeated(rows[k].iloc[0] if kept else None, len(kept)) for k in keys}, "_e": rows["_e"].to_numpy()[kept] if kept else []})
 
     kept = linked.groupBy(*keys, "chunk").cogroup(starts.groupBy(*keys, "chunk")).applyInPandas(walk, f"{kinds}, _e bigint")
     return kept.withColumnRenamed("_e", entry)

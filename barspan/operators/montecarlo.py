@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import ranked
+from .store import repeated
 
 # Multipliers and shifts of a public 32-bit mixing function, and the golden ratio.
 FIRST, SECOND, GOLDEN, MASK = 0x21F0AAAD, 0x735A2D97, 0x9E3779B1, 0xFFFFFFFF
@@ -203,8 +204,8 @@ def simulate(values: DataFrame, *, keys: list[str], x: str, order: list[str], ce
                     for leverage, cost in by_method[method]:
                         found = pd.DataFrame(_paths(leverage * (drawn - cost)))
                         for k in keys:
-                            found[k] = [row[k]] * len(found)
-                        yield found.assign(method=method, leverage=leverage, cost=cost, run=some, n=n)
+                            found[k] = repeated(row[k], len(found))
+                        yield found.assign(method=repeated(method, len(found)), leverage=leverage, cost=cost, run=some, n=n)
 
     # Slices are about equal work; each is a row, dealt over as many tasks as there are slices.
     small = tasks.repartition(*keys, "method", "_slice").mapInPandas(run, schema)

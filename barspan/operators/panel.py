@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import repeated
+
 
 def symbols_of(df: DataFrame, symbol: str = "symbol", most: int = 100_000) -> list[str]:
     """The symbols of a panel in order; they are its columns, so their number is bounded."""
@@ -77,7 +79,7 @@ def pair_correlations(rows: DataFrame, n: int, *, group: str, values: str = "val
             flat = (k < 2) | (vx <= 1e-13 * qx) | (vy <= 1e-13 * qy)
             r = np.where(flat, np.nan, (xy - sx * sy / k) / np.sqrt(vx * vy))
         i, j = np.nonzero(np.arange(a, a + wide)[:, None] < np.arange(b, b + high)[None, :])
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "i": i + a, "j": j + b, "r": r[i, j], "n": k[i, j].astype(np.int64)})
+        return pd.DataFrame({"grp": repeated(pdf["grp"].iloc[0], len(i)), "i": i + a, "j": j + b, "r": r[i, j], "n": k[i, j].astype(np.int64)})
 
     found = parts.groupBy("grp", "a", "b").applyInPandas(total, "grp string, i int, j int, r double, n bigint")
     return found.filter("n > 0").select(F.col("grp").alias(group), "i", "j", F.when(~F.isnan("r"), F.col("r")).alias("r"), "n")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from barspan.functions import true_range
 
 from .scan import CHUNK, framed, rolling
-from .store import keep
+from .store import keep, repeated
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,7 @@ def stopped_returns(bars: DataFrame, strategies: list[Strategy], *, cost: float
             known = start < len(rows)
             carry = chunk.walk(wants_of(rows, s), s, start, FLAT)[1] if known else FLAT
             out.append((rows[key].iloc[0], int(rows["_chunk"].iloc[0]), k, known, *carry))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ends_schema.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ends_schema.split(", ")]).astype({key: object})
 
     found = keep(wide.groupBy(key, "_chunk").applyInPandas(ends, ends_schema), "ends")
     columns = ["side", "entry", "stop", "target"]
@@ -185,7 +185,7 @@ def stopped_returns(bars: DataFrame, strategies: list[Strategy], *, cost: float
         rows = rows.sort_values("row_pos")
         chunk = Chunk(rows, cost)
         out = [(rows[key].iloc[0], int(rows["_chunk"].iloc[0]), int(c.strategy), True, *chunk.walk(wants_of(rows, strategies[int(c.strategy)]), strategies[int(c.strategy)], 0, (int(c.side), c.entry, c.stop, c.target))[1]) for c in carries.itertuples()]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ends_schema.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ends_schema.split(", ")]).astype({key: object})
 
     while not found.filter("not known").isEmpty():
         # As many rounds as the longest row of chunks that one strategy never turns in; only those chunks are read again.
@@ -207,7 +207,7 @@ def stopped_returns(bars: DataFrame, strategies: list[Strategy], *, cost: float
         held = {int(c.strategy): (int(c.side), c.entry, c.stop, c.target) for c in carries.itertuples()}
         rets = [chunk.walk(wants_of(rows, s), s, 0, held.get(k, FLAT))[0] for k, s in enumerate(strategies)]
         n, many = len(rows), len(strategies)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * (n * many), "strategy": np.repeat(np.arange(many, dtype=np.int32), n), "row_pos": np.tile(rows["row_pos"].to_numpy(), many), "ret": np.concatenate(rets)})
+        return pd.DataFrame({key: repeated(rows[key].iloc[0], n * many), "strategy": np.repeat(np.arange(many, dtype=np.int32), n), "row_pos": np.tile(rows["row_pos"].to_numpy(), many), "ret": np.concatenate(rets)})
 
     return wide.groupBy(key, "_chunk").cogroup(starts.groupBy(key, "_chunk")).applyInPandas(returns, schema)
 

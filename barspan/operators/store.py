@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
+def repeated(value, n: int) -> pd.Series:
+    """A column that holds one value n times, as plain objects: Spark joins such columns of many groups into one batch."""
+    return pd.Series([value] * n, dtype=object)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the session's spark.checkpoint.dir, which all executors share.
 
