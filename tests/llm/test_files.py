@@ -141,7 +141,7 @@ def test_licences_keep_clashing_columns(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "labels", "embeddings"):
+    for table in ("documents", "pages", "labels", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     want, got = db.sql(ORACLES[name]).df(), QUERIES[name](spark, sf_dir).toPandas()
     columns = sorted(want.columns)
