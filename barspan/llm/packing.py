@@ -9,8 +9,11 @@ pool is packed again, until one pool is left or the rounds are used up.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks
+from .bpe import byte_symbols, chunks
 from .common import ChunkCache, cut, mix64, read_table
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, spread bigint"
@@ -72,30 +75,89 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
+# Of these characters the file's normaliser changes white space and upper case only; the second pattern is its
+# pre-tokenizer's over what lower() makes of them.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9\t\n\r ]+").findall
+
+
+#: The normaliser and pre-tokenizer that _PLAIN and _WORDS stand for.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def text_encoder(tokenizer, limit: int = 300_000) -> Callable[[str], bytes]:
+    """A function from a whole text to its ids by the library's tokenizer, as little-endian unsigned 32-bit integers.
+
+    A plain text (ASCII and accented Latin letters, no special token) is cut into words here, and the
+    library's BPE model encodes each word, once while a bounded cache holds it; the library's own way to
+    the word, which keeps alignments, costs four times the model.  Other texts are cut at white
+    space, which the file's normaliser and pre-tokenizer never join characters across; their plain
+    chunks go the same way, all others through the whole tokenizer, both once while a second cache holds them.
+    With another normaliser or pre-tokenizer no text is plain.
+    """
+    known = all(x and json.loads(x.__getstate__()) == y for x, y in zip((tokenizer.normalizer, tokenizer.pre_tokenizer), _KNOWN, strict=True))
+    model, symbols = tokenizer.model, {b: s for b, s in enumerate(byte_symbols()) if b > 0x7F}
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def word_ids(word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(symbols)
+        return struct.pack(f"<{len(ids := [t.id for t in model.tokenize(word)])}I", *ids)
+
+    words = ChunkCache(word_ids, limit)
+
+    def plain_ids(text: str) -> bytes | None:
+        if not known or not _PLAIN(text) or any(x in text for x in special):
+            return None
+        return b"".join(map(words.__getitem__, _WORDS(text.lower())))
+
+    def chunk_ids(chunk: str) -> bytes:
+        if (found := plain_ids(chunk)) is not None:
+            return found
+        ids = tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    other = ChunkCache(chunk_ids, limit // 3)
+
+    def encode(text: str) -> bytes:
+        if (found := plain_ids(text)) is not None:
+            return found
+        return b"".join(map(other.__getitem__, chunks(text)))
+
+    return encode
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every document's ids (by the tokenizers library) followed by end_id.
 
     Columns: doc_id, piece, start, length, ids_crc32, spread (a number that deals rows evenly
     to tasks) and, on demand, ids.  Null text counts as empty: one piece holding end_id only.
-    Chunks between white space are encoded once and kept in a bounded cache; the file's
-    normaliser and pre-tokenizer never join characters across white space.  Rows that repeat an id,
-    and null ids, give pieces each; extra columns are not read.
+    Rows that repeat an id, and null ids, give pieces each; extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, row = None, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        encode, row = None, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            if cache is None:
+            if encode is None:
                 from tokenizers import Tokenizer
 
                 tokenizer = Tokenizer.from_file(tokenizer_path)
                 tokenizer.no_truncation()
                 tokenizer.no_padding()
-                cache = ChunkCache(lambda c, t=tokenizer: np.array(t.encode(c, add_special_tokens=False).ids, "<u4").tobytes(), 400_000)
+                encode = text_encoder(tokenizer)
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             end = np.array([end_id], "<u4").tobytes()
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = b"".join([cache[c] for c in chunks(text or "")]) + end
+                raw = encode(text or "") + end
                 for p in range(0, len(raw), 4 * capacity):
                     part = raw[p : p + 4 * capacity]
                     out["doc_id"].append(i)

@@ -52,6 +52,50 @@ def test_encode_takes_odd_rows(spark, odd_docs, no_docs, library):
     assert bpe.encode(no_docs, PATH).count() == 0
 
 
+SPECIAL = ["don't WE'LL 'S''s it's.", "a.###  b,\r\n\tÄÖß ÿÀ×÷ no1st 12", "foo<|endoftext|>bar <|start", "ü\u0308 é", "a\x0bb\x0cc", "ſ ŉ µª"]
+
+
+@pytest.mark.parametrize("text", [*ODD, *SPECIAL])
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_packing_encodes_as_the_library(library, text, limit):
+    encode = packing.text_encoder(library, limit)
+    for t in (text, text + " ¿Él? " + text, text + " —" + text):
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\n'slrevmdt<|>.1"), st.characters(min_codepoint=1, max_codepoint=0x24F, exclude_categories=("Cs", "Cn")))))
+def test_packing_encodes_any_text_as_the_library(library, text):
+    assert np.frombuffer(packing.text_encoder(library)(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_words_go_to_the_model_alone(library):
+    class Counting:
+        """Counts what takes the whole tokenizer."""
+
+        model, normalizer, pre_tokenizer, seen = library.model, library.normalizer, library.pre_tokenizer, 0
+        get_added_tokens_decoder = library.get_added_tokens_decoder
+
+        def encode(self, text, **more):
+            self.seen += 1
+            return library.encode(text, **more)
+
+    counting = Counting()
+    encode = packing.text_encoder(counting)
+    for k in range(50):
+        encode(f"Größe{k}, niño {k} don't. Word-{k}!\n" + "—" * (k == 7))
+    assert counting.seen == 1
+
+
+def test_another_normaliser_is_kept_to():
+    from tokenizers import Tokenizer, normalizers
+
+    cased = Tokenizer.from_file(PATH)
+    cased.normalizer = normalizers.NFC()
+    text = "Größe and niño, don't"
+    assert np.frombuffer(packing.text_encoder(cased)(text), "<u4").tolist() == cased.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, capacity):
     bins = {}
     for r in rows:
