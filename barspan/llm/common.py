@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,24 @@ def tidy(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session hands its Python workers batches of at most `most` bytes or little more.
+
+    By default a batch has 10,000 rows whatever their length: of whole texts some 30 MB, which the executor
+    holds outside its heap in buffers that double, and the worker as Arrow and as strings.  A smaller
+    limit that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
+def _bytes(size: str) -> int:
+    """Of Spark's writing of a size, as 64MB, 4m or 4194304."""
+    digits, unit = re.fullmatch(r"(\d+)([a-z]?)[a-z]*", size.strip().lower()).groups()
+    return int(digits) << 10 * " kmgtp".index(unit if unit and unit != "b" else " ")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,13 +126,12 @@ class ChunkRows:
 
     def __init__(self, make, width: int, limit: int = 150_000):
         self.limit = limit
-        self.table = np.zeros((limit + self.SLICE, width), np.float32)
-        rows = self
+        self.table = table = np.zeros((limit + self.SLICE, width), np.float32)
 
         class Index(dict):
             def __missing__(self, chunk):
                 at = self[chunk] = len(self)
-                rows.table[at] = make(chunk)
+                table[at] = make(chunk)
                 return at
 
         self.index = Index()

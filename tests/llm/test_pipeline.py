@@ -3,7 +3,8 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspan.llm.common import cut
+from barspan.llm import common
+from barspan.llm.common import cut, small_batches
 
 
 def test_stages_keep_the_columns_and_their_decisions(spark, sf_dir, odd_docs, no_docs):
@@ -49,3 +50,28 @@ def test_duplicate_stages_match_brute_force_row_by_row(spark, sf_dir):
     order = sorted(sets, key=lambda x: (x[0] is None, x[0] or 0))
     want = [x for n, x in enumerate(order) if not any(linked(x, y) for y in order[:n])]
     assert kept.columns == columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.row)) for r in kept.collect())
+
+
+def test_stages_bound_the_batches_of_python_workers(spark, sf_dir, no_docs):
+    """Long texts reach a worker a few at a time, not 10,000 rows whatever their length."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, no_docs.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir)
+            long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+            assert max(r.n for r in long.mapInArrow(sizes, "n bigint").collect()) < 5 << 20
+        for own, most in (("1m", 1 << 20), ("1024", 1024), ("64MB", 4 << 20)):
+            spark.conf.set(name, own)
+            small_batches(spark)
+            assert common._bytes(spark.conf.get(name)) == most
+    finally:
+        spark.conf.set(name, before)
