@@ -424,7 +424,8 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     rivals = nodes.join(nodes.select("node", F.col("pivot").alias("rep"), F.col("c").alias("d")), "node").filter("struct(c, -pivot) > struct(d, -rep)").select("pivot", "rep").distinct()
     beaten = _agreement(rivals, sigs).filter(F.col("k") >= AGREE + 4).select(F.col("rep").alias("pivot")).distinct()
     nodes = cut(nodes.join(beaten, "pivot", "anti").select("node", "pivot"), f"pivot-nodes-{turn}")
-    around = nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot")
+    # In each of its nodes a pivot meets every member once, in one table for all that follows.
+    around = cut(nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot"), f"around-{turn}")
     pairs = _agreement(around.select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep")
     placed = _blocks(cut(pairs, f"pivot-pairs-{turn}"), "pivot", sigs, block)
     members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
