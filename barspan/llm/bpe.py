@@ -2,8 +2,10 @@
 
 A word's symbols form a doubly linked list; a priority queue holds the merges of neighbouring
 symbols by (rank, place).  Entries whose symbols have changed meanwhile are stale and skipped.
-Decoding concatenates the vocabulary's strings.  Words repeat, so each task keeps the ids of
-the chunks it has met in a bounded cache; what the cache holds never changes a result.
+Decoding sets the vocabulary's strings apart by spaces.  Words repeat, so each task keeps the ids and
+strings of those it has met in a bounded cache; what the cache holds never changes a result.  Plain texts
+(ASCII and accented Latin letters, no special token) are cut into words as a whole; others at white
+space first, and their chunks have a cache of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")
 
+# In texts of these characters only white space and upper case change before the cut, and WORDS finds what
+# the second pattern does.
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+PLAIN_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9\t\n\r ]+").findall
+
 
 def chunks(text: str) -> list[str]:
     """The text between white space.  str.split() is the same but for four control characters."""
@@ -65,8 +72,8 @@ class WordBpe:
         self.final = [self.vocab[s + self.suffix] for s in symbols]
         self.pattern = regex.compile(WORDS)
         self.cutter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.words = ChunkCache(self.encode_word, 200_000)
-        self.chunks = ChunkCache(self._chunk, 200_000)
+        self.words = ChunkCache(self._word, 300_000)
+        self.chunks = ChunkCache(self._chunk, 100_000)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8")
@@ -93,20 +100,24 @@ class WordBpe:
                 heapq.heappush(queue, (found[0], k, ids[k], new, found[1]))
         return tuple(x for x in ids if x >= 0)
 
-    def _chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def _word(self, word: str) -> tuple[bytes, str]:
+        ids = self.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+
+    def _parts(self, chunk: str) -> Iterator[tuple[bytes, str]]:
         for part in self.cutter.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.special:
-                out.append(self.special[part])
+                yield struct.pack("<I", self.special[part]), part
             elif part:
                 norm = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for word in self.pattern.findall(norm.lower()):
-                    out += self.words[word]
-        return out
+                yield from map(self.words.__getitem__, self.pattern.findall(norm.lower()))
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids = self._chunk_ids(chunk)
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        return self._joined([*self._parts(chunk)])
+
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def decode(self, ids) -> str:
         """The strings of the ids, set apart by spaces, as a file without a decoder wants it."""
@@ -114,8 +125,9 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        parts = [self.chunks[c] for c in chunks(text)]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        if PLAIN(text) and not any(x in text for x in self.special):
+            return self._joined([*map(self.words.__getitem__, PLAIN_WORDS(text.lower()))])
+        return self._joined([p for p in map(self.chunks.__getitem__, chunks(text)) if p[0]])
 
 
 def encode(

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols, chunks
+from .bpe import PLAIN, PLAIN_WORDS, byte_symbols, chunks
 from .common import ChunkCache, cut, mix64, read_table
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, spread bigint"
@@ -75,13 +75,7 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
-# Of these characters the file's normaliser changes white space and upper case only; the second pattern is its
-# pre-tokenizer's over what lower() makes of them.
-_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
-_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9\t\n\r ]+").findall
-
-
-#: The normaliser and pre-tokenizer that _PLAIN and _WORDS stand for.
+#: The normaliser and pre-tokenizer that PLAIN and PLAIN_WORDS stand for.
 _KNOWN = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {
@@ -116,9 +110,9 @@ def text_encoder(tokenizer, limit: int = 300_000) -> Callable[[str], bytes]:
     words = ChunkCache(word_ids, limit)
 
     def plain_ids(text: str) -> bytes | None:
-        if not known or not _PLAIN(text) or any(x in text for x in special):
+        if not known or not PLAIN(text) or any(x in text for x in special):
             return None
-        return b"".join(map(words.__getitem__, _WORDS(text.lower())))
+        return b"".join(map(words.__getitem__, PLAIN_WORDS(text.lower())))
 
     def chunk_ids(chunk: str) -> bytes:
         if (found := plain_ids(chunk)) is not None:

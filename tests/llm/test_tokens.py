@@ -69,6 +69,30 @@ def test_packing_encodes_any_text_as_the_library(library, text):
     assert np.frombuffer(packing.text_encoder(library)(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", SPECIAL)
+def test_own_encoder_takes_special_texts_as_the_library(library, own, text):
+    for t in (text, text + " ¿Él? " + text, text + " —" + text):
+        same(library, own, t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\n'slrevmdt<|>.1"), st.characters(min_codepoint=1, max_codepoint=0x24F, exclude_categories=("Cs", "Cn")))))
+def test_own_encoder_takes_plain_texts_as_the_library(library, own, text):
+    same(library, own, text)
+
+
+def test_own_encoder_merges_each_plain_word_once(library):
+    own, seen = bpe.WordBpe(PATH), []
+    merge = own.encode_word
+    own.encode_word = lambda word: seen.append(word) or merge(word)
+    for k in range(50):
+        same(library, own, f"Größe{k}, niño {k} don't. Word-{k}!\n")
+    assert len(seen) == len(set(seen))
+    assert not own.chunks
+    same(library, own, "Größe7, — niño")
+    assert len(own.chunks) == 3
+
+
 def test_plain_words_go_to_the_model_alone(library):
     class Counting:
         """Counts what takes the whole tokenizer."""
