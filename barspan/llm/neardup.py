@@ -38,10 +38,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, cut, map_groups, mix64, only_near, read_table, texts_of, tidy
+from .common import ChunkCache, cut, map_groups, mix64, only_near, read_table, small_batches, texts_of, tidy
 from .components import components
 
 TREES, BRANCHES, LEVELS = 4, 2, 4
@@ -240,7 +240,7 @@ def _exact(width: int, percent: int):
 
 
 def _similar(width: int):
-    """(pivot, rep, both, either): sizes of the intersection and union with the group's pivot."""
+    """(pivot, rep, both, either, n_shingles): sizes of the intersection and union with the group's pivot, and of the set."""
     held: dict = {}
 
     def run(g: dict[str, list]) -> list[tuple]:
@@ -250,7 +250,7 @@ def _similar(width: int):
             return []
         i, size = sides.index(0), np.array([len(x) for x in sets])
         both = _intersections(sets)(i)
-        return [(reps[i], reps[j], int(both[j]), int(size[i] + size[j] - both[j])) for j in range(len(sets)) if sides[j]]
+        return [(reps[i], reps[j], int(both[j]), int(size[i] + size[j] - both[j]), int(size[j])) for j in range(len(sets)) if sides[j]]
 
     return run
 
@@ -275,11 +275,6 @@ def _node_rows(members: DataFrame, level: int) -> DataFrame:
     return members.select("rep", F.explode(F.array(*made)).alias("x")).select("x.node", "x.tree", "rep")
 
 
-def _small(rows: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
-    """Members of the small nodes, with what tells nodes of equal members: (node, rep, n, low, mark)."""
-    return rows.select("node", "rep").join(sizes.filter(F.col("n") <= leaf), "node")
-
-
 def _leaf_groups(small: DataFrame, sigs: DataFrame, agree: int) -> DataFrame:
     """Distinct sketch-connected parts of the small nodes, as (grp, rep); equal nodes are looked at once."""
     once = small.groupBy("n", "low", "mark").agg(F.min("node").alias("node"))
@@ -288,8 +283,14 @@ def _leaf_groups(small: DataFrame, sigs: DataFrame, agree: int) -> DataFrame:
     return cut(map_groups(sketched, "node", _sketch_parts(agree), "grp bigint, rep bigint").distinct(), "leaves")
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.expr("bit_xor(xxhash64(rep))").alias("mark")).filter("n > 1")
+def _counted(rows: DataFrame, leaf: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows(node, tree, rep) of the small and of the large nodes, each with n and what tells nodes of equal members (low, mark).
+
+    Both are read from one table, so nothing is joined again where they are used.
+    """
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.expr("bit_xor(xxhash64(rep))").alias("mark")).filter("n > 1")
+    met = cut(rows.join(cut(sizes, f"sizes-{name}"), "node"), f"met-{name}")
+    return met.filter(F.col("n") <= leaf).select("node", "rep", "n", "low", "mark"), met.filter(F.col("n") > leaf).select("node", "tree", "rep", "n")
 
 
 def _labels(links: list[DataFrame]) -> DataFrame:
@@ -317,6 +318,7 @@ def near_duplicates(
     """
     agree = AGREE * percent // 85 if agree is None else agree
     spark = docs.sparkSession
+    small_batches(spark)
     tidy(spark)
     sketched = cut(sketch(docs, id_col=id_col, text_col=text_col, width=width), "sketch")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -325,17 +327,14 @@ def near_duplicates(
     reps = cut(usable.join(classes, [usable["set_hash"] == classes["set_hash"], usable["doc_id"] == classes["rep"]]).select("rep", "mins", "sig", "n_shingles"), "reps")
     sigs = reps.select("rep", "sig", "n_shingles")
 
-    rows = cut(_node_rows(reps, 0), "nodes-0")
-    sizes = cut(_sizes(rows), "sizes-0")
-    small = [_small(rows, sizes, leaf)]
+    first, big = _counted(cut(_node_rows(reps, 0), "nodes-0"), leaf, "0")
+    small = [first]
     # Rows that repeat an id with several texts tie their sets together.
     same = usable.join(classes, "set_hash").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("u"))
     links = [same.join(repeated, "u", "semi").select("u", "v")]
 
     stars: list[DataFrame] = []
-    large = lambda rows, sizes: rows.join(sizes.filter(F.col("n") > leaf).select("node", "n"), "node")
-    big = cut(large(rows, sizes), "big-0")
     for turn in range(FAMILY_TURNS):
         found = None if big.isEmpty() else _families(big, sigs, texts, width=width, percent=percent, leaf=leaf, block=block, turn=turn)
         if found is None:
@@ -343,9 +342,8 @@ def near_duplicates(
         stars.append(found[1][0])
         links += found[1]
         rows = cut(big.select("node", "tree", "rep").join(found[0], ["node", "rep"], "anti"), f"rest-{turn}")
-        sizes = cut(_sizes(rows), f"sizes-family-{turn}")
-        small.append(_small(rows, sizes, leaf))  # nodes that have become small are leaves like any other
-        big = cut(large(rows, sizes), f"big-family-{turn}")
+        fallen, big = _counted(rows, leaf, f"family-{turn}")
+        small.append(fallen)  # nodes that have become small are leaves like any other
         tidy(spark)
     for level in range(1, LEVELS + 1):
         if big.isEmpty():
@@ -354,9 +352,8 @@ def near_duplicates(
             links.append(_rest_links(big, stars, sigs, texts, width=width, percent=percent, block=block))
             break
         rows = cut(_node_rows(big.select("node", "tree", "rep").join(reps.select("rep", "mins"), "rep"), level).distinct(), f"nodes-{level}")
-        sizes = cut(_sizes(rows), f"sizes-{level}")
-        small.append(_small(rows, sizes, leaf))
-        big = cut(large(rows, sizes), f"big-{level}")
+        fallen, big = _counted(rows, leaf, f"{level}")
+        small.append(fallen)
     tidy(spark)
     groups = _leaf_groups(reduce(DataFrame.unionByName, small), sigs, agree)
     leaves = groups.select("grp", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
@@ -383,7 +380,7 @@ def ring_bar(percent: int) -> int:
 
 
 def _agreement(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """rows(pivot, rep) with k, the number of smallest hashes that agree."""
+    """rows(pivot, rep) with k, the number of smallest hashes that agree, and n_shingles of rep."""
 
     @F.pandas_udf("int")
     def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -392,14 +389,22 @@ def _agreement(rows: DataFrame, sigs: DataFrame) -> DataFrame:
         return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
     both = rows.join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("other")), "pivot")
-    return both.select("pivot", "rep", agreeing("sig", "other").alias("k"))
+    return both.select("pivot", "rep", agreeing("sig", "other").alias("k"), "n_shingles")
 
 
-def _blocks(rows: DataFrame, key: str, sigs: DataFrame, block: int) -> DataFrame:
-    """rows(key, rep) with b, one of as many blocks as keep each near `block` rows and BLOCK_SHINGLES."""
+def _span(block: int, only: Column | None = None) -> Column:
+    """Of rows with n_shingles, or those of them that `only` holds for: so many blocks keep each near `block` rows and BLOCK_SHINGLES."""
     weight = F.greatest(F.lit(1 / block), F.col("n_shingles") / BLOCK_SHINGLES)
-    counts = rows.join(sigs.select("rep", "n_shingles"), "rep").groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"))
-    return rows.join(counts, key).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    return F.ceil(F.sum(weight if only is None else F.when(only, weight))).cast("int")
+
+
+def _place(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), blocks).cast("int")
+
+
+def _blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows(key, rep, n_shingles) with blocks, their number for the key, and b, the row's."""
+    return rows.join(rows.groupBy(key).agg(_span(block).alias("blocks")), key).withColumn("b", _place("blocks"))
 
 
 def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int, percent: int, leaf: int, block: int, turn: int):
@@ -419,40 +424,41 @@ def _families(big: DataFrame, sigs: DataFrame, texts: DataFrame, *, width: int,
     pivots = cut(pivots.join(central.withColumnRenamed("rep", "pivot"), "pivot"), f"pivots-{turn}")
     if pivots.isEmpty():
         return None
-    nodes = big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot")
+    nodes = cut(big.select("node", F.col("rep").alias("pivot")).join(pivots, "pivot"), f"pivots-at-{turn}")
     # One pivot for a family: it goes where a more central one is much like it.
     rivals = nodes.join(nodes.select("node", F.col("pivot").alias("rep"), F.col("c").alias("d")), "node").filter("struct(c, -pivot) > struct(d, -rep)").select("pivot", "rep").distinct()
     beaten = _agreement(rivals, sigs).filter(F.col("k") >= AGREE + 4).select(F.col("rep").alias("pivot")).distinct()
     nodes = cut(nodes.join(beaten, "pivot", "anti").select("node", "pivot"), f"pivot-nodes-{turn}")
     # In each of its nodes a pivot meets every member once, in one table for all that follows.
     around = cut(nodes.join(big.select("node", "rep"), "node").filter("rep <> pivot"), f"around-{turn}")
-    pairs = _agreement(around.select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep")
-    placed = _blocks(cut(pairs, f"pivot-pairs-{turn}"), "pivot", sigs, block)
+    pairs = _agreement(around.select("pivot", "rep").distinct(), sigs).filter(F.col("k") >= ring_bar(percent)).select("pivot", "rep", "n_shingles")
+    placed = _blocks(cut(pairs, f"pivot-pairs-{turn}"), "pivot", block)
     members = placed.select("rep", F.xxhash64("pivot", "b").alias("grp"), F.lit(1).alias("side"))
     leads = placed.select(F.col("pivot").alias("rep"), F.xxhash64("pivot", "b").alias("grp"), F.lit(0).alias("side")).distinct()
     groups = cut(members.unionByName(leads), f"pivot-groups-{turn}")
     with_text = groups.join(only_near(texts, "rep", groups.select("rep").distinct()), "rep").select("grp", "rep", "side", "text")
-    ring = map_groups(with_text, "grp", _similar(width), "pivot bigint, rep bigint, both bigint, either bigint")
+    ring = map_groups(with_text, "grp", _similar(width), "pivot bigint, rep bigint, both bigint, either bigint, n_shingles bigint")
     least = lambda p: (100 * F.col("both") >= p * F.col("either")).alias(f"at_{p}")
     linked, inner, outer = (f"at_{p}" for p in (percent, 2 * percent - 100, 3 * percent - 200))
-    ring = cut(ring.select("pivot", "rep", least(percent), least(2 * percent - 100), least(3 * percent - 200)).filter(outer), f"rings-{turn}")
-    # Both rings, without what links to the pivot, against the whole outer ring.
-    asking = _blocks(ring.filter(f"not {linked}").select("pivot", "rep"), "pivot", sigs, block).select("pivot", "rep", F.col("b").alias("o"), F.col("blocks").alias("asking"))
-    asked = _blocks(ring.select("pivot", "rep", linked), "pivot", sigs, block)
+    ring = cut(ring.select("pivot", "rep", "n_shingles", least(percent), least(2 * percent - 100), least(3 * percent - 200)).filter(outer), f"rings-{turn}")
+    # Both rings, without what links to the pivot, against the whole outer ring; each row knows its pivot's blocks of either side.
+    counts = ring.groupBy("pivot").agg(_span(block).alias("blocks"), _span(block, ~F.col(linked)).alias("asking")).filter("asking is not null")
+    asked = cut(ring.join(counts, "pivot").select("pivot", "rep", linked, "blocks", "asking", _place("blocks").alias("b"), _place("asking").alias("own")), f"asked-{turn}")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asking.join(asked.select("pivot", "blocks").distinct(), "pivot").select("pivot", "o", every("blocks").alias("b"), "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
+    left = asked.filter(f"not {linked}").select("pivot", F.col("own").alias("o"), every("blocks").alias("b"), "rep", F.col("rep").alias("label"), F.lit(0).alias("side"))
     label = F.when(F.col(linked), F.col("pivot")).otherwise(F.col("rep")).alias("label")
-    right = asked.join(asking.select("pivot", "asking").distinct(), "pivot").select("pivot", every("asking").alias("o"), "b", "rep", label, F.lit(1).alias("side"), linked, "asking")
+    right = asked.select("pivot", every("asking").alias("o"), "b", "rep", label, F.lit(1).alias("side"), linked, "own")
     # An asking member lies in the groups of its own asking block already, and meets all members there.
-    right = right.filter(F.col(linked) | (F.col("o") != F.pmod(F.xxhash64("rep"), "asking"))).drop(linked, "asking")
+    right = right.filter(F.col(linked) | (F.col("o") != F.col("own"))).drop(linked, "own")
     across = left.unionByName(right).select(F.xxhash64("pivot", "o", "b").alias("grp"), "rep", "label", "side")
     # Nodes that hold few others beside a family are done with once these meet the rim: no inner member links to them.
-    strangers = around.join(ring, ["pivot", "rep"], "anti").select("node", "pivot", "rep")
+    strangers = cut(around.join(ring, ["pivot", "rep"], "anti").select("node", "pivot", "rep"), f"strangers-{turn}")
     few = strangers.groupBy("node", "pivot").agg(F.count("*").alias("k"))
     done = nodes.join(few, ["node", "pivot"], "left").filter(F.coalesce("k", F.lit(0)) <= leaf).groupBy("node").agg(F.min("pivot").alias("pivot"))
     done = cut(done, f"done-{turn}")
-    rim = around.join(done, ["node", "pivot"], "semi").join(ring.filter(f"not {inner}").select("pivot", "rep"), ["pivot", "rep"], "semi")
-    rim = _blocks(rim.select("node", "rep"), "node", sigs, block).select("node", "rep", "b", "blocks")
+    rim = around.join(done, ["node", "pivot"], "semi").join(ring.filter(f"not {inner}").select("pivot", "rep", "n_shingles"), ["pivot", "rep"])
+    rim = rim.groupBy("node", "rep").agg(F.max("n_shingles").alias("n_shingles"))
+    rim = cut(_blocks(cut(rim, f"rim-rows-{turn}"), "node", block).select("node", "rep", "b", "blocks"), f"rim-{turn}")
     in_blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b")
     meets = strangers.join(done, ["node", "pivot"], "semi").join(rim.select("node", "blocks").distinct(), "node", "left").select("node", "rep", in_blocks).withColumn("side", F.lit(0))
     meets = meets.unionByName(rim.select("node", "rep", "b").withColumn("side", F.lit(1)))
@@ -476,7 +482,7 @@ def _rest_links(big: DataFrame, stars: list[DataFrame], sigs: DataFrame, texts:
         last = last.withColumn("label", F.col("rep"))
     by_label = last.groupBy("node", "label").agg(F.count("*").alias("k"))
     main = by_label.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    own = _blocks(last.join(main, "node"), "node", sigs, block)
+    own = cut(_blocks(last.join(main, "node").join(sigs.select("rep", "n_shingles"), "rep"), "node", block).drop("n_shingles"), "rest-rows")
     outside = own.filter("label <> main")
     out_blocks = outside.select("node", F.col("b").alias("o")).distinct()
     span = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a")
